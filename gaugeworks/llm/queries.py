@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import quality
+from gaugeworks.llm import packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,15 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics and verdict of every document."""
     found = quality.quality_rows(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.withColumn("quality", F.round("quality", 6))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document and its place."""
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
