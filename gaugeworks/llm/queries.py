@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import packing, quality
+from gaugeworks.llm import packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,12 @@ def tokenizer_path() -> str:
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document and its place."""
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query
+def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.secret_rows(table(spark, folder, "documents"))
+
+
+ORACLES["op7_secret_scans"] = secrets.oracle()
