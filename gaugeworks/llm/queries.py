@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import packing, quality, secrets, urls
+from gaugeworks.llm import extract, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,10 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     found = urls.judge_urls(table(spark, folder, "pages").select("page_id", "url"))
     return found.select("row.page_id", "host", "path", "rule", "verdict", F.round("p_reject", 6).alias("p_reject"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = extract.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
