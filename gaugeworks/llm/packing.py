@@ -17,6 +17,7 @@ Defined cases: null and empty texts are the end id alone; repeated rows are pack
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 PIECE = 512
 GROUP = 2048
-CACHE = 300_000
+CACHE = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padded_length long"
 
 
@@ -82,8 +83,17 @@ class WordCache:
     Holds at most CACHE parts, then starts anew; longer parts than LONG are never kept."""
 
     LONG = 64
+    _of: dict[str, WordCache] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordCache:
+        """One for each worker process, kept from task to task."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
 
     def __init__(self, path: str, limit: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; more threads spin
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
@@ -114,7 +124,7 @@ def pack(documents: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAP
     sequence_id holds the number of the input partition and, below it, that of the sequence in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
+        cache = WordCache.of(tokenizer)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 36
         rows: list[tuple] = []
