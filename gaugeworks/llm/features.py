@@ -23,6 +23,8 @@ _LOWER = _CODES.copy()
 _LOWER[65:91] = _CODES[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+PUNCTUATION = SPACE.copy()  # white space and the ASCII characters that are neither letters nor digits
+PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -88,8 +90,9 @@ class Chunk:
         np.cumsum(marks, out=total[1:])
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
-    def words(self, lower: bool = False) -> Words:
-        inside = ~SPACE[self.data]
+    def words(self, lower: bool = False, between: np.ndarray = SPACE) -> Words:
+        """Runs of bytes outside of `between`; with `lower`, hashes see A-Z as a-z."""
+        inside = ~between[self.data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         firsts = self.offsets[:-1][self.offsets[:-1] < len(self.data)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import extract, packing, quality, secrets, urls
+from gaugeworks.llm import decontam, extract, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,10 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     found = extract.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item that it leaks."""
+    found = decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
