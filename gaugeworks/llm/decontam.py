@@ -9,7 +9,7 @@ are walked by WAND's pivots with full scores. Every entry at or above the thresh
 question's and of its answer's word n-grams that the passage holds must both reach their limits. The answer is the last
 quarter of an entry, three words at least.
 
-Words are runs without white space and ASCII punctuation, A-Z lower-cased. The index goes to the tasks in slices of
+Words are runs without white space and ASCII punctuation, lower-cased. The index goes to the tasks in slices of
 about SLICE items, however many items there are; each slice is one pass over the documents, with its own term weights.
 
 Defined cases: null and empty texts have no passages; items without words match nothing; equal items are all reported;
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +75,9 @@ class Index:
 def build_index(rows: list[tuple[int, str | None]]) -> Index | None:
     """None if there are no words."""
     ids, found = [], []
-    column = pa.array([x[1] for x in rows], pa.string())
+    column = pc.utf8_lower(pa.array([x[1] for x in rows], pa.string()))
     for chunk in chunks(column):
-        words = chunk.words(lower=True, between=PUNCTUATION)
+        words = chunk.words(between=PUNCTUATION)
         for i in range(len(chunk)):
             mine = words.hash[words.edges[i] : words.edges[i + 1]]
             for a in range(0, len(mine), ENTRY):
@@ -206,8 +207,8 @@ def slices(benchmark: DataFrame) -> Iterator[Index]:
 
 
 def _found(index: Index, column: pa.Array) -> Iterator[tuple[int, int, tuple]]:
-    for chunk in chunks(column):
-        words = chunk.words(lower=True, between=PUNCTUATION)
+    for chunk in chunks(pc.utf8_lower(column)):
+        words = chunk.words(between=PUNCTUATION)
         for (text, item), best in sorted(verified(index, words, retrieve(index, words)).items()):
             yield chunk.first + text, item, best
 
