@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 PIECE = 512
 GROUP = 2048
-CACHE = 500_000
+CACHE = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padded_length long"
 
 
@@ -78,7 +80,7 @@ def padded(length: int, capacity: int) -> int:
 
 
 class WordCache:
-    """Ids of the parts of a text between spaces and line breaks, of which no token crosses one.
+    """Ids of the parts of a text that split() gives.
 
     Holds at most CACHE parts, then starts anew; longer parts than LONG are never kept."""
 
@@ -102,22 +104,41 @@ class WordCache:
     def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
         tail = end.to_bytes(4, "little")
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
+        parts = [split(x) for x in texts]
         if len(self.known) > self.limit:
-            self.known = {"": b""}
-        self.known.setdefault("", b"")
+            self.known = {}
         known = self.known
-        new = list(set().union(*parts).difference(known)) if parts else []
+        known.setdefault("", b"")
         extra: dict[str, bytes] = {}
+        new = list(set().union(*parts).difference(known)) if parts else []
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                (known if len(part) <= self.LONG else extra)[part] = np.array(found.ids, "<u4").tobytes()
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            starts = np.cumsum([0, *(len(x) + 1 for x in some)])
+            cuts = (4 * np.searchsorted([a for a, _ in found.offsets], starts)).tolist()
+            for part, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                (known if len(part) <= self.LONG else extra)[part] = ids[a:b]
         lookup = known if not extra else known | extra
         for x in parts:
             yield b"".join(map(lookup.__getitem__, x)) + tail
 
 
+_GLUED = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f])[.,]")
+
+
+def split(text: str) -> list[str]:
+    """Parts of a text between which no token reaches: at spaces, line breaks and, after a letter or digit, at . and ,
+
+    The tokenizer lower-cases by itself; doing it here first saves cache entries, but for the sigma, whose lower case
+    depends on its place. A text that isn't in composed form may get marks from the tokenizer, which join what follows."""
+    if "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+        text = text.lower()
+        if not _GLUED.search(text):
+            text = text.replace(".", " .").replace(",", " ,")
+    return text.replace("\n", " ").split(" ")
+
+
 def pack(documents: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """One row for each piece of a document, by SCHEMA. documents: doc_id, text. tokenizer: the file's path.
 
