@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontam, extract, packing, quality, secrets, urls
+from gaugeworks.llm import decontam, extract, jaccard, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     """Every document and benchmark item that it leaks."""
     found = decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and group of every document's shingle set."""
+    return jaccard.groups(table(spark, folder, "documents"))
