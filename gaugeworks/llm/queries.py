@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontam, extract, jaccard, packing, quality, secrets, urls
+from gaugeworks.llm import decontam, extract, jaccard, ordinal, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,10 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Size and group of every document's shingle set."""
     return jaccard.groups(table(spark, folder, "documents"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade, tail probability and selection of every document."""
+    found = ordinal.graded_rows(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.withColumns({c: F.round(c, 6) for c in ("expected_grade", "p_top")})

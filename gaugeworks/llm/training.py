@@ -55,14 +55,34 @@ def score_texts(column: pa.Array, weights: np.ndarray, bits: int = BITS) -> np.n
     return np.concatenate(out) if out else np.empty(0)
 
 
-def labelled_vectors(documents: DataFrame, grades: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
+def word_vectors(column: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text: the buckets of its distinct lower-cased words, each with value 1."""
+    for chunk in chunks(column):
+        ((slot, text),) = buckets(chunk, bits, (1,), ())
+        key = np.unique((text << bits) + slot)
+        edges = np.searchsorted(key, np.arange(len(chunk) + 1) << bits)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield (key[a:b] & ((1 << bits) - 1)).astype(np.int32), np.ones(b - a, np.float32)
+
+
+def score_words(column: pa.Array, weights: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The linear score of each text, by the features of word_vectors."""
+    out = []
+    for chunk in chunks(column):
+        ((slot, text),) = buckets(chunk, bits, (1,), ())
+        key = np.unique((text << bits) + slot)
+        out.append(np.bincount(key >> bits, weights[key & ((1 << bits) - 1)], len(chunk)))
+    return np.concatenate(out) if out else np.empty(0)
+
+
+def labelled_vectors(documents: DataFrame, grades: DataFrame, limit: int = FIT_ROWS, vectors: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]] = text_vectors) -> DataFrame:
     """Features of the sample. grades: id, grade (null grades don't count); documents: id, text."""
     sample = grades.filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(limit)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, grade = batch.column("id"), batch.column("grade")
-            pairs = list(text_vectors(batch.column("text")))
+            pairs = list(vectors(batch.column("text")))
             fold = [int(x) * 2654435761 % 1000 * 5 // 1000 for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, grade.cast(pa.int32()), pa.array(fold, pa.int32()), pa.array([p[0].tobytes() for p in pairs], pa.binary()), pa.array([p[1].tobytes() for p in pairs], pa.binary())], ["id", "grade", "fold", "slots", "weights"])
 
@@ -99,12 +119,15 @@ def fit_in_one_task(vectors: DataFrame, fit: Callable[[pd.DataFrame], np.ndarray
     return np.frombuffer(vectors.repartition(1).mapInPandas(run, "model binary").first()["model"], np.float64)
 
 
-def adagrad(start: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], rate: float, steps: int) -> np.ndarray:
+def adagrad(start: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], rate: float, steps: int, lasso: float = 0.0, width: int = 0) -> np.ndarray:
+    """lasso: the price of the first `width` weights' absolute values, paid by shrinking them after each step."""
     w, total = start.copy(), np.full(len(start), 1e-8)
     for _ in range(steps):
         g = gradient(w)
         total += g * g
         w -= rate * g / np.sqrt(total)
+        if lasso:
+            w[:width] = np.sign(w[:width]) * np.maximum(np.abs(w[:width]) - rate * lasso / np.sqrt(total[:width]), 0)
     return w
 
 
