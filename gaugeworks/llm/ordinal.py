@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from gaugeworks.llm import training as L
 
 GRADES = 3
-SELECT_AT = 0.35
+SELECT_AT = 0.25
 RATE, STEPS, LASSO = 0.3, 100, 1e-3
 GRADED = "expected_grade double, p_top double, grade int, selected boolean"
 
