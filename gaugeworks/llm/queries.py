@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontam, extract, jaccard, ordinal, packing, quality, secrets, urls
+from gaugeworks.llm import chat, decontam, extract, jaccard, ordinal, packing, quality, secrets, urls
+from gaugeworks.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return f(spark, folder)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -82,3 +89,12 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Expected grade, tail probability and selection of every document."""
     found = ordinal.graded_rows(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.withColumns({c: F.round(c, 6) for c in ("expected_grade", "p_top")})
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt and masked completions of every pair of neighbouring conversations."""
+    return chat.preference_pairs(chat.adjacent_pairs(table(spark, folder, "conversations")))
+
+
+ORACLES["op4_chat_formatting"] = chat.oracle()
