@@ -26,6 +26,7 @@ texts count as one document that links as either does; a null id gets its group'
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ from gaugeworks.llm.features import Chunk, chunks, mix
 
 SHINGLE = 5
 PERCENT = 75
-EXTRA = 16
+EXTRA = 32
 HEAVY = 1 << 16
 LOCAL = 3
 BITS = 23
@@ -49,6 +50,9 @@ def shared(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    # shuffles and checkpoints that nothing refers to any more leave the disks when the driver's garbage is collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return frame.checkpoint()
 
 
@@ -142,9 +146,9 @@ def prefixes(documents: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int,
                     lists.append(s[:keep].view(np.int64))
             offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
             prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), prefix], ["doc_id", "n", "a", "b", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), prefix], ["doc_id", "n", "a", "b", "prefix"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, a long, b long, prefix array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, a long, b long, prefix array<long>")
 
 
 def _bit(node: Column) -> Column:
@@ -174,7 +178,7 @@ def sets_of(documents: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 def linked(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose sets link."""
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    sets = shared(sets_of(documents, nodes, n).join(nodes, F.col("doc_id") == F.col("node"), "left_semi"))
+    sets = shared(sets_of(documents, nodes, n))
     both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("one")), "x")
     both = both.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("two")), "y")
     common = F.size(F.array_intersect("one", "two"))
@@ -245,6 +249,8 @@ def groups(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Da
     base = shared(prefixes(documents, heavy_shingles(documents, n), n, percent))
     classes = base.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")).filter("node is not null")
     postings = shared(_postings(classes))
+    base = shared(base.drop("prefix"))
+    del classes
     stars = linked(shared(_stars(postings, percent)), documents, n, percent)
     ids = base.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"))
     # rows that share an id but no text are one document
@@ -254,7 +260,7 @@ def groups(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Da
     more = linked(shared(_between(postings, clusters, percent)), documents, n, percent)
     roots = components(first.unionByName(more))
     named = base.join(ids, ["n", "a", "b"], "left").join(roots, "node", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node", "doc_id").alias("component_id"))
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node", "doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
