@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import chat, decontam, extract, jaccard, ordinal, packing, quality, secrets, urls
+from gaugeworks.llm import chat, decontam, extract, jaccard, ordinal, packing, pii, quality, secrets, urls
 from gaugeworks.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,10 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op4_chat_formatting"] = chat.oracle()
+
+
+@query
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced, and the number of mentions."""
+    found = pii.pseudonymize(table(spark, folder, "documents").select("doc_id", "text"), "registered-query", "n_entities")
+    return found.select("doc_id", "text", "n_entities")
