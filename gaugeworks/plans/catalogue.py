@@ -5,6 +5,201 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from gaugeworks.functions import units
+from gaugeworks.operators import dedup, gaps, lateness, normalize, rolling, windows
+from gaugeworks.plans import samples as S
+from gaugeworks.shipping import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+def rounded(frame: DataFrame, *names: str) -> DataFrame:
+    return frame.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
+
+
+def r(expression: str, name: str) -> str:
+    return f"round({expression}, 6) + 0.0 AS {name}"
+
+
+# Windows
+
+STATS = ["min", "max", "avg", "sum", "stddev", "first_value", "last_value", "p50", "p95", "p99"]
+
+
+def window_sql(sizes: str, source: str = S.DIRTY_SQL, period: int = 0) -> str:
+    v = "FILTER (value IS NOT NULL AND quality <> 2)"
+    return f"""
+WITH s AS ({source}), w AS (SELECT s.*, z.size_us, event_time_us // z.size_us * z.size_us AS start_us FROM s, (SELECT unnest([{sizes}]) * 1000000::BIGINT AS size_us) z)
+SELECT device_id, metric_id, CAST(size_us // 1000000 AS VARCHAR) || 's' AS window_type, start_us, start_us + size_us AS end_us, count(*) AS sample_count,
+  count(*) {v} AS valid_count, count(*) FILTER (flags & 4 <> 0) AS synthetic_count, count(*) FILTER (quality = 2) AS bad_quality_count,
+  CAST({f"greatest(0, size_us // {period} - count(*))" if period else "0"} AS BIGINT) AS missing_count,
+  {r(f"min(value) {v}", "min")}, {r(f"max(value) {v}", "max")}, {r(f"avg(value) {v}", "avg")}, {r(f"sum(value) {v}", "sum")}, {r(f"stddev_pop(value) {v}", "stddev")},
+  {r(f"first(value ORDER BY event_time_us, arrival) {v}", "first_value")}, min(event_time_us) {v} AS first_us,
+  {r(f"first(value ORDER BY event_time_us DESC, arrival) {v}", "last_value")}, max(event_time_us) {v} AS last_us,
+  {r(f"quantile_disc(value, 0.5) {v}", "p50")}, {r(f"quantile_disc(value, 0.95) {v}", "p95")}, {r(f"quantile_disc(value, 0.99) {v}", "p99")}
+FROM w GROUP BY device_id, metric_id, size_us, start_us"""
+
+
+def periods(spark: SparkSession, names: list[str], **settings) -> DataFrame:
+    row = {"expected_period_us": None, "jitter_us": 0, "max_gap_us": None, "interpolation": "none"} | settings
+    return spark.createDataFrame([(n, *row.values()) for n in names], "metric_id string, expected_period_us long, jitter_us long, max_gap_us long, interpolation string")
+
+
+for size in (60, 300, 3600):
+    add(f"window_stats_{size}s", lambda spark, folder, size=size: rounded(windows.aggregate(S.dirty(spark, folder), (size,)), *STATS), window_sql(str(size)))
+add("window_multi_size", lambda spark, folder: rounded(windows.aggregate(S.dirty(spark, folder), (300, 3600, 86400)), *STATS), window_sql("300, 3600, 86400"))
+
+
+def _every_type(spark: SparkSession, folder: str, **settings) -> DataFrame:
+    """Settings for each event type that the table holds (a handful)."""
+    return periods(spark, sorted(x[0] for x in S.events(spark, folder).select("event_type").distinct().collect()), **settings)
+
+
+add("window_missing_count", lambda spark, folder: rounded(windows.aggregate(S.dirty(spark, folder), (3600, 86400), _every_type(spark, folder, expected_period_us=600_000_000)), *STATS), window_sql("3600, 86400", period=600_000_000))
+
+# Lateness, order, duplicates
+
+LATE_SQL = f"""
+WITH s AS ({S.SQL}), w AS (SELECT *, max(event_time_us) OVER (PARTITION BY device_id ORDER BY arrival) - {DAY} AS watermark_us FROM s)
+SELECT device_id, metric_id, event_time_us, sequence, watermark_us, CASE WHEN event_time_us < watermark_us THEN flags | 2 ELSE flags END AS flags FROM w"""
+add("late_flags", lambda spark, folder: lateness.flag_late(S.clean(spark, folder), DAY).select("device_id", "metric_id", "event_time_us", "sequence", "watermark_us", "flags"), LATE_SQL)
+
+
+def _seeded(spark: SparkSession, folder: str) -> DataFrame:
+    rows = S.clean(spark, folder)
+    seeds = lateness.stored_seeds(rows.filter("arrival % 10 = 0"))
+    return lateness.flag_late(rows.filter("arrival % 10 <> 0"), DAY, seeds).filter("flags & 2 <> 0").groupBy("device_id").agg(F.count("*").alias("late"), F.max("watermark_us").alias("watermark_us"))
+
+
+add("late_flags_seeded", _seeded, f"""
+WITH s AS ({S.SQL}), z AS (SELECT device_id, max(event_time_us) AS seed FROM s WHERE arrival % 10 = 0 GROUP BY 1),
+w AS (SELECT s.*, greatest(max(event_time_us) OVER (PARTITION BY s.device_id ORDER BY arrival), coalesce(seed, 0)) - {DAY} AS watermark_us FROM s LEFT JOIN z USING (device_id) WHERE arrival % 10 <> 0)
+SELECT device_id, count(*) AS late, max(watermark_us) AS watermark_us FROM w WHERE event_time_us < watermark_us GROUP BY 1""")
+add("emission_order", lambda spark, folder: lateness.emission_rank(S.clean(spark, folder).withColumn("sequence", F.when(F.col("arrival") % 3 != 0, F.col("sequence")))).select("device_id", "arrival", F.col("emitted").cast("long").alias("emitted")), f"""
+WITH s AS ({S.SQL}) SELECT device_id, arrival, row_number() OVER (PARTITION BY device_id ORDER BY event_time_us, arrival % 3 = 0, CASE WHEN arrival % 3 <> 0 THEN sequence END, arrival) AS emitted FROM s""")
+
+
+def _twice(rows: DataFrame, sequenced: bool) -> DataFrame:
+    """Each fifth row comes once more, later; with a sequence its time and value differ."""
+    if sequenced:
+        again = rows.filter("arrival % 5 = 0").withColumns({"event_time_us": F.col("event_time_us") + 1000, "value": F.col("value") + 1, "arrival": F.col("arrival") + 1_000_000_000})
+        return rows.unionByName(again)
+    rows = rows.withColumn("sequence", F.lit(None).cast("bigint"))
+    return rows.unionByName(rows.filter("arrival % 5 = 0").withColumn("arrival", F.col("arrival") + 1_000_000_000))
+
+
+def _dedup_sql(again: str, key: str, sequence: str) -> str:
+    return f"""
+WITH s AS ({S.DIRTY_SQL}), a AS (SELECT * REPLACE ({sequence} AS sequence) FROM (SELECT * FROM s UNION ALL SELECT * REPLACE ({again}) FROM s WHERE arrival % 5 = 0)),
+n AS (SELECT *, row_number() OVER (PARTITION BY device_id, metric_id, {key} ORDER BY event_time_us, sequence, arrival) AS k FROM a)
+SELECT device_id, metric_id, event_time_us, arrival FROM n WHERE k = 1"""
+
+
+add("dedup_seq", lambda spark, folder: dedup.dedup(_twice(S.dirty(spark, folder), True)).select("device_id", "metric_id", "event_time_us", "arrival"), _dedup_sql("event_time_us + 1000 AS event_time_us, value + 1 AS value, arrival + 1000000000 AS arrival", "sequence", "sequence"))
+add("dedup_unseq", lambda spark, folder: dedup.dedup(_twice(S.dirty(spark, folder), False)).select("device_id", "metric_id", "event_time_us", "arrival"), _dedup_sql("arrival + 1000000000 AS arrival", "event_time_us, value", "NULL::BIGINT"))
+add("dedup_history", lambda spark, folder: dedup.not_stored(S.dirty(spark, folder), S.dirty(spark, folder).filter("arrival % 7 = 0")).select("device_id", "metric_id", "arrival"), f"""
+WITH s AS ({S.DIRTY_SQL}) SELECT device_id, metric_id, arrival FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.arrival % 7 = 0 AND o.device_id = s.device_id AND o.metric_id = s.metric_id AND o.sequence = s.sequence)""")
+
+# Gaps and interpolation
+
+STEP_SQL = f"""
+s AS ({S.DIRTY_SQL}), v AS (SELECT * FROM s WHERE value IS NOT NULL AND quality <> 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY device_id, metric_id, event_time_us ORDER BY sequence, arrival) AS k FROM v),
+l AS (SELECT device_id, metric_id, event_time_us AS t, value AS v, lag(event_time_us) OVER w AS prev_t, lag(value) OVER w AS prev_v FROM o WHERE k = 1 WINDOW w AS (PARTITION BY device_id, metric_id ORDER BY event_time_us)),
+g AS (SELECT * FROM l WHERE t - prev_t > 4 * {HOUR}::BIGINT)"""
+
+
+def _steps(spark: SparkSession, folder: str, how: str) -> DataFrame:
+    return gaps.steps(S.dirty(spark, folder), _every_type(spark, folder, expected_period_us=3 * HOUR, jitter_us=HOUR, max_gap_us=DAY, interpolation=how))
+
+
+add("gaps", lambda spark, folder: gaps.intervals(_steps(spark, folder, "none")), f"WITH {STEP_SQL} SELECT device_id, metric_id, prev_t AS start_us, t AS end_us, CAST((t - prev_t) // {3 * HOUR} - 1 AS BIGINT) AS expected_count FROM g")
+POINT_SQL = f"g2 AS (SELECT *, unnest(generate_series(prev_t + {3 * HOUR}, t - 1, {3 * HOUR})) AS tp FROM g WHERE t - prev_t <= {DAY})"
+add("interp_linear", lambda spark, folder: rounded(gaps.interpolate(_steps(spark, folder, "linear")), "value"), f"WITH {STEP_SQL}, {POINT_SQL} SELECT device_id, metric_id, tp AS event_time_us, {r('prev_v + (v - prev_v) * (CAST(tp - prev_t AS DOUBLE) / CAST(t - prev_t AS DOUBLE))', 'value')}, 0 AS quality, 4 AS flags FROM g2")
+add("interp_previous", lambda spark, folder: rounded(gaps.interpolate(_steps(spark, folder, "previous")), "value"), f"WITH {STEP_SQL}, {POINT_SQL} SELECT device_id, metric_id, tp AS event_time_us, {r('prev_v', 'value')}, 0 AS quality, 4 AS flags FROM g2")
+add("last_valid", lambda spark, folder: rounded(gaps.last_valid(S.dirty(spark, folder)), "value"), f"WITH s AS ({S.DIRTY_SQL}) SELECT device_id, metric_id, max(event_time_us) AS event_time_us, {r('max_by(value, event_time_us * 1.0 + value / 1e9)', 'value')} FROM s WHERE value IS NOT NULL AND quality <> 2 GROUP BY ALL")
+
+# Rolling
+
+ROLLING = ["mean", "low", "high", "stddev", "rate", "oldest", "newest"]
+
+
+def _rolling(spark: SparkSession, folder: str, **limits) -> DataFrame:
+    found = rolling.rolling(S.clean(spark, folder), **limits)
+    return rounded(found, *ROLLING).select("device_id", "metric_id", "arrival", "n", *ROLLING, "ready")
+
+
+def rolling_sql(frame: str, least: int = 1) -> str:
+    return f"""
+WITH s AS ({S.SQL}), f AS (SELECT device_id, metric_id, arrival, value, event_time_us AS t, count(*) OVER w AS n, avg(value) OVER w AS mean, min(value) OVER w AS low, max(value) OVER w AS high,
+  stddev_pop(value) OVER w AS stddev, first_value(value) OVER w AS oldest, first_value(event_time_us) OVER w AS t0 FROM s WINDOW w AS (PARTITION BY device_id, metric_id {frame}))
+SELECT device_id, metric_id, arrival, n, {r("mean", "mean")}, {r("low", "low")}, {r("high", "high")}, {r("CASE WHEN n < 2 THEN 0 ELSE stddev END", "stddev")},
+  {r("CASE WHEN n < 2 OR t <= t0 THEN 0 ELSE (value - oldest) / ((t - t0) / 1e6) END", "rate")}, {r("oldest", "oldest")}, {r("value", "newest")}, n >= {least} AS ready FROM f"""
+
+
+add("rolling_count", lambda spark, folder: _rolling(spark, folder, count=4, min_count=3), rolling_sql("ORDER BY event_time_us, arrival ROWS BETWEEN 3 PRECEDING AND CURRENT ROW", 3))
+add("rolling_time", lambda spark, folder: _rolling(spark, folder, duration_us=2 * DAY), rolling_sql(f"ORDER BY event_time_us RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW"))
+add("rolling_both", lambda spark, folder: _rolling(spark, folder, count=3, duration_us=DAY).select("device_id", "metric_id", "arrival", "n", "mean"), f"""
+WITH s AS ({S.SQL}), f AS (SELECT *, list(struct_pack(t := event_time_us, v := value)) OVER (PARTITION BY device_id, metric_id ORDER BY event_time_us, arrival ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS kept FROM s),
+k AS (SELECT *, list_transform(list_filter(kept, lambda x: x.t >= event_time_us - {DAY}), lambda x: x.v) AS vs FROM f)
+SELECT device_id, metric_id, arrival, len(vs) AS n, {r("list_avg(vs)", "mean")} FROM k""")
+
+# Normalization
+
+SEGMENTS = [(-1e9, 50.0, 2.0, 1.0), (50.0, 200.0, 0.5, 10.0)]
+TARGETS = [("C", "K"), ("F", "C"), ("kPa", "bar"), ("bar", "kPa"), ("L/min", "m3/h"), ("mm/s", "m/s"), ("kW", "W")]
+
+
+def _segments(spark: SparkSession, folder: str, reject: bool) -> DataFrame:
+    rows = S.clean(spark, folder).select("device_id", "metric_id").distinct()
+    listed = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("seg_min", "seg_max", "slope", "intercept"), s, strict=True))) for s in SEGMENTS)))
+    return rows.select("device_id", "metric_id", listed.alias("s")).select("device_id", "metric_id", "s.*", F.lit(reject).alias("reject_unmatched"))
+
+
+CALIBRATE_SQL = "CASE WHEN value >= -1e9 AND value < 50 THEN 2.0::DOUBLE * value + 1.0::DOUBLE WHEN value >= 50 AND value < 200 THEN 0.5::DOUBLE * value + 10.0::DOUBLE ELSE value END"
+add("calibrate", lambda spark, folder: rounded(normalize.calibrate(S.dirty(spark, folder), _segments(spark, folder, True)).select("arrival", "calibrated", "reject"), "calibrated"), f"WITH s AS ({S.DIRTY_SQL}) SELECT arrival, {r(CALIBRATE_SQL, 'calibrated')}, CASE WHEN value >= 200 THEN 'no calibration segment' END AS reject FROM s")
+
+
+def _converted(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in TARGETS)))
+    rows = S.clean(spark, folder).select("arrival", (F.col("value") - 100).alias("value"), pairs.alias("p")).select("arrival", "value", "p.*")
+    out, error = units.convert(F.col("value"), F.col("source"), F.col("target"))
+    return rounded(rows.select("arrival", "source", "target", out.alias("out"), error.alias("error")), "out")
+
+
+def _converted_sql() -> str:
+    parts = []
+    for a, b in TARGETS:
+        base = f"((value - 100) * CAST({next(u[2] for u in units.UNITS if u[0] == a)!r} AS DOUBLE) + CAST({next(u[3] for u in units.UNITS if u[0] == a)!r} AS DOUBLE))"
+        parts.append(f"SELECT arrival, '{a}' AS source, '{b}' AS target, {r(f'CASE WHEN {base} >= 0 THEN ' + units.convert_expr('value - 100', a, b) + ' END', 'out')}, CASE WHEN {base} < 0 THEN 'below physical zero' END AS error FROM s")
+    return f"WITH s AS ({S.SQL}) " + " UNION ALL ".join(parts)
+
+
+add("convert_units", _converted, _converted_sql())
+
+
+def _normalized(spark: SparkSession, folder: str) -> DataFrame:
+    types = sorted(x[0] for x in S.events(spark, folder).select("event_type").distinct().collect())
+    metrics = spark.createDataFrame([(t, "K", 270.0, 400.0) for t in types], "metric_id string, canonical_unit string, valid_min double, valid_max double")
+    rows = S.dirty(spark, folder).withColumn("unit", F.lit("C"))
+    return rounded(normalize.normalize(rows, _segments(spark, folder, False), metrics).select("arrival", "normalized_value", "reject"), "normalized_value")
+
+
+NORMAL = f"({CALIBRATE_SQL} + 273.15::DOUBLE)"
+add("normalize_chain", _normalized, f"WITH s AS ({S.DIRTY_SQL}) SELECT arrival, {r(f'CASE WHEN {NORMAL} >= 270 AND {NORMAL} <= 400 THEN {NORMAL} END', 'normalized_value')}, CASE WHEN {NORMAL} < 0 THEN 'below physical zero' WHEN {NORMAL} < 270 THEN 'below valid_min' WHEN {NORMAL} > 400 THEN 'above valid_max' END AS reject FROM s")
+
