@@ -201,7 +201,9 @@ def register_function(name: str, least: int, most: int | None, builder: Builder)
     _functions[name.lower()] = (least, most, builder)
 
 
-NONE = F.lit(None).cast("string")
+def none() -> Column:
+    """The error column of a node that can't fail."""
+    return F.lit(None).cast("string")
 
 
 def _first_error(*errors: Column) -> Column:
@@ -232,9 +234,9 @@ class Compiler:
 
     def compile(self, node: Node) -> Compiled:
         if node.kind in ("number", "duration"):
-            return Compiled(F.lit(node.value), NONE, NUMBER)
+            return Compiled(F.lit(node.value), none(), NUMBER)
         if node.kind == "metric":
-            return Compiled(self.metric(node.text).cast("double"), NONE, NUMBER)
+            return Compiled(self.metric(node.text).cast("double"), none(), NUMBER)
         if node.kind == "unary":
             return self.unary(node)
         if node.kind == "binary":
@@ -285,7 +287,7 @@ class Compiler:
                 return self.misfit(f"{node.text} needs a metric and a duration", NUMBER)
             if self.history is None:
                 return Compiled(F.lit(None).cast("double"), F.lit(f"no history for {node.text}"), NUMBER)
-            return Compiled(self.history(node.text, node.args[0].text, int(node.args[1].value)).cast("double"), NONE, NUMBER)
+            return Compiled(self.history(node.text, node.args[0].text, int(node.args[1].value)).cast("double"), none(), NUMBER)
         if node.text not in _functions:
             return self.misfit(f"unknown function {node.text}", NUMBER)
         least, most, builder = _functions[node.text]

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.functions import units
-from gaugeworks.operators import dedup, gaps, lateness, normalize, rolling, windows
+from gaugeworks.config import DerivedMetric, Device, Metric, Rule, Settings, dimensions
+from gaugeworks.functions import expression, text, times, units
+from gaugeworks.operators import current, dedup, gaps, lateness, normalize, rolling, rules, stored, validate, windows
 from gaugeworks.plans import samples as S
 from gaugeworks.shipping import ship
 
@@ -203,3 +204,185 @@ def _normalized(spark: SparkSession, folder: str) -> DataFrame:
 NORMAL = f"({CALIBRATE_SQL} + 273.15::DOUBLE)"
 add("normalize_chain", _normalized, f"WITH s AS ({S.DIRTY_SQL}) SELECT arrival, {r(f'CASE WHEN {NORMAL} >= 270 AND {NORMAL} <= 400 THEN {NORMAL} END', 'normalized_value')}, CASE WHEN {NORMAL} < 0 THEN 'below physical zero' WHEN {NORMAL} < 270 THEN 'below valid_min' WHEN {NORMAL} > 400 THEN 'above valid_max' END AS reject FROM s")
 
+
+# Validation
+
+INGEST_US = 1_704_067_200_000_000 + 20 * DAY
+
+
+def _settings(spark: SparkSession, folder: str) -> Settings:
+    types = sorted(x[0] for x in S.events(spark, folder).select("event_type").distinct().collect())
+    users = sorted(x[0] for x in S.events(spark, folder).select("user_id").distinct().collect())
+    return Settings(
+        metrics=tuple(Metric(t, "K", ("K", "C")) for t in types),
+        devices=tuple(Device(f"user-{u}", "America/New_York" if u % 2 else "UTC", tuple(types) if u % 3 else tuple(types[:2]), {"line": "AB"[u % 2], "zone": str(u % 5)}) for u in users if u % 10),
+    )
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """Input records with faults: bad identifiers, units, times, qualities and tags, by event_id."""
+    rows = S.events(spark, folder)
+    n = F.col("event_id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    tags = F.when(n % 41 == 0, F.create_map(F.lit("bad key"), F.lit("v"))).when(n % 43 == 0, F.create_map(F.lit("k"), F.repeat(F.lit("x"), 129))).otherwise(F.create_map(F.lit("k"), F.lit("v")))
+    return rows.select(
+        F.when(n % 19 == 0, "bad id").otherwise(F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("device_id"), F.when(n % 23 == 0, "no_such").otherwise(F.col("event_type")).alias("metric"),
+        F.when(n % 29 == 0, "yesterday").when(n % 31 == 0, "99999999999999999").otherwise(ms.cast("string")).alias("event_time"), (n % 37 != 0).alias("has_value"), F.when(n % 47 == 0, F.lit(float("nan"))).when(n % 53 != 0, F.col("value")).alias("value"),
+        F.when(n % 59 == 0, "Pa").when(n % 61 == 0, "").otherwise("C").alias("unit"), F.when(n % 67 == 0, 3).when(n % 3 == 0, 1).alias("quality"), F.lit(None).cast("decimal(20,0)").alias("sequence"), tags.alias("tags"),
+        F.concat(F.lit("file-"), (n % 7).cast("string")).alias("file"), n.alias("position"),
+    )
+
+
+RECORD_SQL = f"""
+r AS (SELECT event_id AS n, user_id AS u, event_type AS m, event_id % 7 AS f, CASE WHEN event_id % 19 = 0 THEN 'bad id' ELSE 'user-' || user_id END AS device_id, epoch_ms(ts) * 1000 AS us FROM events),
+types AS (SELECT event_type AS m, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)),
+e AS (SELECT r.*, CASE WHEN n % 19 = 0 THEN 'format bad_device_id' WHEN n % 61 = 0 AND n % 59 <> 0 THEN 'format bad_unit_text' WHEN u % 10 = 0 THEN 'business unknown_device'
+  WHEN n % 23 = 0 THEN 'business unknown_metric' WHEN u % 3 = 0 AND k > 2 THEN 'business metric_not_allowed' WHEN n % 29 = 0 THEN 'format bad_time' WHEN n % 31 = 0 THEN 'business invalid_time'
+  WHEN us > {INGEST_US + 600_000_000} THEN 'business time_in_future' WHEN us < {INGEST_US - 15 * DAY} THEN 'business time_too_old' WHEN n % 37 = 0 THEN 'format missing_value' WHEN n % 47 = 0 THEN 'business value_not_finite'
+  WHEN n % 59 = 0 THEN 'business unit_not_allowed' WHEN n % 67 = 0 THEN 'business bad_quality' WHEN n % 41 = 0 OR n % 43 = 0 THEN 'business bad_tags' END AS err FROM r JOIN types USING (m))"""
+
+
+def _validated(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.validate(_records(spark, folder), dimensions(spark, _settings(spark, folder)), INGEST_US, 15 * DAY)
+
+
+add("validate_rows", lambda spark, folder: _validated(spark, folder).select("position", F.concat_ws(" ", "error.kind", "error.code").alias("err"), "quality"), f"WITH {RECORD_SQL} SELECT n AS position, coalesce(err, '') AS err, CAST(CASE WHEN n % 67 = 0 THEN 3 WHEN n % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS quality FROM e")
+COUNT_SQL = "c AS (SELECT 'file-' || f AS file, count(*) AS total, count(*) FILTER (err IS NULL) AS accepted, count(*) FILTER (starts_with(err, 'format')) AS format_errors, count(*) FILTER (starts_with(err, 'business')) AS business_errors FROM e GROUP BY f)"
+add("error_gate", lambda spark, folder: rounded(validate.gate(validate.file_counts(_validated(spark, folder)), 0.65, 100), "error_rate"), f"WITH {RECORD_SQL}, {COUNT_SQL} SELECT *, {r('business_errors / greatest(total, 100)', 'error_rate')}, CASE WHEN business_errors / greatest(total, 100) > 0.65 THEN 'QUARANTINED' ELSE 'VALIDATED' END AS status FROM c")
+
+# Times
+
+
+def _times(spark: SparkSession, folder: str) -> DataFrame:
+    at = F.timestamp_micros(F.col("event_time_us"))
+    rows = S.clean(spark, folder).select("arrival", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("body"), "event_time_us")
+    form = F.pmod("arrival", F.lit(4))
+    raw = F.when(form == 0, F.concat("body", F.lit("Z"))).when(form == 1, F.concat("body", F.lit("+08:00"))).when(form == 2, F.concat("body", F.lit("-0530"))).otherwise((F.expr("event_time_us div 1000")).cast("string"))
+    parsed = times.parse_event_time(raw)
+    return rows.select("arrival", parsed["us"].alias("us"), times.format_utc_us(parsed["us"]).alias("text"))
+
+
+add("time_parse", _times, f"""
+WITH s AS ({S.SQL}), t AS (SELECT arrival, event_time_us // 1000 * 1000 - CASE arrival % 4 WHEN 1 THEN 8 * {HOUR} WHEN 2 THEN -5.5 * {HOUR} ELSE 0 END AS us FROM s)
+SELECT arrival, CAST(us AS BIGINT) AS us, strftime(make_timestamp(CAST(us AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS text FROM t""")
+
+
+def _zones(spark: SparkSession, folder: str) -> DataFrame:
+    """Local times every 20 minutes around both changes of daylight saving in New York and on Lord Howe Island."""
+    days = [("America/New_York", "2026-03-08"), ("America/New_York", "2026-11-01"), ("Australia/Lord_Howe", "2026-04-05"), ("Australia/Lord_Howe", "2026-10-04")]
+    rows = spark.createDataFrame([(z, d, h, m) for z, d in days for h in range(4) for m in (0, 20, 40)], "zone string, day string, h int, m int")
+    raw = F.concat("day", F.lit("T"), F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("m").cast("string"), 2, "0"), F.lit(":00"))
+    early, late = times.parse_event_time(raw, F.col("zone")), times.parse_event_time(raw, F.col("zone"), earlier=False)
+    return rows.select("zone", raw.alias("raw"), early["us"].alias("earlier_us"), late["us"].alias("later_us"), early["error"].alias("error"))
+
+
+add("dst_policy", _zones)
+
+
+def _leap(spark: SparkSession, folder: str) -> DataFrame:
+    raw = ["2026-06-30T23:59:60.500Z", "2026-06-30T23:59:60Z", "2026-07-01T01:59:60+02:00", "2026-06-30T23:58:60Z", "2026-06-30T23:59:61Z"]
+    rows = spark.createDataFrame([(x,) for x in raw], "raw string")
+    parsed = times.parse_event_time(F.col("raw"))
+    return rows.select("raw", times.format_utc_us(parsed["us"]).alias("utc"), parsed["leap"].alias("leap"))
+
+
+add("leap_second", _leap, "SELECT * FROM (VALUES ('2026-06-30T23:59:60.500Z', '2026-07-01T00:00:00.500000Z', true), ('2026-06-30T23:59:60Z', '2026-07-01T00:00:00.000000Z', true), ('2026-07-01T01:59:60+02:00', '2026-07-01T00:00:00.000000Z', true), ('2026-06-30T23:58:60Z', '2026-06-30T23:59:00.000000Z', true), ('2026-06-30T23:59:61Z', NULL, NULL)) t(raw, utc, leap)")
+
+# Expressions
+
+
+def _expressions(spark: SparkSession, folder: str, expressions: dict[str, str]) -> DataFrame:
+    """Over each row's value (x) and quality of the row before (y, with nulls)."""
+    rows = S.dirty(spark, folder).withColumn("y", F.when(F.col("arrival") % 5 != 0, F.col("arrival").cast("double") % 7 - 3))
+    columns = {"x": F.col("value"), "y": F.col("y")}
+    out = []
+    for name, source in expressions.items():
+        found = expression.compile_expression(source, lambda m: columns[m])
+        out += [(F.round(found.value, 6) + 0.0 if found.kind == expression.NUMBER else found.value).alias(name), found.error.alias(f"{name}_error")]
+    return rows.select("arrival", *out)
+
+
+XY = f"WITH s AS ({S.DIRTY_SQL}), v AS (SELECT arrival, value AS x, CASE WHEN arrival % 5 <> 0 THEN CAST(arrival % 7 - 3 AS DOUBLE) END AS y FROM s)"
+ZERO = "CASE WHEN x IS NOT NULL AND y = 0 THEN 'division by zero' END"
+add("expr_scalar", lambda spark, folder: _expressions(spark, folder, {"a": "2 + 3 * x - -y", "b": "x / y", "c": "MAX(x, y, 1) + MIN(x, 50)", "d": "CLAMP(x, 10, 100)", "e": "ABS(y) + POW(y, 2) + SQRT(ABS(x))", "f": "x % 7"}), f"""
+{XY} SELECT arrival, {r("2 + 3 * x + y", "a")}, NULL::VARCHAR AS a_error, {r("CASE WHEN y <> 0 THEN x / y END", "b")}, {ZERO} AS b_error,
+  {r("CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN greatest(x, y, 1) + least(x, 50) END", "c")}, NULL::VARCHAR AS c_error, {r("CASE WHEN x IS NOT NULL THEN greatest(10, least(x, 100)) END", "d")}, NULL::VARCHAR AS d_error,
+  {r("abs(y) + pow(y, 2) + sqrt(abs(x))", "e")}, NULL::VARCHAR AS e_error, {r("fmod(x, 7)", "f")}, NULL::VARCHAR AS f_error FROM v""")
+add("expr_null_logic", lambda spark, folder: _expressions(spark, folder, {"a": "x > 50 and y > 0", "b": "x > 50 or y > 0", "c": "not (y == 1)", "d": "x > 50 or 1 / y > 0"}), f"""
+{XY} SELECT arrival, x > 50 AND y > 0 AS a, NULL::VARCHAR AS a_error, x > 50 OR y > 0 AS b, NULL::VARCHAR AS b_error, NOT (y = 1) AS c, NULL::VARCHAR AS c_error,
+  CASE WHEN coalesce(x > 50, false) THEN true WHEN y = 0 THEN NULL ELSE x > 50 OR 1 / nullif(y, 0) > 0 END AS d, CASE WHEN NOT coalesce(x > 50, false) AND y = 0 THEN 'division by zero' END AS d_error FROM v""")
+add("expr_if_lazy", lambda spark, folder: _expressions(spark, folder, {"a": "IF(y != 0, x / y, -1)", "b": "IF(x > 50, 1, 2)"}), f"""
+{XY} SELECT arrival, {r("CASE WHEN y <> 0 THEN x / y WHEN y = 0 THEN -1 END", "a")}, NULL::VARCHAR AS a_error, CASE WHEN x > 50 THEN 1.0::DOUBLE WHEN x <= 50 THEN 2.0::DOUBLE END AS b, NULL::VARCHAR AS b_error FROM v""")
+
+# Current values, derived metrics
+
+TWO_SQL = f"""
+s AS ({S.DIRTY_SQL}), g AS (SELECT * FROM s WHERE value IS NOT NULL AND quality <> 2 AND metric_id IN ('click', 'purchase')),
+i AS (SELECT device_id, event_time_us, max_by(value, arrival) FILTER (metric_id = 'click') AS a, max_by(value, arrival) FILTER (metric_id = 'purchase') AS b FROM g GROUP BY ALL),
+c AS (SELECT device_id, event_time_us, a AS a0, b AS b0, last_value(a IGNORE NULLS) OVER w AS a, last_value(b IGNORE NULLS) OVER w AS b,
+  last_value(CASE WHEN a IS NOT NULL THEN event_time_us END IGNORE NULLS) OVER w AS ta, last_value(CASE WHEN b IS NOT NULL THEN event_time_us END IGNORE NULLS) OVER w AS tb FROM i
+  WINDOW w AS (PARTITION BY device_id ORDER BY event_time_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+add("asof_current_values", lambda spark, folder: rounded(current.current_values(S.dirty(spark, folder), ["click", "purchase"]), "click", "purchase"), f"WITH {TWO_SQL} SELECT device_id, event_time_us, {r('a', 'click')}, {r('b', 'purchase')} FROM c")
+add("derived_recent", lambda spark, folder: rounded(current.derived(S.dirty(spark, folder), DerivedMetric("both", "click + 2 * purchase", "recent", 3 * DAY)), "value"), f"""
+WITH {TWO_SQL} SELECT device_id, 'both' AS metric_id, event_time_us, {r(f"CASE WHEN event_time_us - ta <= {3 * DAY} THEN a END + 2 * CASE WHEN event_time_us - tb <= {3 * DAY} THEN b END", "value")} FROM c""")
+add("derived_skip", lambda spark, folder: rounded(current.derived(S.dirty(spark, folder), DerivedMetric("half", "click / 2", "skip")), "value"), f"WITH {TWO_SQL} SELECT device_id, 'half' AS metric_id, event_time_us, {r('a0 / 2', 'value')} FROM c WHERE a0 IS NOT NULL")
+add("expr_history", lambda spark, folder: rounded(current.evaluate(S.dirty(spark, folder), {"mean": "AVG(click, 5d)", "step": "DELTA(click, 5d)"}), "mean", "step"), f"""
+WITH {TWO_SQL}, k AS (SELECT device_id, event_time_us, a0 AS a FROM c WHERE a0 IS NOT NULL), h AS (SELECT *, avg(a) OVER w AS mean, CASE WHEN count(a) OVER w >= 2 THEN last_value(a) OVER w - first_value(a) OVER w END AS step FROM k
+  WINDOW w AS (PARTITION BY device_id ORDER BY event_time_us RANGE BETWEEN {5 * DAY} PRECEDING AND CURRENT ROW))
+SELECT device_id, event_time_us, {r("mean", "mean")}, NULL::VARCHAR AS mean_error, {r("step", "step")}, NULL::VARCHAR AS step_error FROM h""")
+
+# Rules
+
+
+def _evaluated(spark: SparkSession, folder: str, *found: Rule) -> DataFrame:
+    return rules.evaluations(S.dirty(spark, folder), [rules.compile_rule(x, ["click", "purchase"]) for x in found])
+
+
+def island_sql(name: str, off: str, value: str = "a0", source: str = "a0 IS NOT NULL") -> str:
+    return f"""
+WITH {TWO_SQL}, e AS (SELECT device_id, event_time_us AS t, {value} AS v FROM c WHERE {source}), m AS (SELECT *, CASE WHEN v > 60 THEN 1 WHEN {off} THEN 0 END AS mark FROM e),
+o AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY device_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS st FROM m),
+p AS (SELECT *, CASE WHEN st = 1 AND coalesce(lag(st) OVER (PARTITION BY device_id ORDER BY t), 0) = 0 THEN 1 ELSE 0 END AS opens FROM o),
+q AS (SELECT *, sum(opens) OVER (PARTITION BY device_id ORDER BY t) AS island FROM p)
+SELECT '{name}' AS rule_id, device_id, min(t) AS started_us, min(t) FILTER (st = 0) AS ended_us, count(*) FILTER (v > 60) AS hit_count, CASE WHEN count(*) FILTER (v > 60) > 1 THEN max(t) FILTER (v > 60) END AS last_hit_us, {r("max(v) FILTER (v > 60)", "peak_value")}
+FROM q WHERE island > 0 GROUP BY device_id, island"""
+
+
+HIGH, BAND = Rule("high", "click > 60"), Rule("band", "click > 60", "click < 30")
+add("rule_threshold_incidents", lambda spark, folder: rounded(rules.threshold_incidents(_evaluated(spark, folder, HIGH)), "peak_value"), island_sql("high", "v <= 60"))
+add("rule_hysteresis", lambda spark, folder: rounded(rules.threshold_incidents(_evaluated(spark, folder, BAND)), "peak_value"), island_sql("band", "v < 30"))
+add("rule_machine_threshold", lambda spark, folder: rounded(rules.incidents(rules.run_rules(_evaluated(spark, folder, BAND), [BAND])).select("rule_id", "device_id", "started_us", "ended_us", "hit_count", "last_hit_us", "peak_value"), "peak_value"), island_sql("band", "v < 30"))
+FULL = Rule("full", "click > 40 and purchase > 40", "click < 30 or purchase < 30", severity="critical", duration_us=HOUR, cooldown_us=6 * HOUR, merge_interval_us=2 * DAY)
+add("rule_full_machine", lambda spark, folder: rules.incidents(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])))
+add("incident_history", lambda spark, folder: rules.incident_history(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])))
+add("absence", lambda spark, folder: rules.absences(S.clean(spark, folder), 2 * DAY, INGEST_US + 12 * DAY), f"""
+WITH s AS ({S.SQL}), t AS (SELECT DISTINCT device_id, event_time_us FROM s), n AS (SELECT *, lead(event_time_us) OVER (PARTITION BY device_id ORDER BY event_time_us) AS nx FROM t)
+SELECT device_id, event_time_us + {2 * DAY} AS started_us, nx AS ended_us FROM n WHERE coalesce(nx, {INGEST_US + 12 * DAY}) - event_time_us > {2 * DAY}""")
+
+# Versions, stored queries
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = S.dirty(spark, folder)
+    late = rows.filter("arrival % 10 = 0")
+    first = windows.aggregate(rows.filter("arrival % 10 <> 0"), (86400,)).withColumns({"version": F.lit(1), "superseded": F.lit(False)})
+    return rounded(windows.correct(first, rows, late, (86400,)), "sum").select("device_id", "metric_id", "start_us", "version", "superseded", "sample_count", "valid_count", "sum")
+
+
+def _version_sql() -> str:
+    v = "FILTER (value IS NOT NULL AND quality <> 2)"
+    picked = f"device_id, metric_id, start_us, %s AS version, %s AS superseded, count(*) AS sample_count, count(*) {v} AS valid_count, {r(f'sum(value) {v}', 'sum')}"
+    return f"""
+WITH s AS (SELECT *, event_time_us // {DAY} * {DAY} AS start_us FROM ({S.DIRTY_SQL})), one AS (SELECT * FROM s WHERE arrival % 10 <> 0), late AS (SELECT DISTINCT device_id, metric_id, start_us, true AS hit FROM s WHERE arrival % 10 = 0),
+touched AS (SELECT DISTINCT device_id, metric_id, start_us, hit FROM one JOIN late USING (device_id, metric_id, start_us))
+SELECT {picked % ("1", "coalesce(any_value(hit), false)")} FROM one LEFT JOIN touched USING (device_id, metric_id, start_us) GROUP BY device_id, metric_id, start_us
+UNION ALL SELECT {picked % ("2", "false")} FROM s JOIN touched USING (device_id, metric_id, start_us) GROUP BY device_id, metric_id, start_us"""
+
+
+add("late_correction_versions", _versions, _version_sql())
+add("samples_query", lambda spark, folder: rounded(stored.query_samples(S.dirty(spark, folder), "user-1", "click", synthetic=False), "value"), f"WITH s AS ({S.DIRTY_SQL}) SELECT * REPLACE (round(value, 6) + 0.0 AS value) FROM s WHERE device_id = 'user-1' AND metric_id = 'click' AND flags & 4 = 0 ORDER BY event_time_us, arrival LIMIT 1000")
+add("devices_by_tag", lambda spark, folder: stored.devices_by_tag(dimensions(spark, _settings(spark, folder))["devices"], line="A").select("device_id", "timezone", text.tags_json(F.col("tags")).alias("tags")), """
+SELECT DISTINCT 'user-' || user_id AS device_id, 'UTC' AS timezone, '{"line":"A","zone":"' || user_id % 5 || '"}' AS tags FROM events WHERE user_id % 10 <> 0 AND user_id % 2 = 0""")
+add("status_counts", lambda spark, folder: stored.status(validate.gate(validate.file_counts(_validated(spark, folder)), 0.65, 100)), f"WITH {RECORD_SQL}, {COUNT_SQL} SELECT CASE WHEN business_errors / greatest(total, 100) > 0.65 THEN 'QUARANTINED' ELSE 'VALIDATED' END AS status, count(*) AS files FROM c GROUP BY 1")
+add("retention", lambda spark, folder: stored.retain(S.clean(spark, folder), 10, INGEST_US).groupBy("metric_id").agg(F.count("*").alias("n")), f"WITH s AS ({S.SQL}) SELECT metric_id, count(*) AS n FROM s WHERE event_time_us >= {INGEST_US - 10 * DAY} GROUP BY 1")
+add("orphans", lambda spark, folder: stored.orphans(S.clean(spark, folder).select("device_id", "arrival"), dimensions(spark, _settings(spark, folder))["devices"], "device_id"), "SELECT 'user-' || user_id AS device_id, event_id AS arrival FROM events WHERE user_id % 10 = 0")

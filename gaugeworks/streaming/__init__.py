@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Structured Streaming forms of the operators."""
