@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -177,6 +178,7 @@ class _Reader:
 
 
 def parse(source: str) -> Node:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEPTH))  # each level takes about ten calls
     reader = _Reader(source)
     out = reader.either()
     if reader.now[0] != "end":

@@ -86,10 +86,12 @@ def import_files(spark: SparkSession, paths: list[str], settings: Settings, root
     tables.write_batch(stages.aggregates.withColumns({"version": F.lit(1), "superseded": F.lit(False)}), f"{root}/aggregates", batch, "start_us")
     status = {p: "QUARANTINED" if (r := files.get(os.path.realpath(p))) and r["status"] == "QUARANTINED" else "COMPLETED" for p in new}
     tables.write_batch(spark.createDataFrame([(i.hash, p, status[p]) for p, i in new.items()], "hash string, path string, status string"), f"{root}/files", batch)
+    # reports are read from the files, so all are made before any file moves
+    counts = {p: files[os.path.realpath(p)].asDict() for p in new if status[p] == "QUARANTINED" and quarantine}
+    reports = {p: tables.error_report(stages.validated.filter(F.col("file") == c["file"]), c) for p, c in counts.items()}
     for p, i in new.items():
-        if status[p] == "QUARANTINED" and quarantine:
-            counts = files[os.path.realpath(p)].asDict()
-            put_away(p, quarantine, i.hash, report=tables.error_report(stages.validated.filter(F.col("file") == counts["file"]), counts))
+        if p in reports:
+            put_away(p, quarantine, i.hash, report=reports[p])
         elif status[p] == "COMPLETED" and archive:
             put_away(p, archive, i.hash)
     return out | status

@@ -9,7 +9,7 @@ from gaugeworks.functions.text import sanitize
 from gaugeworks.sources.records import MOST_BYTES, OPTIONAL, REQUIRED
 
 DEPTH = 16
-_INTEGER = r"^(BIGINT|DECIMAL\([0-9]+,0\))$"
+_INTEGER = r"^(BIGINT|DECIMAL\((19|[23][0-9]),0\))$"  # a decimal without places is 1.0, or too long for a long
 
 
 def depth_of(text: Column) -> Column:

@@ -166,7 +166,7 @@ def encode(readings: list[Reading], created_at_ms: int = 0, compress: bool = Fal
     for n, r in enumerate(readings, 1):
         tags = b"".join(struct.pack("<H", len(x.encode())) + x.encode() for pair in sorted(r.tags.items()) for x in pair)
         fields = [(DEVICE, r.device_id.encode()), (METRIC, r.metric.encode()), (TIME, struct.pack("<q", r.event_time_ms)), (NULL, b"") if r.value is None else (VALUE, struct.pack("<d", r.value)), (UNIT, r.unit.encode())]
-        fields += [(QUALITY, bytes([r.quality]))] * (r.quality is not None) + ([(SEQUENCE, struct.pack("<Q", r.sequence))] if r.sequence is not None else []) + [(TAGS, tags)] * bool(tags)
+        fields += ([(QUALITY, bytes([r.quality]))] if r.quality is not None else []) + ([(SEQUENCE, struct.pack("<Q", r.sequence))] if r.sequence is not None else []) + [(TAGS, tags)] * bool(tags)
         payload = b"".join(struct.pack("<BH", k, len(v)) + v for k, v in fields)
         payload = zlib.compress(payload) if compress else payload
         out.append(SYNC + struct.pack("<BBIQ", 1, int(compress), len(payload), n) + payload + struct.pack("<I", zlib.crc32(payload)))
