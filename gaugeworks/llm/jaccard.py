@@ -1,19 +1,22 @@
 """N-gram Jaccard join with set-relation skipping: which texts link, and the groups that links form.
 
 A text's set holds its distinct SHINGLE-word shingles. Two texts link when their sets have a Jaccard similarity of
-PERCENT or more. The result is exact, at any group size, without all pairs of a group:
+PERCENT or more. The result is exact, at any group size, without a row for each pair of a group:
 
 1. Equal sets become one class; classes, not texts, are joined.
-2. Each class posts the first tokens of its set in one global order, rarest first: hash order, but the HEAVY most
-   frequent shingles last. Classes that link share l(n) = 1 + n // EXTRA of the first n - ceil(t n) + l(n) tokens.
-   Lists of one class are dropped.
+2. Each class posts the first tokens of its set in one global order, rarest first: by how common a shingle's words
+   are, and the HEAVY most frequent shingles last. Classes that link share l(n) = 1 + n // EXTRA of the first
+   n - ceil(t n) + l(n) tokens. Lists of one class are dropped.
 3. Highly similar sets: in each list and size band, classes are compared with the band's first one, a star and not all
-   pairs. The links found make clusters.
+   pairs, and each class with the centre that it meets most. Links make clusters; similarities of LOOSE or more make
+   families, each of one cluster or more.
 4. What is known of a similar set answers for the others: classes of a cluster are not compared again. Lists are cut
-   into blocks, one for each cluster; two blocks are skipped together when the positions of the token in them, or the
-   sizes, leave no overlap that could reach the threshold. Only clusters whose blocks meet on enough lists are opened,
-   and their classes are compared if they share enough tokens themselves.
-5. Groups are the connected components of all links, by alternating large and small stars.
+   into blocks, one for each family; two blocks are skipped together when the positions of the token in them, or the
+   sizes, leave no overlap that could reach the threshold. Families whose blocks meet on enough lists are opened.
+5. What is left to compare is, for each family, the classes outside of its largest cluster, and those of smaller
+   families opened with it, against that cluster and each other. Blocks of at most BLOCK tokens a side go to tasks,
+   which count common tokens by an index of one side and report a spanning forest of the links they find.
+6. Groups are the connected components of all links, by alternating large and small stars.
 
 Shingles are 64-bit hashes; a set is known by its size and two 64-bit sums of its hashes. The order, and so HEAVY, has
 no effect on the result. Sets are made again from the texts where they are compared; a filter of fixed width (BITS)
@@ -26,9 +29,11 @@ texts count as one document that links as either does; a null id gets its group'
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,9 @@ EXTRA = 32
 HEAVY = 1 << 16
 LOCAL = 3
 BITS = 23
+MARKS = 20
+LOOSE = 40
+BLOCK = 500_000
 
 
 def shared(frame: DataFrame) -> DataFrame:
@@ -56,20 +64,57 @@ def shared(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def shingle_sets(chunk: Chunk, n: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct hashes of each text."""
+def shingle_sets(chunk: Chunk, n: int = SHINGLE, common: np.ndarray | None = None) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct hashes of each text; with `common` (see Order) also how common their words are."""
     words = chunk.words(lower=True)
     out, text = words.grams(n)
     edges = np.searchsorted(text, np.arange(len(chunk) + 1))
+    if common is not None:
+        total = np.append(0, np.cumsum(common[(words.hash >> np.uint64(64 - MARKS)).astype(np.int64)], dtype=np.int64))
+        level = total[n:] - total[: len(total) - n]
+        owner = words.text
+        level = level[owner[: len(level)] == owner[n - 1 :]] if len(level) else level
     for i in range(len(chunk)):
         if edges[i] < edges[i + 1]:
-            yield np.unique(out[edges[i] : edges[i + 1]])
-        else:
-            few = words.hash[words.edges[i] : words.edges[i + 1]]
-            whole = np.zeros(1, np.uint64)
-            for h in few:
-                whole = whole * np.uint64(0xD1342543DE82EF95) + h
-            yield mix(whole + np.uint64(len(few))) if len(few) else np.empty(0, np.uint64)
+            mine = out[edges[i] : edges[i + 1]]
+            if common is None:
+                yield np.unique(mine)
+            else:
+                found, first = np.unique(mine, return_index=True)
+                yield found, level[edges[i] : edges[i + 1]][first]
+            continue
+        few = words.hash[words.edges[i] : words.edges[i + 1]]
+        whole = np.zeros(1, np.uint64)
+        for h in few:
+            whole = whole * np.uint64(0xD1342543DE82EF95) + h
+        found = mix(whole + np.uint64(len(few))) if len(few) else np.empty(0, np.uint64)
+        yield found if common is None else (found, np.zeros(len(found), np.int64))
+
+
+@dataclass(frozen=True)
+class Order:
+    """The global order of shingles: the HEAVY most frequent last, by count; before them by how common their words are
+    (a power of two for each word, by table of its hash), then by hash."""
+
+    tokens: np.ndarray
+    counts: np.ndarray
+    common: np.ndarray
+
+    def first(self, found: np.ndarray, level: np.ndarray, keep: int) -> np.ndarray:
+        marks = self.marks
+        rank = level.copy()
+        maybe = np.flatnonzero(marks[(found >> np.uint64(64 - MARKS)).astype(np.int64)])
+        if len(maybe):
+            place = np.minimum(np.searchsorted(self.tokens, found[maybe]), len(self.tokens) - 1)
+            sure = self.tokens[place] == found[maybe]
+            rank[maybe[sure]] = (1 << 32) + self.counts[place[sure]]
+        return found[np.argsort(rank, kind="stable")[:keep]]
+
+    @functools.cached_property
+    def marks(self) -> np.ndarray:
+        out = np.zeros(1 << MARKS, bool)
+        out[(self.tokens >> np.uint64(64 - MARKS)).astype(np.int64)] = True
+        return out
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -81,69 +126,70 @@ def extra(n: int) -> int:
     return 1 + n // EXTRA
 
 
-def heavy_shingles(documents: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most HEAVY shingles with the highest counts, sorted, and their counts, over all documents.
+class _Counts:
+    """Counts of hashes; now and then those seen once go, so that memory stays bounded."""
 
-    Each task sums up its own texts and reports at most HEAVY shingles that it has seen LOCAL times."""
+    def __init__(self) -> None:
+        self.keys, self.counts, self.waiting, self.held = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add(self, found: np.ndarray) -> None:
+        self.waiting.append(found)
+        self.held += len(found)
+        if self.held > 1 << 20:
+            self.merge(1)
+
+    def merge(self, least: int) -> None:
+        new, n_new = np.unique(np.concatenate([np.empty(0, np.uint64), *self.waiting]), return_counts=True)
+        self.waiting, self.held = [], 0
+        keys, place = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([self.counts, n_new]), len(keys)).astype(np.int64)
+        if least > 1 or len(keys) > 16 * HEAVY:
+            keep = np.flatnonzero(counts >= max(least, 2))
+            keep = np.sort(keep[np.argsort(-counts[keep], kind="stable")[:HEAVY]])
+            keys, counts = keys[keep], counts[keep]
+        self.keys, self.counts = keys, counts
+
+
+def global_order(documents: DataFrame, n: int) -> Order:
+    """From all documents. Each task sums up its own texts and reports at most HEAVY shingles and words that it has
+    seen LOCAL times; of all reports the HEAVY with the highest sums come to the driver, so what is broadcast is bounded."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        waiting: list[np.ndarray] = []
-
-        def merge(least: int) -> None:
-            nonlocal keys, counts
-            new, n_new = np.unique(np.concatenate([np.empty(0, np.uint64), *waiting]), return_counts=True)
-            waiting.clear()
-            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n_new]), len(keys)).astype(np.int64)
-            if least > 1 or len(keys) > 64 * HEAVY:
-                keep = np.flatnonzero(counts >= max(least, 2))
-                keep = np.sort(keep[np.argsort(-counts[keep], kind="stable")[:HEAVY]])
-                keys, counts = keys[keep], counts[keep]
-
-        held = 0
+        shingles, words = _Counts(), _Counts()
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 for s in shingle_sets(chunk, n):
-                    waiting.append(s)
-                    held += len(s)
-                if held > 1 << 22:
-                    merge(1)
-                    held = 0
-        merge(LOCAL)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["token", "n"])
-
-    found = documents.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "token").limit(HEAVY).collect()
-    tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.array([r["n"] for r in rows], np.int64)[order]
-
-
-def prefixes(documents: DataFrame, heavy: tuple[np.ndarray, np.ndarray], n: int, percent: int) -> DataFrame:
+                    shingles.add(s)
+                words.add(chunk.words(lower=True).hash)
+        for kind, x in enumerate((shingles, words)):
+            x.merge(LOCAL)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.keys), kind, np.int32)), pa.array(x.keys.view(np.int64)), pa.array(x.counts)], ["kind", "token", "n"])
+
+    found = shared(documents.select("text").mapInArrow(count, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
+    tops = []
+    for kind in (0, 1):
+        top = found.filter(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(HEAVY).select("token", "n").toArrow()
+        tokens = top.column("token").to_numpy().view(np.uint64)
+        order = np.argsort(tokens)
+        tops.append((tokens[order], top.column("n").to_numpy()[order]))
+    common = np.zeros(1 << MARKS, np.uint8)
+    np.maximum.at(common, (tops[1][0] >> np.uint64(64 - MARKS)).astype(np.int64), np.log2(np.maximum(tops[1][1], 1)).astype(np.uint8))
+    return Order(*tops[0], common)
+
+
+def prefixes(documents: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     """doc_id, n, a, b (the set's sums), prefix: the first tokens of the set, rarest first."""
-    tokens, weight = heavy
-    marks = np.zeros(1 << 20, bool)
-    marks[(tokens >> np.uint64(44)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, a, b, lists = [], [], [], []
             for chunk in chunks(batch.column("text")):
-                for s in shingle_sets(chunk, n):
+                for s, level in shingle_sets(chunk, n, order.common):
                     sizes.append(len(s))
                     a.append(int(mix(s).sum(dtype=np.uint64)) if len(s) else 0)
                     b.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
                     keep = len(s) - least_overlap(len(s), percent) + extra(len(s)) if len(s) else 0
-                    maybe = np.flatnonzero(marks[(s >> np.uint64(44)).astype(np.int64)])
-                    if len(maybe):
-                        place = np.minimum(np.searchsorted(tokens, s[maybe]), len(tokens) - 1)
-                        sure = tokens[place] == s[maybe]
-                        maybe, place = maybe[sure], place[sure]
-                        light = np.ones(len(s), bool)
-                        light[maybe] = False
-                        s = np.concatenate([s[light], s[maybe[np.lexsort((s[maybe], weight[place]))]]])
-                    lists.append(s[:keep].view(np.int64))
+                    lists.append(order.first(s, level, keep).view(np.int64))
             offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
             prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), prefix], ["doc_id", "n", "a", "b", "prefix"])
@@ -175,14 +221,14 @@ def sets_of(documents: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return rows.select("doc_id", "text", _bit(F.col("doc_id")).alias("bit")).mapInArrow(run, "doc_id long, set array<long>")
 
 
-def linked(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sets link."""
+def compared(pairs: DataFrame, documents: DataFrame, n: int, least: int) -> DataFrame:
+    """The pairs (x, y) with at least `least` percent similarity, and their sizes: x, y, common, every."""
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     sets = shared(sets_of(documents, nodes, n))
     both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("set").alias("one")), "x")
     both = both.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("two")), "y")
-    common = F.size(F.array_intersect("one", "two"))
-    return both.filter(100 * common >= percent * (F.size("one") + F.size("two") - common)).select("x", "y").distinct()
+    sizes = both.select("x", "y", F.size(F.array_intersect("one", "two")).alias("common"), (F.size("one") + F.size("two")).alias("sum"))
+    return sizes.select("x", "y", "common", (F.col("sum") - F.col("common")).alias("every")).filter(f"100 * common >= {least} * every")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,47 +264,143 @@ def _stars(postings: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) * 2).cast("int")
     w = Window.partitionBy("token", "band").orderBy("node")
     found = postings.withColumn("band", band).withColumn("y", F.first("node").over(w)).filter("node <> y")
-    pairs = found.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("met"), F.first("n").alias("n"))
-    return pairs.filter(f"2 * met >= 1 + n div {EXTRA}").select("x", "y")
+    # pairs that meet by chance on a list or two aren't worth a comparison; if one links, its families are opened
+    pairs = found.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter(f"2 * met >= 1 + n div {EXTRA}")
+    return pairs.groupBy("x").agg(F.max(F.struct("met", (-F.col("y")).alias("y"))).alias("best")).select("x", (-F.col("best.y")).alias("y"))
 
 
-def _between(postings: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of classes of different clusters that share enough tokens."""
-    named = postings.join(clusters.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    blocks = named.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("at").alias("at"), F.max(F.col("n") - F.col("at")).alias("rest"))
-    one = blocks.select("token", *(F.col(c).alias(f"{c}1") for c in ("root", "low", "high", "at", "rest")))
-    two = blocks.select("token", *(F.col(c).alias(f"{c}2") for c in ("root", "low", "high", "at", "rest")))
+def _opened(postings: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Families (one, two) that share enough tokens. members: node, family."""
+    named = postings.join(members.select("node", "family"), "node")
+    blocks = named.groupBy("token", "family").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("at").alias("at"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    sides = [blocks.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("family", "low", "high", "at", "rest"))) for i in (1, 2)]
     overlap = F.least("at1", "at2") + F.least("rest1", "rest2")
-    meet = one.join(two, "token").filter(
-        "root1 < root2" + f" and 100 * high1 >= {percent} * low2 and 100 * high2 >= {percent} * low1",
-    ).filter((100 + percent) * overlap >= percent * (F.col("low1") + F.col("low2")))
-    few = F.least(F.min("low1"), F.min("low2"))
-    opened = meet.groupBy("root1", "root2").agg(F.count("*").alias("met"), few.alias("n")).filter(f"met >= 1 + n div {EXTRA}").select("root1", "root2")
-    opened = shared(opened)
-    x = named.select("token", F.col("root").alias("root1"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    y = named.select("token", F.col("root").alias("root2"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    met = opened.join(x, "root1").join(y, ["root2", "token"])
-    met = met.filter(f"100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx").filter((100 + percent) * (F.least("ax", "ay") + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))) >= percent * (F.col("nx") + F.col("ny")))
-    pairs = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first(F.least("nx", "ny")).alias("n"))
-    return pairs.filter(f"met >= 1 + n div {EXTRA}").select("x", "y")
+    meet = sides[0].join(sides[1], "token").filter(f"family1 < family2 and 100 * high1 >= {percent} * low2 and 100 * high2 >= {percent} * low1")
+    meet = meet.filter((100 + percent) * overlap >= percent * (F.col("low1") + F.col("low2")))
+    few = F.least(F.min("low1"), F.min("low2")).alias("n")
+    return meet.groupBy(F.col("family1").alias("one"), F.col("family2").alias("two")).agg(F.count("*").alias("met"), few).filter(f"met >= 1 + n div {EXTRA}").select("one", "two")
+
+
+def _tasks(members: DataFrame, opened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of families of one class; and rows (task, other, node) of what is to be compared in blocks.
+
+    members: node, n, cluster, family."""
+    clusters = members.groupBy("family", "cluster").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    main = F.max(F.struct("size", (-F.col("cluster")).alias("cluster"), "tokens"))
+    families = clusters.groupBy("family").agg(F.sum("size").alias("size"), main.alias("main")).select("family", "size", (-F.col("main.cluster")).alias("main"), F.col("main.tokens").alias("main_tokens"))
+    families = shared(families)
+    side = lambda i, name: families.select(F.col("family").alias(name), F.col("size").alias(f"size{i}"))
+    sized = opened.join(side(1, "one"), "one").join(side(2, "two"), "two")
+    alone = sized.filter("size1 = 1 and size2 = 1").select(F.col("one").alias("x"), F.col("two").alias("y"))
+    first = F.expr("size1 > size2 or (size1 = size2 and one < two)")
+    guests = sized.filter("size1 > 1 or size2 > 1").select(F.when(first, F.col("one")).otherwise(F.col("two")).alias("host"), F.when(first, F.col("two")).otherwise(F.col("one")).alias("family"))
+    guests = guests.join(members.select("family", "node", "n"), "family").select(F.col("host").alias("family"), "node", "n")
+    homes = members.join(families.select("family", "main"), "family")
+    others = homes.filter("cluster <> main").select("family", "node", "n").unionByName(guests)
+    others = shared(others)
+    hosts = others.groupBy("family").agg(F.sum("n").alias("other_tokens")).join(families.select("family", "main", "main_tokens"), "family")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    hosts = hosts.select("family", "main", parts("other_tokens").alias("others"), parts("main_tokens").alias("mains"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    task = lambda kind, i, j: F.struct("family", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    guests = others.join(hosts, "family").withColumn("mine", deal(F.col("others")))
+    against_main = F.transform(every(F.col("mains")), lambda j: F.struct(task("main", F.col("mine"), j).alias("task"), F.lit(True).alias("other")))
+    among = F.transform(every(F.col("others")), lambda j: F.struct(task("other", F.least(F.col("mine"), j), F.greatest(F.col("mine"), j)).alias("task"), (F.col("mine") <= j).alias("other")))
+    rows = guests.select("node", F.explode(F.concat(against_main, among)).alias("t"))
+    hosted = members.join(hosts.withColumnRenamed("main", "cluster"), ["family", "cluster"]).withColumn("mine", deal(F.col("mains")))
+    mains = hosted.select("node", F.explode(F.transform(every(F.col("others")), lambda i: F.struct(task("main", i, F.col("mine")).alias("task"), F.lit(False).alias("other")))).alias("t"))
+    return alone, rows.unionByName(mains).select(F.xxhash64("t.task").alias("place"), F.to_json("t.task").alias("task"), "t.other", "node")
+
+
+def _forest(one: list[tuple[int, np.ndarray]], two: list[tuple[int, np.ndarray]], percent: int, apart: bool) -> list[tuple[int, int]]:
+    """Links between the sets of `one` and `two`, as a spanning forest; `apart`: not within `two`."""
+    rows = [*two, *one] if apart else one
+    if len(rows) < 2:
+        return []
+    nodes = [r[0] for r in rows]
+    size = np.array([len(r[1]) for r in rows])
+    tokens, place = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), size)
+    indexed = len(two) if apart else len(rows)  # only these rows are in the index
+    inside = owner < indexed
+    order = np.argsort(place[inside], kind="stable")
+    lists = owner[inside][order]
+    starts = np.searchsorted(place[inside][order], np.arange(len(tokens) + 1))
+    edges = np.append(0, np.cumsum(size))
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i in range(len(two) if apart else 0, len(rows)):
+        mine = place[edges[i] : edges[i + 1]]
+        n = starts[mine + 1] - starts[mine]
+        found = lists[np.arange(n.sum()) + np.repeat(starts[mine] - np.append(0, np.cumsum(n)[:-1]), n)]
+        common = np.bincount(found, minlength=indexed)
+        for j in np.flatnonzero(100 * common >= percent * (size[i] + size[:indexed] - common)).tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                parent[a] = b
+                out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+    return out
+
+
+def _block_links(tasks: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (x, y) that the tasks find."""
+    sets = sets_of(documents, tasks.select("node").distinct(), n)
+    rows = tasks.join(sets, F.col("node") == F.col("doc_id")).select("place", "task", "other", "node", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            apart = bool(sides[0]) and bool(sides[1])
+            links = _forest(sides[1], sides[0], percent, apart) if sides[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+        for batch in batches:
+            found = batch.column("set")
+            edges, values = found.offsets.to_numpy(), found.values.to_numpy()
+            for k, (task, other, node) in enumerate(zip(batch.column("task").to_pylist(), batch.column("other").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+                if task != now:
+                    if now is not None:
+                        yield done()
+                    now, sides = task, ([], [])
+                sides[other].append((node, values[edges[k] : edges[k + 1]].copy()))
+        if now is not None:
+            yield done()
+
+    return rows.repartition("place").sortWithinPartitions("place", "task").select("task", "other", "node", "set").mapInArrow(run, "x long, y long")
 
 
 def groups(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id. documents: doc_id, text."""
     documents = documents.select("doc_id", "text")
-    base = shared(prefixes(documents, heavy_shingles(documents, n), n, percent))
+    base = shared(prefixes(documents, global_order(documents, n), n, percent))
     classes = base.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")).filter("node is not null")
     postings = shared(_postings(classes))
     base = shared(base.drop("prefix"))
     del classes
-    stars = linked(shared(_stars(postings, percent)), documents, n, percent)
     ids = base.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"))
     # rows that share an id but no text are one document
-    same = base.filter("n > 0 and doc_id is not null").join(ids, ["n", "a", "b"]).filter("doc_id <> node").groupBy(F.col("doc_id").alias("x")).agg(F.min("node").alias("y"), F.max("node").alias("z")).filter("y <> z").select(F.col("y"), F.col("z").alias("x"))
-    first = shared(stars.unionByName(same))
-    clusters = components(first)
-    more = linked(shared(_between(postings, clusters, percent)), documents, n, percent)
-    roots = components(first.unionByName(more))
+    held = base.filter("n > 0 and doc_id is not null").select("doc_id", "n", "a", "b").join(ids, ["n", "a", "b"]).select("doc_id", "node").distinct()
+    several = held.groupBy("doc_id").agg(F.min("node").alias("y"), F.count("*").alias("texts")).filter("texts > 1")
+    same = held.join(several, "doc_id").filter("node <> y").select(F.col("node").alias("x"), "y")
+    stars = shared(compared(shared(_stars(postings, percent)), documents, n, LOOSE))
+    tight = shared(stars.filter(f"100 * common >= {percent} * every").select("x", "y").unionByName(same))
+    clusters = components(tight)
+    families = components(stars.select("x", "y").unionByName(tight))
+    members = postings.select("node", "n").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node", "left").join(families.withColumnRenamed("root", "family"), "node", "left")
+    members = shared(members.select("node", "n", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("family", "node").alias("family")))
+    alone, tasks = _tasks(members, shared(_opened(postings, members, percent)))
+    more = shared(compared(shared(alone), documents, n, percent).select("x", "y"))
+    blocks = shared(_block_links(shared(tasks), documents, n, percent))
+    roots = components(tight.unionByName(more).unionByName(blocks))
     named = base.join(ids, ["n", "a", "b"], "left").join(roots, "node", "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node", "doc_id").alias("component_id"))
 
