@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,10 @@ from gaugeworks.functions import expression, text, times, units
 from gaugeworks.operators import current, dedup, gaps, lateness, normalize, rolling, rules, stored, validate, windows
 from gaugeworks.plans import samples as S
 from gaugeworks.shipping import ship
+from gaugeworks.sources.csv import read_csv
+from gaugeworks.sources.jsonl import parse_lines
+from gaugeworks.sources.scratch import scratch
+from gaugeworks.sources.tlm import Reading, decode_files, encode
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,3 +391,44 @@ SELECT DISTINCT 'user-' || user_id AS device_id, 'UTC' AS timezone, '{"line":"A"
 add("status_counts", lambda spark, folder: stored.status(validate.gate(validate.file_counts(_validated(spark, folder)), 0.65, 100)), f"WITH {RECORD_SQL}, {COUNT_SQL} SELECT CASE WHEN business_errors / greatest(total, 100) > 0.65 THEN 'QUARANTINED' ELSE 'VALIDATED' END AS status, count(*) AS files FROM c GROUP BY 1")
 add("retention", lambda spark, folder: stored.retain(S.clean(spark, folder), 10, INGEST_US).groupBy("metric_id").agg(F.count("*").alias("n")), f"WITH s AS ({S.SQL}) SELECT metric_id, count(*) AS n FROM s WHERE event_time_us >= {INGEST_US - 10 * DAY} GROUP BY 1")
 add("orphans", lambda spark, folder: stored.orphans(S.clean(spark, folder).select("device_id", "arrival"), dimensions(spark, _settings(spark, folder))["devices"], "device_id"), "SELECT 'user-' || user_id AS device_id, event_id AS arrival FROM events WHERE user_id % 10 = 0")
+
+# Sources: the events written in a format and read again
+
+
+def _input(spark: SparkSession, folder: str) -> DataFrame:
+    """device_id, metric, event_time in ms, value (each 17th null), unit, quality, sequence, tags."""
+    rows = S.dirty(spark, folder)
+    return rows.select("device_id", F.col("metric_id").alias("metric"), F.expr("event_time_us div 1000").alias("event_time"), "value", F.lit("C").alias("unit"), (F.col("arrival") % 3).cast("int").alias("quality"), "sequence", F.create_map(F.lit("line"), F.concat(F.lit("L, "), F.col("device_id"))).alias("tags"))
+
+
+def _read(records: DataFrame) -> DataFrame:
+    rows = records.select("device_id", "metric", "event_time", "value", "unit", "quality", F.col("sequence").cast("long").alias("sequence"), text.tags_json(F.col("tags")).alias("tags"), "parse_error")
+    return rounded(rows, "value")
+
+
+def _csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    place = scratch(spark, "csv-scan")
+    rows = _input(spark, folder)
+    pairs = F.array_join(F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.lit("="), t["value"])), "|")
+    rows.withColumn("tags", pairs).write.option("header", True).csv(place)
+    return _read(read_csv(spark, [place]))
+
+
+def _jsonl_scan(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _input(spark, folder).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+    return _read(parse_lines(lines.select(F.lit("events").alias("file"), F.monotonically_increasing_id().alias("position"), "line")))
+
+
+def _encoded(frame: pd.DataFrame) -> pd.DataFrame:
+    readings = [Reading(r.device_id, r.metric, int(r.event_time), None if pd.isna(r.value) else float(r.value), r.unit, int(r.quality), int(r.sequence), dict(r.tags)) for r in frame.sort_values("sequence").itertuples()]
+    return pd.DataFrame({"path": [frame["device_id"].iloc[0]], "content": [encode(readings, compress=True)]})
+
+
+def _tlm_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(decode_files(_input(spark, folder).groupBy("device_id").applyInPandas(_encoded, "path string, content binary")))
+
+
+INPUT_SQL = f"""WITH s AS ({S.DIRTY_SQL}) SELECT device_id, metric_id AS metric, CAST(event_time_us // 1000 AS VARCHAR) AS event_time, {r("value", "value")}, 'C' AS unit, CAST(arrival % 3 AS INTEGER) AS quality, sequence, '{{"line":"L, ' || device_id || '"}}' AS tags, NULL::VARCHAR AS parse_error FROM s"""
+add("csv_scan", _csv_scan, INPUT_SQL)
+add("jsonl_scan", _jsonl_scan, INPUT_SQL)
+add("tlm_scan", _tlm_scan, INPUT_SQL)

@@ -175,6 +175,11 @@ def encode(readings: list[Reading], created_at_ms: int = 0, compress: bool = Fal
 
 def read_tlm(spark: SparkSession, paths: list[str]) -> DataFrame:
     """RECORD rows of the files. A file with a bad header is one row with parse_error."""
+    return decode_files(spark.read.format("binaryFile").load(paths).select("path", "content"))
+
+
+def decode_files(contents: DataFrame) -> DataFrame:
+    """RECORD rows of files given as path and content."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["file", *(x.split()[0] for x in ROWS.replace("map<string,string>", "m").split(", "))]
@@ -192,6 +197,6 @@ def read_tlm(spark: SparkSession, paths: list[str]) -> DataFrame:
                 out = pd.DataFrame(rows, columns=names, dtype=object)
                 yield out.astype({"quality": "Int32", "position": "int64", "value": "float64"}) if len(out) else out
 
-    found = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, " + ROWS)
+    found = contents.select("path", "content").mapInPandas(run, "file string, " + ROWS)
     value = F.when(F.isnan("value") & F.col("has_value"), F.lit(None)).otherwise(F.col("value"))
     return found.select("device_id", "metric", "event_time", "has_value", value.alias("value"), "unit", "quality", F.col("sequence").cast("decimal(20,0)").alias("sequence"), "tags", F.lit(None).cast("string").alias("ext_json"), "file", "position", F.lit(None).cast("string").alias("raw"), "parse_error")
