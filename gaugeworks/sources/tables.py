@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The stored rows, without the batch column; empty if there are none yet."""
+def read_table(spark: SparkSession, path: str, schema: str, but: str | None = None) -> DataFrame:
+    """The stored rows, without the batch column and without the batch `but`; empty if there are none yet."""
     try:
         found = spark.read.schema(f"{schema}, batch string, day date").parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    found = found if but is None else found.filter(F.col("batch") != but)
     return found.drop("batch", "day")
 
 

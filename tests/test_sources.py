@@ -148,3 +148,33 @@ def test_streams(spark, tmp_path):
         query = f(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
         assert spark.table(name).count() > 0
+
+
+def test_streamed_import_and_rules(spark, tmp_path):
+    from gaugeworks.config import Rule
+    from gaugeworks.operators import rules
+    from gaugeworks.plans.samples import clean
+    from gaugeworks.streaming.imports import import_stream
+    from gaugeworks.streaming.rules import run_rules_stream
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name in ("a", "b"):
+        write_jsonl(inbox / f"{name}.jsonl")
+        import_stream(spark, str(inbox), SETTINGS, str(tmp_path / "store"), NOW, str(tmp_path / "cp")).awaitTermination()
+        assert tables.read_table(spark, str(tmp_path / "store" / "samples"), ingest.SAMPLES).count() == 4
+
+    rule = Rule("r", "click > 60", "click < 30", cooldown_us=3_600_000_000)
+    found = rules.evaluations(clean(spark, "/root/testdata/sf0.001"), [rules.compile_rule(rule, ["click"])])
+    whole = {r.incident_uuid: r for r in rules.incidents(rules.run_rules(found, [rule])).collect()}
+    middle = found.approxQuantile("event_time_us", [0.5], 0)[0]
+    for i, part in enumerate((f"event_time_us <= {middle}", f"event_time_us > {middle}")):
+        found.filter(part).coalesce(1).write.parquet(str(tmp_path / "ev" / f"p{i}"))
+    source = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "ev"))
+    query = run_rules_stream(source, [rule]).writeStream.format("memory").queryName("incident_rows").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = {}
+    for r in rules.incidents(spark.table("incident_rows")).collect():
+        if r.incident_uuid not in last or (r.ended_us or 0, r.hit_count) >= (last[r.incident_uuid].ended_us or 0, last[r.incident_uuid].hit_count):
+            last[r.incident_uuid] = r
+    assert last == whole and len(whole) > 3
