@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 ORDER = 4
 NGRAMS = 1 << 16
 CONTEXTS = 1 << 15
+CHECKS = 256
 ALPHABET = 96
 REJECT_AT = 0.5
 REJECT_WORDS = ("casino", "bets", "poker", "pills", "viagra", "adult", "porn", "xxx", "spam", "ads", "track", "loan", "cheap")
@@ -71,7 +72,10 @@ def _slot(gram: Column, width: int) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """p(c | k characters) = own[slot of them and c] + rest[slot of them] * p(c | k - 1 characters)."""
+    """p(c | k characters) = own[slot of them and c] + rest[slot of them] * p(c | k - 1 characters).
+
+    A whole number before the fraction in `own` tells the context's slot modulo CHECKS: with another context the slot
+    belongs to another n-gram, and the share is 0."""
 
     own: list[float]
     rest: list[float]
@@ -98,38 +102,43 @@ def _models(labelled: DataFrame) -> tuple[Model, Model]:
             kinds[r["context"]] += r["kinds"]
         own = [0.0] * NGRAMS
         for r in mine:
-            own[r["gram"]] += r["n"] / (seen[r["context"]] + kinds[r["context"]])
+            share = r["n"] / (seen[r["context"]] + kinds[r["context"]])
+            if share > own[r["gram"]] % 1:
+                own[r["gram"]] = r["context"] % CHECKS + min(share, 1 - 1e-6)
         out.append(Model(own, [k / (n + k) if n else 1.0 for n, k in zip(seen, kinds, strict=True)], sum(r["n"] for r in mine)))
     return out[0], out[1]
 
 
 def _constant(values: list[float]) -> Column:
     """An array that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(f"{x:.9g}" for x in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{x:.10g}" for x in values)), ",").cast("array<double>")
 
 
 def score_of(text: Column, accepted: Model, rejected: Model) -> Column:
-    """Mean over the characters of log p(accepted) - log p(rejected)."""
-    own = [_constant(m.own) for m in (accepted, rejected)]
-    rest = [_constant(m.rest) for m in (accepted, rejected)]
+    """Mean over the characters of log p(accepted) - log p(rejected).
+
+    Texts and tables are bound as arguments of lambdas: an argument is computed, and stands in the plan, once."""
+    tables = F.array(F.struct(*(_constant(v).alias(n) for n, v in (("own0", accepted.own), ("rest0", accepted.rest), ("own1", rejected.own), ("rest1", rejected.rest)))))
 
     def slots(window: Column) -> Column:
         grams = [_slot(F.substring(window, ORDER + 1 - k, k + 1), NGRAMS) for k in range(ORDER + 1)]
         contexts = [_slot(F.substring(window, ORDER + 1 - k, k), CONTEXTS) for k in range(ORDER + 1)]
         return F.array(*grams, *contexts)
 
-    def likelihood(x: Column, side: int) -> Column:
+    def likelihood(x: Column, table: Column, side: int) -> Column:
         p = F.lit(1.0 / ALPHABET)
         for k in range(ORDER + 1):
-            p = F.get(own[side], F.get(x, F.lit(k))) + F.get(rest[side], F.get(x, F.lit(ORDER + 1 + k))) * p
+            context = F.get(x, F.lit(ORDER + 1 + k))
+            share = F.get(table[f"own{side}"], F.get(x, F.lit(k)))
+            p = F.when(F.floor(share) == F.pmod(context, F.lit(CHECKS)), F.pmod(share, F.lit(1.0))).otherwise(0.0) + F.get(table[f"rest{side}"], context) * p
         return p
 
-    def score(t: Column) -> Column:  # a lambda's argument is computed once, a column's expression at each use
+    def score(t: Column, table: Column) -> Column:
         windows = F.transform(F.sequence(F.lit(1), F.length(t) - ORDER), lambda i: F.substring(t, i, F.lit(ORDER + 1)))
-        each = F.transform(F.transform(windows, slots), lambda x: F.log(likelihood(x, 0) / likelihood(x, 1)))
+        each = F.transform(F.transform(windows, slots), lambda x: F.log(likelihood(x, table, 0) / likelihood(x, table, 1)))
         return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (F.length(t) - ORDER)
 
-    return F.get(F.transform(F.array(text), score), F.lit(0))
+    return F.get(F.transform(F.array(text), lambda t: F.get(F.transform(tables, lambda table: score(t, table)), F.lit(0))), F.lit(0))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject_words: tuple[str, ...] = REJECT_WORDS, reject_at: float = REJECT_AT, column: str = "url") -> DataFrame:
