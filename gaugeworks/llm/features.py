@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
-SEGMENT = 1 << 21
+CHUNK = 1 << 20
+SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # 1 modulo 4
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -94,17 +94,20 @@ class Sparse:
     """Rows of features as one list of entries."""
 
     def __init__(self, slots: list[bytes], weights: list[bytes], width: int):
-        found = [np.frombuffer(x, np.int32) for x in slots]
-        self.rows, self.width = len(found), width
-        self.row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        self.slot = np.concatenate(found) if found else np.empty(0, np.int32)
-        self.value = np.concatenate([np.frombuffer(x, np.float32) for x in weights]) if found else np.empty(0, np.float32)
+        self.rows, self.width = len(slots), width
+        self.counts = np.array([len(x) // 4 for x in slots], np.int64)
+        self.slot, self.value = np.frombuffer(b"".join(slots), np.int32), np.frombuffer(b"".join(weights), np.float32)
+        self.full = np.flatnonzero(self.counts)
+        self.starts = (np.cumsum(self.counts) - self.counts)[self.full]
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.slot] * self.value, self.rows)
+        out = np.zeros(self.rows)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(w[self.slot] * self.value, self.starts)
+        return out
 
     def back(self, errors: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slot, errors[self.row] * self.value, self.width)
+        return np.bincount(self.slot, np.repeat(errors, self.counts) * self.value, self.width)
 
 
 def fit_in_one_task(vectors: DataFrame, fit: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
