@@ -10,8 +10,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+ARROW_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the session's Python workers, once for each application."""
+    """Give this package to the session's Python workers, once for each application, and set the size of their batches."""
+    # texts are long: smaller batches for Python bound the memory of both sides
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_gaugeworks_shipped", False):
         return
