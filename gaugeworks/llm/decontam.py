@@ -1,13 +1,14 @@
 """Benchmark decontamination: BM25 retrieval of test items for every training passage by block-max WAND, then overlap.
 
-Test items, cut into entries of at most ENTRY words, form an inverted index: for each term its postings (entry, impact),
+Test items, cut into entries of at most ENTRY words that begin every STEP words, form an inverted index: for each term its postings (entry, impact),
 and for each term and block of BLOCK entries the largest impact. An impact is a term's BM25 weight divided by the sum of
 its entry's, so that an entry scores 1 against a passage that holds all of it. Passages are windows of WINDOW words,
 beginning every STRIDE words, over the whole text, so any run of ENTRY words lies in one of them. The block maxima give
 the bound of every (passage, block) of a batch at once; blocks whose bound is below THRESHOLD are skipped, the others
 are walked by WAND's pivots with full scores. Every entry at or above the threshold is then verified: the shares of its
 question's and of its answer's word n-grams that the passage holds must both reach their limits. The answer is the last
-quarter of an entry, three words at least.
+quarter of the words, three at least: of an entry, so that any run of ENTRY words of an item is found wherever it begins,
+and for an item of several entries also of the whole item, held against all retrieved passages of the document together.
 
 Words are runs without white space and ASCII punctuation, lower-cased. The index goes to the tasks in slices of
 about SLICE items, however many items there are; each slice is one pass over the documents, with its own term weights.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.features import PUNCTUATION, Words, chunks, mix
 
 ENTRY = 64
+STEP = 16
 WINDOW = 128
 STRIDE = 64
 BLOCK = 4
@@ -52,12 +54,20 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def parts_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Question and answer."""
+    k = min(len(words), max(3, len(words) // 4))
+    return words[: len(words) - k], words[len(words) - k :]
+
+
 @dataclass
 class Index:
     """Terms are numbers: places in `vocabulary`, the sorted word hashes."""
 
     items: np.ndarray  # item of each entry
     parts: list[tuple[np.ndarray, np.ndarray]]  # words of its question and answer
+    whole: list[int]  # place in `wholes` of each entry's item, -1 if the entry is the item
+    wholes: list[tuple[np.ndarray, np.ndarray]]  # questions and answers of the items of several entries
     vocabulary: np.ndarray
     term_start: np.ndarray  # postings of term t: term_start[t] to term_start[t + 1]
     entries: np.ndarray
@@ -74,24 +84,30 @@ class Index:
 
 def build_index(rows: list[tuple[int, str | None]]) -> Index | None:
     """None if there are no words."""
-    ids, found = [], []
+    ids, found, whole, wholes, row = [], [], [], [], []
     column = pc.utf8_lower(pa.array([x[1] for x in rows], pa.string()))
     for chunk in chunks(column):
         words = chunk.words(between=PUNCTUATION)
         for i in range(len(chunk)):
             mine = words.hash[words.edges[i] : words.edges[i + 1]]
-            for a in range(0, len(mine), ENTRY):
+            last = len(mine) - ENTRY
+            if last > 0:
+                wholes.append(parts_of(mine))
+            for a in [*range(0, last, STEP), max(0, last)] if len(mine) else []:
                 ids.append(rows[chunk.first + i][0])
-                found.append(mine[max(0, min(a, len(mine) - ENTRY)) : a + ENTRY])
+                found.append(mine[a : a + ENTRY])
+                whole.append(len(wholes) - 1 if last > 0 else -1)
+                row.append(chunk.first + i)
     if not found:
         return None
     pairs = [np.unique(x, return_counts=True) for x in found]
     vocabulary, term = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
     entry = np.repeat(np.arange(len(found)), [len(p[0]) for p in pairs])
     count = np.concatenate([p[1] for p in pairs])
-    held = np.bincount(term, minlength=len(vocabulary))
+    # an item counts once for a term, however many of its entries hold it
+    held = np.bincount(np.unique(np.array(row)[entry] * len(vocabulary) + term) % len(vocabulary), minlength=len(vocabulary))
     length = np.array([len(x) for x in found])
-    idf = np.log(1 + (len(found) - held + 0.5) / (held + 0.5))
+    idf = np.log(1 + (len(set(row)) - held + 0.5) / (held + 0.5))
     weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[entry] / length.mean()))
     impact = weight / np.bincount(entry, weight)[entry]
     order = np.lexsort((entry, term))
@@ -103,8 +119,8 @@ def build_index(rows: list[tuple[int, str | None]]) -> Index | None:
     np.maximum.at(block_most, place, impact)
     block_term = cell // (len(found) + 1)
     starts = np.arange(len(vocabulary) + 1)
-    parts = [(x[: len(x) - k], x[len(x) - k :]) for x in found for k in [min(len(x), max(3, len(x) // 4))]]
-    return Index(np.array(ids, np.int64), parts, vocabulary, np.searchsorted(term, starts), entry, impact, most, np.searchsorted(block_term, starts), cell % (len(found) + 1), block_most)
+    parts = [parts_of(x) for x in found]
+    return Index(np.array(ids, np.int64), parts, whole, wholes, vocabulary, np.searchsorted(term, starts), entry, impact, most, np.searchsorted(block_term, starts), cell % (len(found) + 1), block_most)
 
 
 def spread(start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,17 +198,32 @@ def retrieve(index: Index, words: Words, threshold: float = THRESHOLD) -> Iterat
                 yield int(text[low + w]), int(start[low + w]), int(end[low + w]), entry, score
 
 
+def shares(parts: tuple[np.ndarray, np.ndarray], words: Words, spans: list[tuple[int, int]]) -> list[float]:
+    """The shares of question and answer that the spans hold together."""
+    out = []
+    for part, n in zip(parts, (QUESTION_GRAM, ANSWER_GRAM), strict=True):
+        mine, n = grams(part, n), min(n, max(1, len(part)))
+        out.append(float(np.isin(mine, np.concatenate([grams(words.hash[a:b], n) for a, b in spans])).mean()) if len(part) else 1.0)
+    return out
+
+
 def verified(index: Index, words: Words, hits: Iterator[tuple[int, int, int, int, float]]) -> dict[tuple[int, int], tuple]:
     """For each text and item: its best passage whose overlap is enough (score, minus first word; then both overlaps)."""
     out: dict[tuple[int, int], tuple] = {}
+    several: dict[tuple[int, int, int], dict[tuple[int, int], float]] = {}  # by text, whole, item
+
+    def judge(text: int, item: int, best: tuple[float, int], found: list[float]) -> None:
+        if found[0] >= QUESTION and found[1] >= ANSWER:
+            out[text, item] = max(out.get((text, item), (-math.inf,)), (*best, *found))
+
     for text, a, b, entry, score in hits:
-        shares = []
-        for part, n in zip(index.parts[entry], (QUESTION_GRAM, ANSWER_GRAM), strict=True):
-            mine = grams(part, n)
-            shares.append(float(np.isin(mine, grams(words.hash[a:b], min(n, max(1, len(part))))).mean()) if len(part) else 1.0)
-        if shares[0] >= QUESTION and shares[1] >= ANSWER:
-            key = (text, int(index.items[entry]))
-            out[key] = max(out.get(key, (-math.inf,)), (score, int(words.edges[text]) - a, *shares))
+        judge(text, int(index.items[entry]), (score, int(words.edges[text]) - a), shares(index.parts[entry], words, [(a, b)]))
+        if index.whole[entry] >= 0:
+            spans = several.setdefault((text, index.whole[entry], int(index.items[entry])), {})
+            spans[a, b] = max(score, spans.get((a, b), 0.0))
+    for (text, whole, item), spans in several.items():
+        best = max((score, int(words.edges[text]) - a) for (a, _), score in spans.items())
+        judge(text, item, best, shares(index.wholes[whole], words, list(spans)))
     return out
 
 

@@ -74,3 +74,19 @@ def test_edge_cases(spark, edge):
     assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(edge, some).collect()) == [(4, 1), (4, 2)]
     assert decontam.leaks(edge.limit(0), some).count() == 0
     assert np.array_equal(decontam.grams(np.array([], np.uint64), 3), np.array([], np.uint64))
+
+
+def test_runs_of_long_items(spark, documents):
+    """A run of an item is found wherever it begins: the item's half question and half answer, or an entry's words."""
+    item = [f"i{k}" for k in range(128)]
+    filler = lambda n: " ".join(R.choices([f"f{k}" for k in range(500)], k=n))
+    run = lambda item, a, b: f"{filler(R.randint(0, 150))} {' '.join(item[a:b])} {filler(R.randint(0, 150))}"
+    for n in (97, decontam.ENTRY):
+        texts = [run(item, a, a + n) for a in range(len(item) - n + 1)]
+        benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        assert sorted(r.doc_id for r in decontam.leaks(documents(texts), benchmark).collect()) == list(range(len(texts)))
+        assert decontam.decontaminate(documents(texts), benchmark).count() == 0
+    # of 72 words: question words 25 to 53 and answer words 54 to 63
+    benchmark = spark.createDataFrame([(1, " ".join(item[:72]))], "item_id long, text string")
+    texts = [run(item, 25, 64), run(item, 54, 72), run(item, 0, 30), filler(200)]
+    assert [r.doc_id for r in decontam.leaks(documents(texts), benchmark).collect()] == [0]
