@@ -71,7 +71,7 @@ def shingle_sets(chunk: Chunk, n: int = SHINGLE, common: np.ndarray | None = Non
     edges = np.searchsorted(text, np.arange(len(chunk) + 1))
     if common is not None:
         total = np.append(0, np.cumsum(common[(words.hash >> np.uint64(64 - MARKS)).astype(np.int64)], dtype=np.int64))
-        level = total[n:] - total[: len(total) - n]
+        level = total[n:] - total[: max(0, len(total) - n)]
         owner = words.text
         level = level[owner[: len(level)] == owner[n - 1 :]] if len(level) else level
     for i in range(len(chunk)):

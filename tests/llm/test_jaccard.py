@@ -3,9 +3,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaugeworks.llm import jaccard
+from gaugeworks.llm.features import chunks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,3 +94,18 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 200), (200, 300), (100, 100)] + [(500, 500 + i) for i in range(1, 30)]
     found = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert found == {i: 0 for i in range(1, 41)} | {200: 100, 300: 100} | {500 + i: 500 for i in range(1, 30)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_chunks_of_few_words(n):
+    """Chunks that hold fewer words in all than a shingle, and some more."""
+    common = np.ones(1 << jaccard.MARKS, np.int64)
+    for count in range(8):
+        for texts in ([" ".join(f"w{i}" for i in range(count))], [f"w{i}" for i in range(count)] or [""]):
+            for chunk in chunks(pa.array(texts)):
+                plain = list(jaccard.shingle_sets(chunk, n))
+                found = list(jaccard.shingle_sets(chunk, n, common))
+                assert len(plain) == len(found) == len(chunk)
+                assert all(np.array_equal(a, b) and len(b) == len(level) for a, (b, level) in zip(plain, found, strict=True))
+                if len(texts) == 1 and count >= n:
+                    assert all((level == n).all() for _, level in found)
