@@ -2,27 +2,30 @@
 
 Two smoothed variable-order Markov models of host and path, up to ORDER characters of context, are counted over all
 URLs: rejected are those whose host holds a word of REJECT_WORDS, accepted the others. Each model interpolates the orders by Witten and Bell's rule, so a context weighs
-as it has been seen; counts lie in tables of fixed width, indexed by a hash. A URL's score is the difference of its
-log-likelihoods divided by its length; the scores of both classes, taken as normal with one variance, calibrate it to a
-probability, and a URL is blocked at REJECT_AT or more.
-
-What is collected are the count tables, whose hashed slots bound them however large the input, and the sums of two
-normal distributions. Defined cases: a null url or one without :// has an empty host and path, fits no rule and is allowed; without
-URLs of both classes everything that no rule blocks is allowed; repeated rows each get a row; other columns pass
-through judge_urls untouched.
+as it has been seen. A URL's score is the difference of its log-likelihoods divided by its length; the scores of both
+classes, taken as normal with one variance, calibrate it to a probability, and a URL is blocked at REJECT_AT or more.
+
+Counts are exact and lie in a table of all n-grams, which grows with the input and is never collected. Probabilities are
+joined up order by order; a key of these joins has as many rows as there are characters. The scores are joined from the
+distinct windows of ORDER + 1 characters; windows with one in NGRAMS places or more, of which there are NGRAMS at most,
+are broadcast, so that no key of the other join has many rows. What is collected are sums. Defined cases: a null url or
+one without :// has an empty host and path, fits no rule and is allowed; without URLs of both classes everything that no
+rule blocks is allowed; repeated rows each get a row; other columns pass through judge_urls untouched.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.jaccard import shared
+
 ORDER = 4
 NGRAMS = 1 << 16
+# Without effect since contexts are counted exactly; the tests set it.
 CONTEXTS = 1 << 15
-CHECKS = 256
 ALPHABET = 96
 REJECT_AT = 0.5
 REJECT_WORDS = ("casino", "bets", "poker", "pills", "viagra", "adult", "porn", "xxx", "spam", "ads", "track", "loan", "cheap")
@@ -66,79 +69,52 @@ def _text(host: Column, path: Column) -> Column:
     return F.concat(F.lit("\x02" * ORDER), host, path, F.lit("\x03"))
 
 
-def _slot(gram: Column, width: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(gram), 64 - (width.bit_length() - 1)).cast("int")
+def _windows(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - ORDER), lambda i: F.substring(text, i, F.lit(ORDER + 1)))
 
 
-@dataclass(frozen=True)
-class Model:
-    """p(c | k characters) = own[slot of them and c] + rest[slot of them] * p(c | k - 1 characters).
-
-    A whole number before the fraction in `own` tells the context's slot modulo CHECKS: with another context the slot
-    belongs to another n-gram, and the share is 0."""
-
-    own: list[float]
-    rest: list[float]
-    characters: int
-
-
-def _models(labelled: DataFrame) -> tuple[Model, Model]:
-    """Of accepted and rejected. labelled: text, rejected (0 or 1)."""
-    places = F.sequence(F.lit(ORDER + 1), F.length("text"))
-    windows = labelled.select("rejected", F.explode(F.transform(places, lambda i: F.substring(F.col("text"), i - ORDER, F.lit(ORDER + 1)))).alias("window"))
-    windows = windows.groupBy("rejected", "window").agg(F.count("*").alias("n"))
-    grams = windows.select("rejected", F.explode(F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substring(F.col("window"), ORDER + 2 - k, k))).alias("gram"), "n")
-    grams = grams.groupBy("rejected", "gram").agg(F.sum("n").alias("n"))
-    context = F.substring(F.col("gram"), F.lit(1), F.length("gram") - 1)
-    slots = grams.select("rejected", "n", _slot(F.col("gram"), NGRAMS).alias("gram"), _slot(context, CONTEXTS).alias("context"))
-    found = slots.groupBy("rejected", "gram", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    rows = found.orderBy("rejected", "gram", "context").collect()
-    out = []
-    for side in (0, 1):
-        mine = [r for r in rows if r["rejected"] == side]
-        seen, kinds = [0] * CONTEXTS, [0] * CONTEXTS
-        for r in mine:
-            seen[r["context"]] += r["n"]
-            kinds[r["context"]] += r["kinds"]
-        own = [0.0] * NGRAMS
-        for r in mine:
-            share = r["n"] / (seen[r["context"]] + kinds[r["context"]])
-            if share > own[r["gram"]] % 1:
-                own[r["gram"]] = r["context"] % CHECKS + min(share, 1 - 1e-6)
-        out.append(Model(own, [k / (n + k) if n else 1.0 for n, k in zip(seen, kinds, strict=True)], sum(r["n"] for r in mine)))
-    return out[0], out[1]
-
-
-def _constant(values: list[float]) -> Column:
-    """An array that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(f"{x:.10g}" for x in values)), ",").cast("array<double>")
-
-
-def score_of(text: Column, accepted: Model, rejected: Model) -> Column:
-    """Mean over the characters of log p(accepted) - log p(rejected).
-
-    Texts and tables are bound as arguments of lambdas: an argument is computed, and stands in the plan, once."""
-    tables = F.array(F.struct(*(_constant(v).alias(n) for n, v in (("own0", accepted.own), ("rest0", accepted.rest), ("own1", rejected.own), ("rest1", rejected.rest)))))
-
-    def slots(window: Column) -> Column:
-        grams = [_slot(F.substring(window, ORDER + 1 - k, k + 1), NGRAMS) for k in range(ORDER + 1)]
-        contexts = [_slot(F.substring(window, ORDER + 1 - k, k), CONTEXTS) for k in range(ORDER + 1)]
-        return F.array(*grams, *contexts)
-
-    def likelihood(x: Column, table: Column, side: int) -> Column:
-        p = F.lit(1.0 / ALPHABET)
-        for k in range(ORDER + 1):
-            context = F.get(x, F.lit(ORDER + 1 + k))
-            share = F.get(table[f"own{side}"], F.get(x, F.lit(k)))
-            p = F.when(F.floor(share) == F.pmod(context, F.lit(CHECKS)), F.pmod(share, F.lit(1.0))).otherwise(0.0) + F.get(table[f"rest{side}"], context) * p
-        return p
-
-    def score(t: Column, table: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.length(t) - ORDER), lambda i: F.substring(t, i, F.lit(ORDER + 1)))
-        each = F.transform(F.transform(windows, slots), lambda x: F.log(likelihood(x, table, 0) / likelihood(x, table, 1)))
-        return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (F.length(t) - ORDER)
-
-    return F.get(F.transform(F.array(text), lambda t: F.get(F.transform(tables, lambda table: score(t, table)), F.lit(0))), F.lit(0))
+def _grams(texts: DataFrame) -> DataFrame:
+    """All n-grams up to ORDER + 1 characters: gram, n0 and n1 (times in accepted and rejected), places (in distinct texts).
+
+    texts: text, rejected (0 or 1), copies."""
+    counts = [F.sum(F.when(F.col("rejected") == side, F.col("copies")).otherwise(0)).alias(f"n{side}") for side in (0, 1)]
+    windows = texts.select("rejected", "copies", F.explode(_windows(F.col("text"))).alias("window")).groupBy("window").agg(*counts, F.count("*").alias("places"))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substring(F.col("window"), ORDER + 2 - k, k))
+    return windows.select(F.explode(ends).alias("gram"), "n0", "n1", "places").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "places")))
+
+
+def _ratios(grams: DataFrame) -> DataFrame:
+    """log p(accepted) - log p(rejected) of each window's last character: window, ratio, places.
+
+    p(c | k characters) = (n(them and c) + kinds * p(c | k - 1 characters)) / (n(them) + kinds)"""
+    context = Window.partitionBy(F.substring(F.col("gram"), F.lit(1), F.length("gram") - 1))
+    seen = [F.sum(f"n{side}").over(context).alias(f"seen{side}") for side in (0, 1)]
+    kinds = [F.count(F.when(F.col(f"n{side}") > 0, 1)).over(context).alias(f"kinds{side}") for side in (0, 1)]
+    known = shared(grams.select("*", *seen, *kinds))
+
+    def p(side: int, lower: Column) -> Column:
+        n, seen, kinds = (F.col(f"{x}{side}") for x in ("n", "seen", "kinds"))
+        return F.when(seen > 0, (n + kinds * lower) / (seen + kinds)).otherwise(lower).alias(f"p{side}")
+
+    out = None
+    for k in range(ORDER + 1):
+        mine = known.filter(F.length("gram") == k + 1)
+        lower = [F.lit(1.0 / ALPHABET)] * 2
+        if out is not None:
+            mine = mine.withColumn("end", F.substring("gram", 2, k)).join(out.select(F.col("gram").alias("end"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "end")
+            lower = [F.col("q0"), F.col("q1")]
+        out = mine.select("gram", "places", *(p(side, lower[side]) for side in (0, 1)))
+    return out.select(F.col("gram").alias("window"), F.log(F.col("p0") / F.col("p1")).alias("ratio"), "places")
+
+
+def _scored(texts: DataFrame, ratios: DataFrame, places: int) -> DataFrame:
+    """texts with score: mean over the characters of log p(accepted) - log p(rejected). texts: id, text, ..."""
+    heavy = F.col("places") * NGRAMS >= places
+    found = texts.select("id", F.explode(_windows(F.col("text"))).alias("window")).join(F.broadcast(ratios.filter(heavy).select("window", "ratio")), "window", "left")
+    light = found.filter("ratio is null").select("id", "window").join(ratios.filter(~heavy).select("window", "ratio"), "window")
+    sums = [x.groupBy("id").agg(F.sum("ratio").alias("ratio")) for x in (found.filter("ratio is not null"), light)]
+    total = sums[0].unionAll(sums[1]).groupBy("id").agg(F.sum("ratio").alias("ratio"))
+    return texts.join(total, "id").select("text", "rejected", "copies", (F.col("ratio") / (F.length("text") - ORDER)).alias("score"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject_words: tuple[str, ...] = REJECT_WORDS, reject_at: float = REJECT_AT, column: str = "url") -> DataFrame:
@@ -150,18 +126,24 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject_words:
     words = F.lit(False)
     for w in reject_words:
         words |= F.contains("host", F.lit(w))
-    rejected = words.cast("int")
-    labelled = rows.filter(F.col("host") != "").select(_text(F.col("host"), F.col("path")).alias("text"), rejected.alias("rejected"))
-    models = _models(labelled)
+    rows = rows.select("*", F.when(F.col("host") != "", _text(F.col("host"), F.col("path"))).alias("text"), words.cast("int").alias("rejected"))
+    texts = rows.filter("text is not null").groupBy("text", "rejected").agg(F.count("*").alias("copies"))
+    texts = shared(texts.withColumn("id", F.monotonically_increasing_id()))
+    grams = shared(_grams(texts))
+    total = grams.filter(F.length("gram") == ORDER + 1).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "places"))).first()
     verdict = F.lit("allow")
     score = probability = F.lit(None).cast("double")
-    if all(m.characters for m in models):
-        rows = rows.select("*", F.when(F.col("host") != "", score_of(_text(F.col("host"), F.col("path")), *models)).alias("score"))
-        sums = labelled.select("rejected", score_of(F.col("text"), *models).alias("score")).groupBy("rejected").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.coalesce(F.var_pop("score"), F.lit(0.0)).alias("variance")).collect()
-        by = {r["rejected"]: r for r in sums}
-        pooled = max(1e-6, sum(r["n"] * r["variance"] for r in sums) / sum(r["n"] for r in sums))
-        slope = (by[1]["mean"] - by[0]["mean"]) / pooled
-        middle = (by[1]["mean"] + by[0]["mean"]) / 2
+    if total["n0"] and total["n1"]:
+        scores = shared(_scored(texts, shared(_ratios(grams)), total["places"]))
+        mean = F.sum(F.col("copies") * F.col("score")) / F.sum("copies")
+        means = {r["rejected"]: r for r in scores.groupBy("rejected").agg(F.sum("copies").alias("n"), mean.alias("mean")).collect()}
+        off = F.col("score") - F.when(F.col("rejected") == 1, means[1]["mean"]).otherwise(means[0]["mean"])
+        pooled = max(1e-6, scores.agg(F.sum(F.col("copies") * off * off)).first()[0] / (means[0]["n"] + means[1]["n"]))
+        slope = (means[1]["mean"] - means[0]["mean"]) / pooled
+        middle = (means[1]["mean"] + means[0]["mean"]) / 2
+        # no rows of one key: those without a text aren't joined
+        bare = rows.filter("text is null").withColumn("score", F.lit(None).cast("double"))
+        rows = rows.filter("text is not null").join(scores.select("text", "score"), "text").select(*bare.columns).unionAll(bare)
         score = F.col("score")
         probability = 1 / (1 + F.exp(-slope * (score - middle)))
         verdict = F.when(probability >= reject_at, "block").otherwise("allow")

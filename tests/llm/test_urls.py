@@ -79,3 +79,26 @@ def test_edge_cases(spark, pages):
     assert len(long) == 2
     plan = urls.judge_urls(pages(["x://a.b/c", "x://spam.b/c"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("ngrams", [urls.NGRAMS, 50])
+def test_scores_are_exact(spark, monkeypatch, ngrams):
+    """With many hosts too, and wherever the line between broadcast and joined windows lies; repeated rows count as often."""
+    import random
+
+    monkeypatch.setattr(urls, "NGRAMS", ngrams)
+    r = random.Random(7)
+    name = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789-", k=n))
+    rows = [f"http://{name(9)}{'casino' if i % 10 == 0 else ''}.example/{name(6)}" for i in range(2000)]
+    rows += rows[:50] * 3
+    text = {u: "\x02" * urls.ORDER + u.removeprefix("http://") + "\x03" for u in rows}
+    accepted, rejected = (plain_models([text[u] for u in rows if ("casino" in u) is side]) for side in (False, True))
+    want = {u: sum(math.log(accepted(t, i) / rejected(t, i)) for i in range(urls.ORDER, len(t))) / (len(t) - urls.ORDER) for u, t in text.items()}
+    side = {s: [want[u] for u in rows if ("casino" in u) is s] for s in (False, True)}
+    mean = {s: sum(x) / len(x) for s, x in side.items()}
+    slope = (mean[True] - mean[False]) / (sum((y - mean[s]) ** 2 for s, x in side.items() for y in x) / len(rows))
+    found = urls.judge_urls(spark.createDataFrame([(u,) for u in rows], "url string"), rules=(), reject_words=("casino",)).collect()
+    assert sorted(x.row.url for x in found) == sorted(rows)
+    for x in found:
+        assert x.score == pytest.approx(want[x.row.url], abs=1e-9)
+        assert x.p_reject == pytest.approx(1 / (1 + math.exp(-slope * (want[x.row.url] - sum(mean.values()) / 2))), abs=1e-9)
