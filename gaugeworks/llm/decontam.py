@@ -11,7 +11,8 @@ quarter of the words, three at least: of an entry, so that any run of ENTRY word
 and for an item of several entries also of the whole item, held against all retrieved passages of the document together.
 
 Words are runs without white space and ASCII punctuation, lower-cased. The index goes to the tasks in slices of
-about SLICE items, however many items there are; each slice is one pass over the documents, with its own term weights.
+about SLICE items, however many items there are; each slice is one pass over the documents. Term weights are those of
+all items: how many hold a term is counted on the cluster, and a slice collects the counts of its own terms.
 
 Defined cases: null and empty texts have no passages; items without words match nothing; equal items are all reported;
 repeated rows each get theirs; other columns pass through decontaminate untouched.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.features import PUNCTUATION, Words, chunks, mix
+from gaugeworks.llm.jaccard import shared
 
 ENTRY = 64
 STEP = 16
@@ -82,8 +84,23 @@ class Index:
         return -(-len(self.items) // BLOCK)
 
 
-def build_index(rows: list[tuple[int, str | None]]) -> Index | None:
-    """None if there are no words."""
+@dataclass(frozen=True)
+class Weights:
+    """Of all items: how many have words, the entries' mean length, and for sorted word hashes how many items hold them."""
+
+    items: int
+    length: float
+    terms: np.ndarray
+    held: np.ndarray
+
+
+def starts_of(n: int) -> list[int]:
+    """First words of the entries of an item of n words."""
+    return [*range(0, n - ENTRY, STEP), max(0, n - ENTRY)] if n else []
+
+
+def build_index(rows: list[tuple[int, str | None]], weights: Weights | None = None) -> Index | None:
+    """None if there are no words. Without weights the rows are all items."""
     ids, found, whole, wholes, row = [], [], [], [], []
     column = pc.utf8_lower(pa.array([x[1] for x in rows], pa.string()))
     for chunk in chunks(column):
@@ -93,7 +110,7 @@ def build_index(rows: list[tuple[int, str | None]]) -> Index | None:
             last = len(mine) - ENTRY
             if last > 0:
                 wholes.append(parts_of(mine))
-            for a in [*range(0, last, STEP), max(0, last)] if len(mine) else []:
+            for a in starts_of(len(mine)):
                 ids.append(rows[chunk.first + i][0])
                 found.append(mine[a : a + ENTRY])
                 whole.append(len(wholes) - 1 if last > 0 else -1)
@@ -104,11 +121,14 @@ def build_index(rows: list[tuple[int, str | None]]) -> Index | None:
     vocabulary, term = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
     entry = np.repeat(np.arange(len(found)), [len(p[0]) for p in pairs])
     count = np.concatenate([p[1] for p in pairs])
-    # an item counts once for a term, however many of its entries hold it
-    held = np.bincount(np.unique(np.array(row)[entry] * len(vocabulary) + term) % len(vocabulary), minlength=len(vocabulary))
     length = np.array([len(x) for x in found])
-    idf = np.log(1 + (len(set(row)) - held + 0.5) / (held + 0.5))
-    weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[entry] / length.mean()))
+    if weights is None:
+        # an item counts once for a term, however many of its entries hold it
+        held = np.bincount(np.unique(np.array(row)[entry] * len(vocabulary) + term) % len(vocabulary), minlength=len(vocabulary))
+        weights = Weights(len(set(row)), length.mean(), vocabulary, held)
+    held = weights.held[np.searchsorted(weights.terms, vocabulary)]
+    idf = np.log(1 + (weights.items - held + 0.5) / (held + 0.5))
+    weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[entry] / weights.length))
     impact = weight / np.bincount(entry, weight)[entry]
     order = np.lexsort((entry, term))
     term, entry, impact = term[order], entry[order], impact[order]
@@ -227,13 +247,42 @@ def verified(index: Index, words: Words, hits: Iterator[tuple[int, int, int, int
     return out
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item, as signed hashes."""
+    for batch in batches:
+        for chunk in chunks(pc.utf8_lower(batch.column("text"))):
+            words = chunk.words(between=PUNCTUATION)
+            mine = [np.unique(words.hash[a:b]) for a, b in zip(words.edges[:-1], words.edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *mine]).view(np.int64))], ["term"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with words, entries, and words of the entries."""
+    for batch in batches:
+        for chunk in chunks(pc.utf8_lower(batch.column("text"))):
+            counts = [n for n in chunk.words(between=PUNCTUATION).counts.tolist() if n]
+            entries = [(len(starts_of(n)), min(n, ENTRY)) for n in counts]
+            sums = len(counts), sum(k for k, _ in entries), sum(k * n for k, n in entries)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], ["items", "entries", "words"])
+
+
 def slices(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes over all items, about SLICE in each. benchmark: item_id, text."""
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     n = max(1, -(-items.count() // SLICE))
+    if n == 1:
+        if index := build_index(sorted(tuple(r) for r in items.collect())):
+            yield index
+        return
+    held = shared(items.select("text").mapInArrow(_terms, "term long").groupBy("term").agg(F.count("*").alias("held")))
+    size = items.select("text").mapInArrow(_sizes, "items long, entries long, words long").agg(*(F.sum(c).alias(c) for c in ("items", "entries", "words"))).first()
     for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        if index := build_index(sorted(tuple(r) for r in part.collect())):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        rows = sorted(tuple(r) for r in part.collect())
+        mine = part.select("text").mapInArrow(_terms, "term long").distinct().join(held, "term").toArrow()
+        terms = mine.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        if index := build_index(rows, Weights(size["items"], size["words"] / max(1, size["entries"]), terms[order], mine.column("held").to_numpy()[order])):
             yield index
 
 

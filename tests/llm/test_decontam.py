@@ -90,3 +90,16 @@ def test_runs_of_long_items(spark, documents):
     benchmark = spark.createDataFrame([(1, " ".join(item[:72]))], "item_id long, text string")
     texts = [run(item, 25, 64), run(item, 54, 72), run(item, 0, 30), filler(200)]
     assert [r.doc_id for r in decontam.leaks(documents(texts), benchmark).collect()] == [0]
+
+
+def test_slices_change_nothing(spark, documents, monkeypatch):
+    """The scores, and which partial leaks are found, don't depend on the number of slices."""
+    r = random.Random(9)
+    items = [(i, t) for i, t in ITEMS] + [(100 + i, " ".join(r.choices(VOCABULARY[:60], k=150))) for i in range(3)] + [(200, ""), (201, "?")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(w for w in t.split() if r.random() < 0.8) for _, t in items] + [" ".join(t.split()[len(t.split()) // 3 :]) for _, t in items]
+    found = []
+    for size in (decontam.SLICE, 20, 7):
+        monkeypatch.setattr(decontam, "SLICE", size)
+        found.append(sorted((x.doc_id, x.item_id, x.passage, round(x.score, 9)) for x in decontam.leaks(documents(texts), benchmark).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
