@@ -1,15 +1,14 @@
-"""Secret scans by a trigram inverted index, in DataFrame operations only.
+"""Secret scans by trigram queries, in DataFrame operations only.
 
 For each rule a Boolean query of trigrams is derived from its regular expression: what every match must hold, after
-lower-casing A-Z. The index holds postings (trigram, row) for the trigrams of all queries. Postings are intersected by
-grouping them by row, so that no trigram, however common, gathers in one task; a row whose trigrams satisfy a rule's
-query is a candidate, and only there the expression runs. Rules without mandatory trigrams run on every text.
-
-A row's key is a hash of its id and text: equal rows share a key and have the same spans, and a collision only adds a
-candidate that the expression then judges. Positions are code points from 0, ends exclusive.
+lower-casing A-Z. The index has the trigrams of all queries as terms and texts as documents; it is kept by document, beside
+the text: each row has the list of the terms that it holds. Intersecting postings is then a test of a row's own list, and
+neither postings nor texts are shuffled (grouping postings (trigram, row) by row gave the same lists, and a join that moved
+every text). A row whose list satisfies a rule's query is a candidate, and only there the expression runs. Rules without
+mandatory trigrams run on every text. Positions are code points from 0, ends exclusive.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows each get theirs; an empty table gives no
-rows; other columns pass through, whatever their names.
+rows; very long texts are searched whole; other columns pass through, but one of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -158,13 +157,12 @@ def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, output:
     queries = [trigram_query(r.pattern) for r in rules]
     indexed = [i for i, q in enumerate(queries) if frozenset() not in q]
     trigrams = sorted(set().union(*(a for i in indexed for a in queries[i]))) if indexed else []
-    text = F.coalesce(F.col("row.text"), F.lit(""))
-    rows = documents.select(F.struct("*").alias("row"))
-    rows = rows.select("row", F.xxhash64(*(F.col(f"row.`{c}`") for c in documents.columns if c in ("doc_id", "text"))).alias("key"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    text = F.col("t")
     folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = documents.select(F.struct("*").alias("row")).select("row", F.coalesce("row.text", F.lit("")).alias("t"))
     held = F.array_compact(F.array(*(F.when(F.contains(F.col("folded"), F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
-    postings = rows.select("key", folded.alias("folded")).select("key", F.explode(held).alias("trigram"))
-    lists = postings.groupBy("key").agg(F.collect_set("trigram").alias("trigrams"))
+    rows = rows.select("row", "t", folded.alias("folded")).select("row", "t", (held if trigrams else F.array().cast("array<int>")).alias("trigrams"))
 
     def satisfied(query: Query) -> Column:
         out = F.lit(False)
@@ -172,15 +170,9 @@ def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, output:
             out |= F.size(F.array_except(F.array(*(F.lit(trigrams.index(t)) for t in alternative)), "trigrams")) == 0
         return out
 
-    chosen = F.array_compact(F.array(*(F.when(satisfied(queries[i]), F.lit(i)) for i in indexed)))
-    candidates = lists.select("key", chosen.alias("rules")).filter(F.size("rules") > 0)
-    scanned = [spans_of(text, r, i) for i, r in enumerate(rules) if i not in indexed]
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    rows = rows.select("key", "row", (F.concat(*scanned) if scanned else none).alias("scanned"))
-    joined = rows.join(candidates, "key", "left") if indexed else rows.withColumn("rules", F.lit(None).cast("array<int>"))
-    verified = [F.when(F.array_contains("rules", i), spans_of(text, rules[i], i)).otherwise(none) for i in indexed]
-    verified = F.when(F.col("rules").isNotNull(), F.concat(*verified)).otherwise(none) if verified else none
-    return joined.select("row.*", F.array_sort(F.concat("scanned", verified)).alias(output))
+    found = [F.when(satisfied(queries[i]), spans_of(text, r, i)).otherwise(none) if i in indexed else spans_of(text, r, i) for i, r in enumerate(rules)]
+    spans = F.array_sort(F.concat(*found)) if found else none
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns if c != output), spans.alias(output))
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...]) -> Column:
