@@ -5,9 +5,13 @@ rendered once, as the prompt. The rest of each is its completion; its mask lists
 assistant says (text and end mark), where loss is taken. Turns are ordered by number, then role and text. A conversation
 becomes one row, so a task holds the turns of one conversation at a time, which the result does too.
 
-Defined cases: null roles and texts count as empty; turns without a conversation id belong to no conversation;
-repeated turns are all rendered; a pair needs both conversations; when one is a prefix of the other, or both are equal,
-its completion is empty and the pair isn't usable; other columns are ignored.
+Where a table has no preferences, `corrupted_pairs` makes them: the conversation itself is chosen, and rejected is the same
+one with the words of its last assistant turn in reverse order, a fluent answer against a broken one. The pair forks there.
+
+Defined cases: null roles and texts count as empty, a null turn number comes first; turns without a conversation id belong
+to no conversation; repeated turns are all rendered; ties in the turn number go by role, then text; when one conversation is
+a prefix of the other, or both are equal (no assistant turn, or its words read alike both ways), the pair stays with an empty
+completion and isn't usable; an empty table gives no rows; very long turns are rendered whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,17 +66,20 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def adjacent_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs of the conversations 2k, chosen, and 2k + 1, rejected."""
+def corrupted_pairs(conversations: DataFrame) -> DataFrame:
+    """A pair for each conversation: itself, and itself with the words of the last assistant turn reversed."""
     turns = turns_of(conversations)
-    sides = [turns.filter(F.pmod("conv_id", F.lit(2)) == k).select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.col("turns").alias(n)) for k, n in enumerate(("chosen", "rejected"))]
-    return sides[0].join(sides[1], "pair_id")
+    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i)))
+    broken = lambda t: F.struct(t["role"].alias("role"), F.array_join(F.reverse(F.split(t["text"], " ", -1)), " ").alias("text"))
+    rows = turns.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.coalesce(last, F.lit(-1)).alias("last"))
+    return rows.select("pair_id", "chosen", F.transform("chosen", lambda t, i: F.when(i == F.col("last"), broken(t)).otherwise(t)).alias("rejected"))
 
 
 ORACLE = """
-WITH t AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+WITH t AS (SELECT conv_id AS pair_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS c
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-p AS (SELECT CAST(floor(a.conv_id / 2) AS BIGINT) AS pair_id, a.turns AS c, b.turns AS r FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id %% 2 = 0),
+l AS (SELECT *, coalesce(list_max(list_filter(range(1, 1 + len(c)), lambda i: c[i].role = 'assistant')), 0) AS f FROM t),
+p AS (SELECT pair_id, c, list_transform(range(1, 1 + len(c)), lambda i: CASE WHEN i = f THEN struct_pack(role := c[i].role, text := array_to_string(list_reverse(string_split(c[i].text, ' ')), ' ')) ELSE c[i] END) AS r FROM l),
 n AS (SELECT *, coalesce(list_min(list_filter(range(1, 1 + least(len(c), len(r))), lambda i: c[i] <> r[i])) - 1, least(len(c), len(r))) AS k FROM p),
 s AS (SELECT pair_id, k, c[1:k] AS common, c[k + 1:] AS c, r[k + 1:] AS r FROM n)
 SELECT pair_id, CAST(k AS BIGINT) AS n_common, %s AS prompt, %s AS chosen_completion, %s AS chosen_mask, %s AS rejected_completion, %s AS rejected_mask, len(c) > 0 AND len(r) > 0 AS usable FROM s
@@ -80,7 +87,7 @@ SELECT pair_id, CAST(k AS BIGINT) AS n_common, %s AS prompt, %s AS chosen_comple
 
 
 def oracle() -> str:
-    """DuckDB SQL for the pairs of adjacent_pairs."""
+    """DuckDB SQL for the pairs of corrupted_pairs."""
     joined = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
     frame, head, end = len(BEGIN) + len(MIDDLE) + len(END), len(BEGIN) + len(MIDDLE), len(END)
     before = lambda x: f"coalesce(list_sum(list_transform({x}[1:i - 1], lambda t: length(t.role) + length(t.text) + {frame})), 0) + length({x}[i].role) + {head}"

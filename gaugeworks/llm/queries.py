@@ -93,8 +93,8 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompt and masked completions of every pair of neighbouring conversations."""
-    return chat.preference_pairs(chat.adjacent_pairs(table(spark, folder, "conversations")))
+    """Prompt and masked completions of every conversation and its corrupted form."""
+    return chat.preference_pairs(chat.corrupted_pairs(table(spark, folder, "conversations")))
 
 
 ORACLES["op4_chat_formatting"] = chat.oracle()
