@@ -1,20 +1,27 @@
 """URL filters: longest host and path rule, else a ratio of two character language models. DataFrame operations only.
 
-Two smoothed variable-order Markov models of host and path, up to ORDER characters of context, are counted over all
-URLs: rejected are those whose host holds a word of REJECT_WORDS, accepted the others. Each model interpolates the orders by Witten and Bell's rule, so a context weighs
-as it has been seen. A URL's score is the difference of its log-likelihoods divided by its length; the scores of both
-classes, taken as normal with one variance, calibrate it to a probability, and a URL is blocked at REJECT_AT or more.
+Two smoothed variable-order Markov models of host and path, up to ORDER characters of context: rejected are URLs one of
+whose host's words (between dots and hyphens) is in REJECT_WORDS, accepted the others. Each model interpolates the orders by
+Witten and Bell's rule, so a context weighs as it has been seen. A URL's score is the difference of its log-likelihoods
+divided by its length. Hosts are dealt to FOLDS folds by hash; the models count the URLs of all but the first fold, and the
+first, whose hosts they haven't seen, calibrates them: the scores of both classes, taken as normal with one variance, and
+their shares there give a probability, and a URL is blocked at REJECT_AT or more. Where the first fold or the others lack a
+class, all URLs count for both.
 
 Counts are exact and lie in a table of all n-grams, which grows with the input and is never collected. Probabilities are
 joined up order by order; a key of these joins has as many rows as there are characters. The scores are joined from the
 distinct windows of ORDER + 1 characters; windows with one in NGRAMS places or more, of which there are NGRAMS at most,
-are broadcast, so that no key of the other join has many rows. What is collected are sums. Defined cases: a null url or
-one without :// has an empty host and path, fits no rule and is allowed; without URLs of both classes everything that no
-rule blocks is allowed; repeated rows each get a row; other columns pass through judge_urls untouched.
+are broadcast, so that no key of the other join has many rows. What is collected are sums.
+
+Defined cases: a null url or one without :// has an empty host and path, fits no rule and is allowed; without URLs of both
+classes, and in an empty table, everything that no rule blocks is allowed; very long URLs are scored whole; of rules of one
+length that fit, the last by text wins (two such rules are equal); repeated rows each get a row; other columns pass through
+judge_urls untouched, in its struct.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,11 +31,10 @@ from gaugeworks.llm.jaccard import shared
 
 ORDER = 4
 NGRAMS = 1 << 16
-# Without effect since contexts are counted exactly; the tests set it.
-CONTEXTS = 1 << 15
 ALPHABET = 96
+FOLDS = 5
 REJECT_AT = 0.5
-REJECT_WORDS = ("casino", "bets", "poker", "pills", "viagra", "adult", "porn", "xxx", "spam", "ads", "track", "loan", "cheap")
+REJECT_WORDS = ("casino", "bets", "poker", "pills", "viagra", "adult", "porn", "xxx", "spam", "ads", "track", "tracker", "tracking", "loan", "loans", "cheap")
 
 
 @dataclass(frozen=True)
@@ -76,9 +82,9 @@ def _windows(text: Column) -> Column:
 def _grams(texts: DataFrame) -> DataFrame:
     """All n-grams up to ORDER + 1 characters: gram, n0 and n1 (times in accepted and rejected), places (in distinct texts).
 
-    texts: text, rejected (0 or 1), copies."""
-    counts = [F.sum(F.when(F.col("rejected") == side, F.col("copies")).otherwise(0)).alias(f"n{side}") for side in (0, 1)]
-    windows = texts.select("rejected", "copies", F.explode(_windows(F.col("text"))).alias("window")).groupBy("window").agg(*counts, F.count("*").alias("places"))
+    texts: text, rejected (0 or 1), copies, held (not counted for a model)."""
+    counts = [F.sum(F.when((F.col("rejected") == side) & ~F.col("held"), F.col("copies")).otherwise(0)).alias(f"n{side}") for side in (0, 1)]
+    windows = texts.select("rejected", "held", "copies", F.explode(_windows(F.col("text"))).alias("window")).groupBy("window").agg(*counts, F.count("*").alias("places"))
     ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substring(F.col("window"), ORDER + 2 - k, k))
     return windows.select(F.explode(ends).alias("gram"), "n0", "n1", "places").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "places")))
 
@@ -114,7 +120,7 @@ def _scored(texts: DataFrame, ratios: DataFrame, places: int) -> DataFrame:
     light = found.filter("ratio is null").select("id", "window").join(ratios.filter(~heavy).select("window", "ratio"), "window")
     sums = [x.groupBy("id").agg(F.sum("ratio").alias("ratio")) for x in (found.filter("ratio is not null"), light)]
     total = sums[0].unionAll(sums[1]).groupBy("id").agg(F.sum("ratio").alias("ratio"))
-    return texts.join(total, "id").select("text", "rejected", "copies", (F.col("ratio") / (F.length("text") - ORDER)).alias("score"))
+    return texts.join(total, "id").select("text", "rejected", "held", "copies", (F.col("ratio") / (F.length("text") - ORDER)).alias("score"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject_words: tuple[str, ...] = REJECT_WORDS, reject_at: float = REJECT_AT, column: str = "url") -> DataFrame:
@@ -123,28 +129,31 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject_words:
     url = F.col(f"row.`{column}`")
     rows = rows.select("row", host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("decided"))
-    words = F.lit(False)
-    for w in reject_words:
-        words |= F.contains("host", F.lit(w))
-    rows = rows.select("*", F.when(F.col("host") != "", _text(F.col("host"), F.col("path"))).alias("text"), words.cast("int").alias("rejected"))
-    texts = rows.filter("text is not null").groupBy("text", "rejected").agg(F.count("*").alias("copies"))
+    # a host's fold depends on the host alone, so the models know nothing of the held-out hosts
+    words = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, reject_words))) if reject_words else F.lit(False)
+    rows = rows.select("*", F.when(F.col("host") != "", _text(F.col("host"), F.col("path"))).alias("text"), words.cast("int").alias("rejected"), (F.pmod(F.xxhash64("host"), F.lit(FOLDS)) == 0).alias("held"))
+    texts = rows.filter("text is not null").groupBy("text", "rejected", "held").agg(F.count("*").alias("copies"))
     texts = shared(texts.withColumn("id", F.monotonically_increasing_id()))
-    grams = shared(_grams(texts))
-    total = grams.filter(F.length("gram") == ORDER + 1).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "places"))).first()
+    sides = {(r["rejected"], r["held"]): r["n"] for r in texts.groupBy("rejected", "held").agg(F.sum("copies").alias("n")).collect()}
     verdict = F.lit("allow")
     score = probability = F.lit(None).cast("double")
-    if total["n0"] and total["n1"]:
-        scores = shared(_scored(texts, shared(_ratios(grams)), total["places"]))
+    if {side for side, _ in sides} == {0, 1}:
+        apart = len(sides) == 4
+        grams = shared(_grams(texts if apart else texts.withColumn("held", F.lit(False))))
+        places = grams.filter(F.length("gram") == ORDER + 1).agg(F.sum("places")).first()[0]
+        scores = shared(_scored(texts, shared(_ratios(grams)), places))
+        judged = scores.filter("held") if apart else scores
         mean = F.sum(F.col("copies") * F.col("score")) / F.sum("copies")
-        means = {r["rejected"]: r for r in scores.groupBy("rejected").agg(F.sum("copies").alias("n"), mean.alias("mean")).collect()}
+        means = {r["rejected"]: r for r in judged.groupBy("rejected").agg(F.sum("copies").alias("n"), mean.alias("mean")).collect()}
         off = F.col("score") - F.when(F.col("rejected") == 1, means[1]["mean"]).otherwise(means[0]["mean"])
-        pooled = max(1e-6, scores.agg(F.sum(F.col("copies") * off * off)).first()[0] / (means[0]["n"] + means[1]["n"]))
+        pooled = max(1e-6, judged.agg(F.sum(F.col("copies") * off * off)).first()[0] / (means[0]["n"] + means[1]["n"]))
         slope = (means[1]["mean"] - means[0]["mean"]) / pooled
         middle = (means[1]["mean"] + means[0]["mean"]) / 2
+        prior = math.log(means[1]["n"] / means[0]["n"])
         # no rows of one key: those without a text aren't joined
         bare = rows.filter("text is null").withColumn("score", F.lit(None).cast("double"))
         rows = rows.filter("text is not null").join(scores.select("text", "score"), "text").select(*bare.columns).unionAll(bare)
         score = F.col("score")
-        probability = 1 / (1 + F.exp(-slope * (score - middle)))
+        probability = 1 / (1 + F.exp(-slope * (score - middle) - prior))
         verdict = F.when(probability >= reject_at, "block").otherwise("allow")
     return rows.select("row", "host", "path", F.col("decided.rule").alias("rule"), F.coalesce("decided.verdict", verdict).alias("verdict"), score.alias("score"), probability.alias("p_reject"))

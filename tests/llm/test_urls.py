@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 from gaugeworks.llm import urls
 
@@ -48,28 +49,40 @@ def plain_models(texts):
     return p
 
 
-def test_scores(spark, monkeypatch):
-    """The scores follow the plain ones, closer with wider tables; verdicts are the same with either."""
-    rows = [r.url for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
-    rows += [f"http://casino-{x}.example.com/win/{i}" for i, x in enumerate("abcdef")]
-    text = {}
-    for u in rows:
-        m = re.match(r".*?://([^/?#]*)([^?#]*)", u)
-        text[u] = "\x02" * urls.ORDER + m[1] + m[2] + "\x03"
-    bad = [u for u in rows if any(w in text[u] for w in urls.REJECT_WORDS)]
-    accepted, rejected = plain_models([text[u] for u in rows if u not in bad]), plain_models([text[u] for u in bad])
-    want = {u: sum(math.log(accepted(t, i) / rejected(t, i)) for i in range(urls.ORDER, len(t))) / (len(t) - urls.ORDER) for u, t in text.items()}
-    frame = spark.createDataFrame([(u,) for u in rows], "url string")
-    import numpy as np
-
-    for wide in (False, True):
-        if wide:
-            monkeypatch.setattr(urls, "NGRAMS", 1 << 18)
-            monkeypatch.setattr(urls, "CONTEXTS", 1 << 18)
-        got = {r.row.url: r for r in urls.judge_urls(frame, rules=()).collect()}
-        assert all((got[u].verdict == "block") == (u in bad) for u in rows)
-        # n-grams that share a slot make small differences
-        assert np.corrcoef([got[u].score for u in rows], [want[u] for u in rows])[0, 1] > (0.995 if wide else 0.98)
+def held(host):
+    """Whether a host is in the first fold: Spark's xxhash64, signed, modulo the folds."""
+    n = xxhash.xxh64(host.encode(), seed=42).intdigest()
+    return (n - (1 << 64) * (n >> 63)) % urls.FOLDS == 0
+
+
+def plain(rows, reject_words):
+    """Score and probability of each URL; rows may repeat."""
+    host = {u: re.match(r".*?://([^/?#]*)", u)[1] for u in rows}
+    text = {u: "\x02" * urls.ORDER + re.match(r".*?://([^?#]*)", u)[1] + "\x03" for u in rows}
+    bad = {u: any(w in reject_words for w in re.split("[.-]", host[u])) for u in rows}
+    out = {u: held(host[u]) for u in rows}
+    if len({(bad[u], out[u]) for u in rows}) < 4:
+        train = judged = rows
+    else:
+        train, judged = ([u for u in rows if out[u] is side] for side in (False, True))
+    accepted, rejected = (plain_models([text[u] for u in train if bad[u] is side]) for side in (False, True))
+    score = {u: sum(math.log(accepted(t, i) / rejected(t, i)) for i in range(urls.ORDER, len(t))) / (len(t) - urls.ORDER) for u, t in text.items()}
+    side = {s: [score[u] for u in judged if bad[u] is s] for s in (False, True)}
+    mean = {s: sum(x) / len(x) for s, x in side.items()}
+    pooled = max(1e-6, sum((y - mean[s]) ** 2 for s, x in side.items() for y in x) / len(judged))
+    odds = lambda x: (mean[True] - mean[False]) / pooled * (x - sum(mean.values()) / 2) + math.log(len(side[True]) / len(side[False]))
+    return {u: (score[u], 1 / (1 + math.exp(min(700, -odds(score[u])))), bad[u], out[u]) for u in rows}
+
+
+def test_held_out_hosts(spark):
+    """The verdicts on hosts that the models haven't seen follow the words; a word inside another one is none."""
+    rows = [r.url for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    want = plain(rows, urls.REJECT_WORDS)
+    unseen = [(x[1] >= urls.REJECT_AT) == x[2] for u, x in want.items() if x[3]]
+    assert len(unseen) > 100 and sum(unseen) > 0.9 * len(unseen)
+    found = urls.judge_urls(spark.createDataFrame([(u,) for u in [*rows, "http://downloads.roads.example/x"]], "url string"), rules=()).collect()
+    assert len(found) == len(rows) + 1
+    assert sum((r.verdict == "block") == want[r.row.url][2] for r in found if r.row.url in want) > 0.95 * len(rows)
 
 
 def test_edge_cases(spark, pages):
@@ -89,16 +102,18 @@ def test_scores_are_exact(spark, monkeypatch, ngrams):
     monkeypatch.setattr(urls, "NGRAMS", ngrams)
     r = random.Random(7)
     name = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789-", k=n))
-    rows = [f"http://{name(9)}{'casino' if i % 10 == 0 else ''}.example/{name(6)}" for i in range(2000)]
+    rows = [f"http://{name(9)}.{'casino' if i % 10 == 0 else 'cas-ino'}.example/{name(6)}" for i in range(2000)]
     rows += rows[:50] * 3
-    text = {u: "\x02" * urls.ORDER + u.removeprefix("http://") + "\x03" for u in rows}
-    accepted, rejected = (plain_models([text[u] for u in rows if ("casino" in u) is side]) for side in (False, True))
-    want = {u: sum(math.log(accepted(t, i) / rejected(t, i)) for i in range(urls.ORDER, len(t))) / (len(t) - urls.ORDER) for u, t in text.items()}
-    side = {s: [want[u] for u in rows if ("casino" in u) is s] for s in (False, True)}
-    mean = {s: sum(x) / len(x) for s, x in side.items()}
-    slope = (mean[True] - mean[False]) / (sum((y - mean[s]) ** 2 for s, x in side.items() for y in x) / len(rows))
+    want = plain(rows, ("casino",))
     found = urls.judge_urls(spark.createDataFrame([(u,) for u in rows], "url string"), rules=(), reject_words=("casino",)).collect()
     assert sorted(x.row.url for x in found) == sorted(rows)
     for x in found:
-        assert x.score == pytest.approx(want[x.row.url], abs=1e-9)
-        assert x.p_reject == pytest.approx(1 / (1 + math.exp(-slope * (want[x.row.url] - sum(mean.values()) / 2))), abs=1e-9)
+        assert (x.score, x.p_reject) == pytest.approx(want[x.row.url][:2], abs=1e-9)
+
+
+def test_without_a_fold(spark):
+    """Too few hosts for both folds to have both classes: all URLs count for both."""
+    rows = ["http://casino.example/a", "http://good.example/b", "http://good.example/c", "http://good.example/c"]
+    want = plain(rows, ("casino",))
+    found = urls.judge_urls(spark.createDataFrame([(u,) for u in rows], "url string"), rules=(), reject_words=("casino",)).collect()
+    assert len(found) == 4 and all((x.score, x.p_reject) == pytest.approx(want[x.row.url][:2], abs=1e-9) for x in found)
