@@ -8,14 +8,17 @@ left, whose windows are nearly equal. k starts at the least number that could ho
 any window would exceed the capacity.
 
 Nothing is shuffled: pieces are packed in the task that reads them, so a key or a source with many rows has no effect,
-memory is one batch of texts and one group, and a lost task is computed again with the same result. A partition's last
-group may leave one window partly filled.
+memory is one batch of texts and one group, and a lost task is computed again with the same result. A group's windows share
+its slack: their number is the least that holds its pieces, so many small partitions pad more than a few large ones.
 
-Defined cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows.
+Defined cases: null and empty texts are the end id alone; texts that spell a special token get its id, as the tokenizer reads
+them; repeated rows and pieces of equal length are packed each, in input order; very long texts are encoded whole; an empty
+table gives no rows; other columns than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import os
 import re
@@ -36,29 +39,34 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
-    """k windows of item numbers with near-equal sums (the largest differencing method for k subsets)."""
-    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = []
-    for i, size in enumerate(sizes.tolist()):
-        heap.append((-size, i, np.array([size]), [[i]]))
+    """k windows of item numbers with near-equal sums (the largest differencing method for k subsets).
+
+    A partial partition has its windows' sums in ascending order, without the leading zeros of the k windows. Most merges
+    take in a single piece, which is one insertion."""
+    heap: list[tuple[int, int, list[int], list[list[int]]]] = [(-size, i, [size], [[i]]) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     base = len(sizes)
     while len(heap) > 1:
-        _, _, a, a_items = heapq.heappop(heap)
+        _, _, sums, items = heapq.heappop(heap)
         _, _, b, b_items = heapq.heappop(heap)
-        # sums are ascending and leave out the leading zeros of the k windows
-        both = len(a) + len(b)
-        if both <= k:
-            sums, items = np.concatenate([a, b]), a_items + b_items
+        if len(sums) < len(b):
+            sums, items, b, b_items = b, b_items, sums, items
+        if len(b) == 1:
+            size, mine = b[0], b_items[0]
+            if len(sums) == k:
+                size, mine = size + sums.pop(0), items.pop(0) + mine
+            at = bisect.bisect_right(sums, size)
+            sums.insert(at, size)
+            items.insert(at, mine)
         else:
-            # the last of a meet the first of b
-            over = both - k
-            sums = np.concatenate([a[over:], b[over:], a[:over] + b[:over][::-1]])
-            items = a_items[over:] + b_items[over:] + [x + y for x, y in zip(a_items[:over], b_items[:over][::-1], strict=True)]
-        order = np.argsort(sums, kind="stable")
-        sums, items = sums[order], [items[i] for i in order.tolist()]
-        least = sums[0] if len(sums) == k else 0
+            # the last of one meet the first of the other
+            over = max(0, len(sums) + len(b) - k)
+            both = [*zip(sums[over:], items[over:], strict=True), *zip(b[over:], b_items[over:], strict=True)]
+            both += [(x + y, p + q) for x, y, p, q in zip(sums[:over], b[:over][::-1], items[:over], b_items[:over][::-1], strict=True)]
+            both.sort(key=lambda x: x[0])
+            sums, items = [x for x, _ in both], [x for _, x in both]
         base += 1
-        heapq.heappush(heap, (int(least - sums[-1]), base, sums, items))
+        heapq.heappush(heap, ((sums[0] if len(sums) == k else 0) - sums[-1], base, sums, items))
     return heap[0][3] if heap else []
 
 
@@ -98,19 +106,34 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; more threads spin
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def holds_special(self, text: str) -> bool:
+        """Whether the text, in lower case, spells a token that the tokenizer takes out before it splits words."""
+        lower = text.lower()
+        return any(x in lower for x in self.special)
 
-    def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
         tail = end.to_bytes(4, "little")
-        parts = [split(x) for x in texts]
         if len(self.known) > self.limit:
-            self.known = {}
+            self.known = {"": b""}
         known = self.known
-        known.setdefault("", b"")
+        out: list[bytes] = []
+        open_: dict[int, list[str]] = {}  # texts with parts that aren't known
+        for i, text in enumerate(texts):
+            if self.holds_special(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + tail)
+                continue
+            parts = split(text)
+            try:
+                out.append(b"".join(map(known.__getitem__, parts)) + tail)
+            except KeyError:
+                open_[i] = parts
+                out.append(b"")
         extra: dict[str, bytes] = {}
-        new = list(set().union(*parts).difference(known)) if parts else []
+        new = list(set().union(*open_.values()).difference(known))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -119,12 +142,12 @@ class WordCache:
             cuts = (4 * np.searchsorted([a for a, _ in found.offsets], starts)).tolist()
             for part, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
                 (known if len(part) <= self.LONG else extra)[part] = ids[a:b]
-        lookup = known if not extra else known | extra
-        for x in parts:
-            yield b"".join(map(lookup.__getitem__, x)) + tail
+        for i, parts in open_.items():
+            out[i] = b"".join([known[x] if x in known else extra[x] for x in parts] if extra else map(known.__getitem__, parts)) + tail
+        return out
 
 
-_GLUED = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f])[.,]")
+_GLUED = re.compile(r"[.,](?<=(?:[^\w\s]|[_\x1c-\x1f])[.,])")
 
 
 def split(text: str) -> list[str]:

@@ -12,7 +12,6 @@ from gaugeworks.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 REFERENCE = Tokenizer.from_file(PATH)
-REFERENCE.encode_special_tokens = True
 
 
 def ids(text):
@@ -22,7 +21,18 @@ def ids(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aAbsS't.,#*_ \n\t\ŕÉΣσİK²1９ǅẞ<|>\x1c\x85中한​")), max_size=40))
 def test_tokens(text):
-    assert next(iter(packing.WordCache.of(PATH).encode([text], 1))) == ids(text).tobytes()
+    assert packing.WordCache.of(PATH).encode([text, "known words", text], 1) == [ids(x).tobytes() for x in (text, "known words", text)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "hello", " ", ".", ",", "W", "\n"]), max_size=12))
+def test_special_tokens(parts):
+    text = "".join(parts)
+    assert packing.WordCache.of(PATH).encode([text], 1) == [ids(text).tobytes()]
+
+
+def test_contract_ids():
+    assert ids("hello <|endoftext|> world").tolist() == [3306, 49407, 1002, 1]
 
 
 @settings(max_examples=200, deadline=None)
@@ -72,4 +82,6 @@ def test_edge_cases(spark, edge):
     from .conftest import EDGE
 
     check(packing.pack(edge, PATH).collect(), dict(enumerate(EDGE)))
+    texts = {0: "a <|endoftext|> b", 1: "long words " * 150_000 + "end", 2: "x" * 3000 + " y", 3: "x" * 3000 + " y"}
+    check(packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH).collect(), texts)
     assert packing.pack(edge.limit(0), PATH).count() == 0
