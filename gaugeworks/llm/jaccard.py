@@ -20,11 +20,16 @@ PERCENT or more. The result is exact, at any group size, without a row for each
 
 Shingles are 64-bit hashes; a set is known by its size and two 64-bit sums of its hashes. The order, and so HEAVY, has
 no effect on the result. Sets are made again from the texts where they are compared; a filter of fixed width (BITS)
-spares the texts that no comparison needs.
+spares the texts that no comparison needs. Where rows look up what holds for their class or list, keys with a MANY-th of the
+rows or more (MANY at most) are answered from a broadcast table, so a group with a third of all rows meets in no task.
 
 Defined cases: a text with fewer than SHINGLE words has its whole sequence as the one shingle; null and empty texts and
-those without words have no shingles and link with nothing; repeated rows are copies; rows with one id and different
-texts count as one document that links as either does; a null id gets its group's smallest id, or null if there is none.
+those without words have no shingles and link with nothing; very long texts count whole; repeated rows are copies; rows with
+one id and different texts count as one document that links as either does; rows with a null id are documents of their own,
+which link others too, and get their group's smallest id, or null if there is none (their places are numbered after the
+largest id, which must be below 2**62, else they take part only where another row has their text); an empty table gives no
+rows; keep_one keeps one row for each group, also of repeated rows and null ids, and passes other columns through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -51,6 +56,7 @@ BITS = 23
 MARKS = 20
 LOOSE = 40
 BLOCK = 500_000
+MANY = 1024
 
 
 def shared(frame: DataFrame) -> DataFrame:
@@ -100,7 +106,8 @@ class Order:
     counts: np.ndarray
     common: np.ndarray
 
-    def first(self, found: np.ndarray, level: np.ndarray, keep: int) -> np.ndarray:
+    def first(self, found: np.ndarray, level: np.ndarray, keep: int) -> tuple[np.ndarray, int]:
+        """The first `keep` in this order, and how many of them are in `tokens`."""
         marks = self.marks
         rank = level.copy()
         maybe = np.flatnonzero(marks[(found >> np.uint64(64 - MARKS)).astype(np.int64)])
@@ -108,7 +115,8 @@ class Order:
             place = np.minimum(np.searchsorted(self.tokens, found[maybe]), len(self.tokens) - 1)
             sure = self.tokens[place] == found[maybe]
             rank[maybe[sure]] = (1 << 32) + self.counts[place[sure]]
-        return found[np.argsort(rank, kind="stable")[:keep]]
+        places = np.argsort(rank, kind="stable")[:keep]
+        return found[places], int((rank[places] >= 1 << 32).sum())
 
     @functools.cached_property
     def marks(self) -> np.ndarray:
@@ -177,24 +185,41 @@ def global_order(documents: DataFrame, n: int) -> Order:
     return Order(*tops[0], common)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows with the columns of table's row of the same key, or nulls. table: on, copies (rows of the key), values; total: rows.
+
+    A key with a MANY-th of the rows is answered by broadcast; its rows are then spread over the other join."""
+    values = [c for c in table.columns if c not in (*on, "copies")]
+    many = F.col("copies") * MANY >= total
+    first = rows.join(F.broadcast(table.filter(many).select(*on, F.struct(*values).alias("__first"))), on, "left")
+    rest = table.filter(~many).select(*on, F.struct(*values).alias("__rest"), F.lit(-1).cast("bigint").alias("__apart"))
+    apart = F.when(F.col("__first").isNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    found = first.withColumn("__apart", apart).join(rest, [*on, "__apart"], "left").withColumn("__first", F.coalesce("__first", "__rest"))
+    return found.select(*rows.columns, *(F.col(f"__first.{v}").alias(v) for v in values))
+
+
 def prefixes(documents: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """doc_id, n, a, b (the set's sums), prefix: the first tokens of the set, rarest first."""
+    """doc_id, n, a, b (the set's sums), prefix: the first tokens of the set, rarest first; hot: how many of them, the
+    last ones, are among the order's most frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, a, b, lists = [], [], [], []
+            sizes, a, b, lists, hot = [], [], [], [], []
             for chunk in chunks(batch.column("text")):
                 for s, level in shingle_sets(chunk, n, order.common):
                     sizes.append(len(s))
                     a.append(int(mix(s).sum(dtype=np.uint64)) if len(s) else 0)
                     b.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
                     keep = len(s) - least_overlap(len(s), percent) + extra(len(s)) if len(s) else 0
-                    lists.append(order.first(s, level, keep).view(np.int64))
+                    found, frequent = order.first(s, level, keep)
+                    lists.append(found.view(np.int64))
+                    hot.append(frequent)
             offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
             prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), prefix], ["doc_id", "n", "a", "b", "prefix"])
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), prefix, pa.array(hot, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "a", "b", "prefix", "hot"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, a long, b long, prefix array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, a long, b long, prefix array<long>, hot int")
 
 
 def _bit(node: Column) -> Column:
@@ -252,18 +277,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """token, node, n, at (its place in the prefix), in lists of two classes or more."""
-    every = classes.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    """token, node, n, at (its place in the prefix), hot, in lists of two classes or more.
+
+    The order's most frequent tokens (hot) are taken to have such lists, which are not gathered to find out."""
+    every = classes.select("node", "n", (F.size("prefix") - F.col("hot")).alias("cold"), F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", "at", (F.col("at") >= F.col("cold")).alias("hot"))
     w = Window.partitionBy("token").orderBy("node")
-    met = every.withColumns({"one": F.lag("node").over(w), "two": F.lead("node").over(w)})
-    return met.filter("one is not null or two is not null").select("token", "node", "n", "at")
+    met = every.filter("not hot").withColumns({"one": F.lag("node").over(w), "two": F.lead("node").over(w)})
+    return met.filter("one is not null or two is not null").select(*every.columns).unionAll(every.filter("hot"))
 
 
 def _stars(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of a class and the first one in its lists' size band."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) * 2).cast("int")
     w = Window.partitionBy("token", "band").orderBy("node")
-    found = postings.withColumn("band", band).withColumn("y", F.first("node").over(w)).filter("node <> y")
+    banded = postings.withColumn("band", band)
+    hot = banded.filter("hot")
+    firsts = shared(hot.groupBy("token", "band").agg(F.min("node").alias("y"), F.count("*").alias("copies")))
+    total = firsts.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    hot = looked_up(hot, firsts, ["token", "band"], total)
+    found = banded.filter("not hot").withColumn("y", F.first("node").over(w)).unionByName(hot).filter("node <> y")
     # pairs that meet by chance on a list or two aren't worth a comparison; if one links, its families are opened
     pairs = found.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("met"), F.first("n").alias("n")).filter(f"2 * met >= 1 + n div {EXTRA}")
     return pairs.groupBy("x").agg(F.max(F.struct("met", (-F.col("y")).alias("y"))).alias("best")).select("x", (-F.col("best.y")).alias("y"))
@@ -378,19 +410,33 @@ def _block_links(tasks: DataFrame, documents: DataFrame, n: int, percent: int) -
     return rows.repartition("place").sortWithinPartitions("place", "task").select("task", "other", "node", "set").mapInArrow(run, "x long, y long")
 
 
-def groups(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id. documents: doc_id, text."""
-    documents = documents.select("doc_id", "text")
+def _numbered(documents: DataFrame) -> tuple[DataFrame, int]:
+    """documents with a column `id`: doc_id, or for rows without one a number above the largest id, which is the second result.
+
+    Rows without an id are written once, so that they keep their numbers whenever the texts are read again."""
+    found = documents.agg(F.max(F.col("doc_id").cast("long")).alias("top"), F.count_if(F.col("doc_id").isNull()).alias("bare")).first()
+    top = -1 if found["top"] is None else found["top"]
+    named = documents.withColumn("id", F.col("doc_id").cast("long"))
+    if not found["bare"] or top >= 1 << 62:
+        return named, top
+    bare = documents.filter("doc_id is null").withColumn("id", F.lit(top + 1) + F.monotonically_increasing_id())
+    return named.filter("doc_id is not null").unionByName(shared(bare)), top
+
+
+def _components(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n, component, a row for each of documents (doc_id, text)."""
     base = shared(prefixes(documents, global_order(documents, n), n, percent))
-    classes = base.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")).filter("node is not null")
+    total = base.count()
+    classes = base.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("hot").alias("hot")).filter("node is not null")
     postings = shared(_postings(classes))
-    base = shared(base.drop("prefix"))
+    base = shared(base.drop("prefix", "hot"))
     del classes
-    ids = base.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"))
+    ids = shared(base.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
     # rows that share an id but no text are one document
-    held = base.filter("n > 0 and doc_id is not null").select("doc_id", "n", "a", "b").join(ids, ["n", "a", "b"]).select("doc_id", "node").distinct()
-    several = held.groupBy("doc_id").agg(F.min("node").alias("y"), F.count("*").alias("texts")).filter("texts > 1")
-    same = held.join(several, "doc_id").filter("node <> y").select(F.col("node").alias("x"), "y")
+    texts = base.filter("n > 0 and doc_id is not null").select("doc_id", "n", "a", "b").distinct()
+    several = shared(texts.join(texts.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doc_id"))
+    held = several.join(ids, ["n", "a", "b"]).select("doc_id", "node").distinct()
+    same = held.join(held.groupBy("doc_id").agg(F.min("node").alias("y")), "doc_id").filter("node <> y").select(F.col("node").alias("x"), "y")
     stars = shared(compared(shared(_stars(postings, percent)), documents, n, LOOSE))
     tight = shared(stars.filter(f"100 * common >= {percent} * every").select("x", "y").unionByName(same))
     clusters = components(tight)
@@ -401,13 +447,27 @@ def groups(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Da
     more = shared(compared(shared(alone), documents, n, percent).select("x", "y"))
     blocks = shared(_block_links(shared(tasks), documents, n, percent))
     roots = components(tight.unionByName(more).unionByName(blocks))
-    named = base.join(ids, ["n", "a", "b"], "left").join(roots, "node", "left")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node", "doc_id").alias("component_id"))
+    answers = ids.join(roots, "node", "left").select("n", "a", "b", F.coalesce("root", "node").alias("root"), "copies")
+    named = looked_up(base.filter("n > 0"), answers, ["n", "a", "b"], total).select("doc_id", "n", "root")
+    named = named.unionAll(base.filter("n = 0").select("doc_id", "n", F.lit(None).cast("bigint").alias("root")))
+    return named.select("doc_id", "n", F.coalesce("root", "doc_id").alias("component"))
+
+
+def groups(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id. documents: doc_id, text."""
+    rows, top = _numbered(documents.select("doc_id", "text"))
+    found = _components(rows.select(F.col("id").alias("doc_id"), "text"), n, percent)
+    given = lambda c: F.when(F.col(c) <= top, F.col(c))
+    return found.select(given("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), given("component").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents with the smallest id of their group, and those without an id, with their columns."""
-    kept = groups(documents, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = documents.select(F.struct("*").alias("row"))
-    found = rows.join(kept, F.col("row.doc_id") == F.col("kept"), "left_semi").unionAll(rows.filter("row.doc_id is null"))
-    return found.select("row.*")
+    """One document of each group, with its columns: that with the smallest id; of rows with one id, that with the smallest
+    hash of the text."""
+    rows, _ = _numbered(documents.select("doc_id", "text", F.struct("*").alias("row")))
+    rows = rows.select(F.col("id").alias("doc_id"), "text", "row")
+    found = shared(_components(rows.select("doc_id", "text"), n, percent))
+    kept = found.filter("doc_id = component").groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows"))
+    out = rows.join(kept, F.col("doc_id") == F.col("kept"))
+    several = out.filter("rows > 1").groupBy("kept").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    return out.filter("rows = 1").select("row").unionAll(several.select("row")).select("row.*")

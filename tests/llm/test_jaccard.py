@@ -90,6 +90,43 @@ def test_edge_cases(spark, edge, documents):
     assert sorted(rows, key=str) == [(3, 3), (7, 3), (7, 3), (7, 3), (None, 3)]
 
 
+def test_null_and_repeated_ids(spark, documents):
+    """Rows without an id link others, also as the only holders of a text; each group keeps one row."""
+    base = [f"w{i}" for i in range(60)]
+    one, two, three = " ".join([f"x{i}" for i in range(7)] + base[7:]), " ".join(base), " ".join(base[:-7] + [f"y{i}" for i in range(7)])
+    similar = lambda a, b: 100 * len(shingles(a) & shingles(b)) >= 75 * len(shingles(a) | shingles(b))
+    assert similar(one, two) and similar(two, three) and not similar(one, three)
+    texts = [one, two, two, three, "lone text without an id here", "lone text without an id here", "", None, "some other words that repeat here", "some other words that repeat here"]
+    ids = [4, None, None, 9, None, None, None, None, 6, 6]
+    frame = documents(texts, ids)
+    found = jaccard.groups(frame).collect()
+    assert sorted([(r.doc_id, r.component_id) for r in found], key=str) == sorted([(4, 4), (None, 4), (None, 4), (9, 4), (None, None), (None, None), (None, None), (None, None), (6, 6), (6, 6)], key=str)
+    kept = jaccard.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted([(4, one), (None, texts[4]), (None, ""), (None, None), (6, texts[8])], key=str)
+    large = spark.createDataFrame([(1 << 62, "a b c d e f"), (None, "a b c d e f"), (None, "p q r s t u")], "doc_id long, text string")
+    assert sorted([(r.doc_id, r.component_id) for r in jaccard.groups(large).collect()], key=str) == sorted([(1 << 62, 1 << 62), (None, 1 << 62), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("many", [2, 1 << 20])
+def test_heavy_keys(spark, documents, monkeypatch, many):
+    """Wherever the line between broadcast and joined keys lies, and with all lists hot."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "LOCAL", 1)
+    texts = corpus(5)
+    texts |= {len(texts) + i: texts[0] for i in range(len(texts) // 2)}
+    found = jaccard.groups(documents(list(texts.values())))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(texts)
+
+
+def test_long_text(spark, documents):
+    """Texts above a megabyte, near copies of each other."""
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(200_000)]
+    texts = [" ".join(words), " ".join(words[:180_000]), " ".join(words[100_000:])]
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.groups(documents(texts)).collect()} == brute(dict(enumerate(texts)))
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 200), (200, 300), (100, 100)] + [(500, 500 + i) for i in range(1, 30)]
     found = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "x long, y long")).collect()}
