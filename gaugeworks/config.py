@@ -223,13 +223,27 @@ def load(path: str) -> Settings:
     return from_dict(yaml.safe_load(text))
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a local relation, whose size the plan knows."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    wanted = StructType.fromDDL(schema)
+    fields = to_arrow_schema(wanted)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    arrays = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in column], field.type) for column, field in zip(columns, fields, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=fields), wanted)
+
+
 def dimensions(spark: SparkSession, settings: Settings) -> dict[str, DataFrame]:
     """The settings as small tables: metrics, metric_units, devices, device_metrics, calibrations."""
     pairs = [(d.id, m) for d in settings.devices for m in d.metrics or [x.id for x in settings.metrics]]
+    table = lambda rows, schema: local_table(spark, rows, schema)
     return {
-        "metrics": spark.createDataFrame([(m.id, m.canonical_unit, m.valid_min, m.valid_max, m.expected_period_us, m.jitter_us, m.max_gap_us, m.interpolation) for m in settings.metrics], "metric_id string, canonical_unit string, valid_min double, valid_max double, expected_period_us long, jitter_us long, max_gap_us long, interpolation string"),
-        "metric_units": spark.createDataFrame([(m.id, u) for m in settings.metrics for u in m.input_units], "metric_id string, unit string"),
-        "devices": spark.createDataFrame([(d.id, d.timezone, d.tags) for d in settings.devices], "device_id string, timezone string, tags map<string,string>"),
-        "device_metrics": spark.createDataFrame(pairs, "device_id string, metric_id string"),
-        "calibrations": spark.createDataFrame([(s.device, s.metric, s.min, s.max, s.slope, s.intercept, s.reject_unmatched) for s in settings.calibrations], "device_id string, metric_id string, seg_min double, seg_max double, slope double, intercept double, reject_unmatched boolean"),
+        "metrics": table([(m.id, m.canonical_unit, m.valid_min, m.valid_max, m.expected_period_us, m.jitter_us, m.max_gap_us, m.interpolation) for m in settings.metrics], "metric_id string, canonical_unit string, valid_min double, valid_max double, expected_period_us long, jitter_us long, max_gap_us long, interpolation string"),
+        "metric_units": table([(m.id, u) for m in settings.metrics for u in m.input_units], "metric_id string, unit string"),
+        "devices": table([(d.id, d.timezone, d.tags) for d in settings.devices], "device_id string, timezone string, tags map<string,string>"),
+        "device_metrics": table(pairs, "device_id string, metric_id string"),
+        "calibrations": table([(s.device, s.metric, s.min, s.max, s.slope, s.intercept, s.reject_unmatched) for s in settings.calibrations], "device_id string, metric_id string, seg_min double, seg_max double, slope double, intercept double, reject_unmatched boolean"),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.units import convert
+from gaugeworks.functions.units import converted
 from gaugeworks.operators.dims import small
 
 
@@ -26,8 +26,9 @@ def calibrate(rows: DataFrame, calibrations: DataFrame) -> DataFrame:
 def normalize(rows: DataFrame, calibrations: DataFrame, metrics: DataFrame) -> DataFrame:
     """rows (device_id, metric_id, value, unit) with normalized_value and reject; metrics: canonical_unit, valid_min, valid_max."""
     named = calibrate(rows, calibrations).join(small(metrics.select("metric_id", "canonical_unit", "valid_min", "valid_max")), "metric_id", "left")
-    value, error = convert(F.col("calibrated"), F.col("unit"), F.col("canonical_unit"))
-    value = F.when(F.col("value").isNotNull() & F.col("reject").isNull(), value)
-    outside = F.when(value < F.col("valid_min"), "below valid_min").when(value > F.col("valid_max"), "above valid_max")
-    reject = F.when(F.col("value").isNotNull(), F.coalesce("reject", error, outside))
-    return named.select(*rows.columns, F.when(reject.isNull(), value).alias("normalized_value"), reject.alias("reject"))
+    named = converted(named, "calibrated", "unit", "canonical_unit")
+    value = F.when(F.col("value").isNotNull() & F.col("reject").isNull(), F.col("converted"))
+    named = named.withColumn("normalized_value", value)
+    outside = F.when(F.col("normalized_value") < F.col("valid_min"), "below valid_min").when(F.col("normalized_value") > F.col("valid_max"), "above valid_max")
+    named = named.withColumn("reject", F.when(F.col("value").isNotNull(), F.coalesce("reject", "convert_error", outside)))
+    return named.select(*rows.columns, F.when(F.col("reject").isNull(), F.col("normalized_value")).alias("normalized_value"), "reject")

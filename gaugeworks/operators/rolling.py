@@ -6,39 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ("device_id", "metric_id")
+TIES = 1 << 31
 
 
 def rolling(samples: DataFrame, count: int | None = None, duration_us: int | None = None, min_count: int = 1) -> DataFrame:
-    """samples with n, mean, low, high, stddev, rate, oldest, newest, ready.
+    """The valid rows of samples (a value, no device error) with n, mean, low, high, stddev, rate, oldest, newest, ready.
 
     count: the newest N rows. duration_us: rows at most that old. With both, a row must pass either test: frames by
     time take the rows of a count frame that are young enough. Rows at one time see those that came before them."""
-    order = ["event_time_us", "arrival"]
-    rows = samples
-    if duration_us is not None:
-        # one frame that is exact on ties: by time, without the later rows of the same time
-        w = Window.partitionBy(*SERIES).orderBy(*order)
-        frame = w.rowsBetween(-(count - 1) if count else Window.unboundedPreceding, Window.currentRow)
-        if count is None:
-            by_time = Window.partitionBy(*SERIES).orderBy("event_time_us").rangeBetween(-duration_us, Window.currentRow)
-            later = Window.partitionBy(*SERIES, "event_time_us").orderBy("arrival").rowsBetween(1, Window.unboundedFollowing)
-            held = F.count("*").over(by_time) - F.count("*").over(later)
-            rows = rows.withColumn("__kept", F.slice(F.sort_array(F.collect_list(F.struct("event_time_us", "arrival", "value")).over(by_time)), F.lit(1), held.cast("int")))
-        else:
-            rows = rows.withColumn("__kept", F.filter(F.collect_list(F.struct("event_time_us", "arrival", "value")).over(frame), lambda x: x["event_time_us"] >= F.col("event_time_us") - duration_us))
-        values = F.transform("__kept", lambda x: x["value"])
-        n = F.size("__kept")
-        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-        mean = total / n
-        spread = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+    rows = samples.filter("value is not null and quality <> 2")
+    v, order = F.col("value"), Window.partitionBy(*SERIES).orderBy("event_time_us", "arrival")
+    if duration_us is not None and count is not None:
+        # at most `count` rows are held for a row
+        kept = F.filter(F.collect_list(F.struct("event_time_us", "value")).over(order.rowsBetween(-(count - 1), Window.currentRow)), lambda x: x["event_time_us"] >= F.col("event_time_us") - duration_us)
+        rows = rows.withColumn("__kept", kept).withColumn("__values", F.transform("__kept", lambda x: x["value"])).withColumn("n", F.size("__kept").cast("bigint"))
+        rows = rows.withColumn("mean", F.aggregate("__values", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
+        spread = F.aggregate("__values", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.col("n")
         first = F.get("__kept", F.lit(0))
-        columns = {"n": n.cast("bigint"), "mean": mean, "low": F.array_min(values), "high": F.array_max(values), "stddev": F.sqrt(spread), "oldest": first["value"], "__t": first["event_time_us"]}
+        rows = rows.withColumns({"low": F.array_min("__values"), "high": F.array_max("__values"), "stddev": F.sqrt(spread), "oldest": first["value"], "__t": first["event_time_us"]})
+    elif duration_us is not None:
+        # one number in place of (time, place among the rows of that time), so that a native range frame ends at the row
+        # itself: times lie 2 * TIES apart, and a frame of d * 2 * TIES + TIES - 1 holds all rows of time t - d and none before
+        tie = F.row_number().over(Window.partitionBy(*SERIES, "event_time_us").orderBy("arrival")) - 1
+        wide = "decimal(38,0)"
+        rows = rows.withColumn("__at", (F.col("event_time_us").cast("decimal(20,0)") * F.lit(2 * TIES).cast("decimal(11,0)") + tie).cast(wide))
+        frame = f"OVER (PARTITION BY {', '.join(SERIES)} ORDER BY __at RANGE BETWEEN CAST({duration_us * 2 * TIES + TIES - 1} AS {wide}) PRECEDING AND CURRENT ROW)"
+        found = {"n": "count(*)", "mean": "avg(value)", "low": "min(value)", "high": "max(value)", "stddev": "stddev_pop(value)", "oldest": "first(value)", "__t": "first(event_time_us)"}
+        rows = rows.withColumns({name: F.expr(f"{f} {frame}") for name, f in found.items()})
     else:
-        w = Window.partitionBy(*SERIES).orderBy(*order).rowsBetween(-(count - 1), Window.currentRow)
-        v = F.col("value")
-        columns = {"n": F.count("*").over(w), "mean": F.avg(v).over(w), "low": F.min(v).over(w), "high": F.max(v).over(w), "stddev": F.stddev_pop(v).over(w), "oldest": F.first(v).over(w), "__t": F.first("event_time_us").over(w)}
-    rows = rows.withColumns(columns).withColumn("newest", F.col("value"))
+        w = order.rowsBetween(-(count - 1), Window.currentRow)
+        rows = rows.withColumns({"n": F.count("*").over(w), "mean": F.avg(v).over(w), "low": F.min(v).over(w), "high": F.max(v).over(w), "stddev": F.stddev_pop(v).over(w), "oldest": F.first(v).over(w), "__t": F.first("event_time_us").over(w)})
     passed = F.col("event_time_us") - F.col("__t")
-    rate = F.when((F.col("n") < 2) | (passed <= 0), F.lit(0.0)).otherwise((F.col("newest") - F.col("oldest")) / (F.greatest(passed, F.lit(1)) / 1e6))
+    rate = F.when((F.col("n") < 2) | (passed <= 0), F.lit(0.0)).otherwise((v - F.col("oldest")) / (F.greatest(passed, F.lit(1)) / 1e6))
     stddev = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("stddev"))
-    return rows.withColumn("rate", rate).withColumn("stddev", stddev).withColumn("ready", F.col("n") >= min_count).select(*samples.columns, "n", "mean", "low", "high", "stddev", "rate", "oldest", "newest", "ready")
+    return rows.select(*samples.columns, "n", "mean", "low", "high", stddev.alias("stddev"), rate.alias("rate"), "oldest", v.alias("newest"), (F.col("n") >= min_count).alias("ready"))

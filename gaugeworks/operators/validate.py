@@ -49,10 +49,14 @@ def checks(ingest_us: int, history_us: int) -> list[tuple[Column, Column]]:
 
 def validate(records: DataFrame, dims: dict[str, DataFrame], ingest_us: int, history_us: int, earlier: bool = True) -> DataFrame:
     """records with event_time_us, error (null if accepted), quality (0 if absent) and the leap-second tag."""
-    rows = records.join(small(dims["devices"].select("device_id", "timezone")), "device_id", "left")
-    rows = rows.join(small(dims["metrics"].select(F.col("metric_id").alias("metric"), "canonical_unit")), "metric", "left")
-    rows = rows.join(small(dims["device_metrics"].select("device_id", F.col("metric_id").alias("metric"), F.lit(True).alias("allowed"))), ["device_id", "metric"], "left")
-    rows = rows.join(small(dims["metric_units"].select(F.col("metric_id").alias("metric"), "unit", F.lit(True).alias("unit_ok"))), ["metric", "unit"], "left")
+    # two joins: a device with the metrics that it may send, a metric with its units
+    allowed = dims["device_metrics"].groupBy("device_id").agg(F.collect_set("metric_id").alias("sends"))
+    devices = dims["devices"].select("device_id", "timezone").join(small(allowed), "device_id", "left")
+    units = dims["metric_units"].groupBy("metric_id").agg(F.collect_set("unit").alias("units"))
+    metrics = dims["metrics"].select("metric_id", "canonical_unit").join(small(units), "metric_id", "left").withColumnRenamed("metric_id", "metric")
+    rows = records.join(small(devices), "device_id", "left").join(small(metrics), "metric", "left")
+    has = lambda found, what: F.when(F.array_contains(found, F.col(what)), True)
+    rows = rows.withColumns({"allowed": has("sends", "metric"), "unit_ok": has("units", "unit")}).drop("sends", "units")
     rows = rows.withColumn("time", parse_event_time(F.col("event_time"), F.col("timezone"), earlier))
     error = functools.reduce(lambda so_far, check: so_far.when(*check), checks(ingest_us, history_us)[1:], F.when(*checks(ingest_us, history_us)[0]))
     rows = rows.withColumn("error", error.cast(ERROR))
@@ -76,4 +80,4 @@ def gate(counts: DataFrame, max_error_rate: float, min_records: int) -> DataFram
 def accepted(validated: DataFrame, gated: DataFrame) -> DataFrame:
     """The rows without an error of the files that passed the gate."""
     files = gated.filter("status = 'VALIDATED'").select("file")
-    return validated.filter("error is null").join(files, "file", "left_semi")
+    return validated.filter("error is null").join(small(files), "file", "left_semi")

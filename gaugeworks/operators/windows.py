@@ -21,15 +21,19 @@ def assign(samples: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     return rows.withColumn("start_us", F.expr("event_time_us div size_us * size_us"))
 
 
-def aggregate(samples: DataFrame, sizes: tuple[int, ...], metrics: DataFrame | None = None) -> DataFrame:
-    """One row for each series, size and window that holds a row. One shuffle, by the window.
+def aggregate(samples: DataFrame, sizes: tuple[int, ...], metrics: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """One row for each series, size and window that holds a row. One shuffle, by the window. only: the windows wanted
+    (device_id, metric_id, size_us, start_us), each once; without it all.
 
     Counts see every row; statistics see the valid ones. Percentiles are exact nearest ranks. metrics: metric_id and
     expected_period_us, for missing_count."""
     value = F.when(_valid(), F.col("value"))
     place = F.struct("event_time_us", "arrival")
     rank = lambda f: F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY CASE WHEN value IS NOT NULL AND quality <> 2 THEN value END)")
-    found = assign(samples, sizes).groupBy("device_id", "metric_id", "size_us", "start_us").agg(
+    assigned = assign(samples, sizes)
+    if only is not None:
+        assigned = assigned.join(only, ["device_id", "metric_id", "size_us", "start_us"], "left_semi")
+    found = assigned.groupBy("device_id", "metric_id", "size_us", "start_us").agg(
         F.count("*").alias("sample_count"),
         F.count_if(F.col("flags").bitwiseAND(F.lit(SYNTHETIC)) != 0).alias("synthetic_count"),
         F.count_if(F.col("quality") == 2).alias("bad_quality_count"),
@@ -55,27 +59,12 @@ def closed(aggregates: DataFrame, watermarks: DataFrame) -> DataFrame:
     return aggregates.join(watermarks, "device_id").filter("end_us <= watermark_us").select(*aggregates.columns)
 
 
-def touched(late: DataFrame, aggregates: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """KEY of the closed windows that late rows fall into."""
-    hit = assign(late, sizes).select("device_id", "metric_id", F.concat(F.expr("size_us div 1000000").cast("string"), F.lit("s")).alias("window_type"), "start_us")
-    return aggregates.select(*KEY).join(hit, KEY, "left_semi").distinct()
-
-
 def correct(versions: DataFrame, samples: DataFrame, late: DataFrame, sizes: tuple[int, ...], metrics: DataFrame | None = None) -> DataFrame:
     """versions (aggregates with version and superseded) after the late rows: touched windows get one more version.
 
     samples: all rows, the late ones among them; only those in touched windows are read again."""
-    hit = touched(late, versions, sizes)
-    old = versions.join(hit.withColumn("__hit", F.lit(True)), KEY, "left").withColumn("superseded", F.col("superseded") | F.coalesce("__hit", F.lit(False))).drop("__hit")
-    rows = assign(samples, sizes).withColumn("window_type", F.concat(F.expr("size_us div 1000000").cast("string"), F.lit("s")))
-    rows = rows.join(hit, KEY, "left_semi")
-    fresh = None
-    for size in sizes:
-        part = aggregate(rows.filter(F.col("size_us") == size * 1_000_000).select(*samples.columns), (size,), metrics)
-        fresh = part if fresh is None else fresh.unionByName(part)
-    last = versions.groupBy(*KEY).agg(F.max("version").alias("version"))
-    new = fresh.join(last, KEY).withColumn("version", F.col("version") + 1).withColumn("superseded", F.lit(False))
-    return old.unionByName(new.select(*old.columns))
+    hit = keys_of(late, sizes).join(versions.select(*KEY).distinct(), KEY, "left_semi")
+    return apply(versions, changes(versions, recomputed(samples, hit, sizes, metrics), hit))
 
 
 def current(versions: DataFrame) -> DataFrame:
@@ -86,7 +75,38 @@ def current(versions: DataFrame) -> DataFrame:
 
 def upsert(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """fresh windows replace version 1 where it isn't superseded, else they become the next version."""
+    return apply(stored, changes(stored, fresh))
+
+
+def changes(stored: DataFrame, fresh: DataFrame, late: DataFrame | None = None) -> DataFrame:
+    """The rows that differ after an import: fresh windows with their versions, and stored ones that they supersede.
+
+    stored: all versions; fresh: the touched windows over all samples. late: KEY of windows that the import's late rows
+    touch. Of the windows in it that are stored, all versions are superseded and the fresh one is the next; the others
+    replace version 1 where it isn't superseded, else they are the next version; a new window is version 1."""
     top = stored.groupBy(*KEY).agg(F.max("version").alias("top"), F.max(F.when(F.col("version") == 1, F.col("superseded"))).alias("gone"))
-    placed = fresh.join(top, KEY, "left").withColumn("version", F.when(F.col("top").isNull() | ~F.col("gone"), F.lit(1)).otherwise(F.col("top") + 1)).withColumn("superseded", F.lit(False))
-    kept = stored.join(placed.select(*KEY, "version"), [*KEY, "version"], "left_anti")
-    return kept.unionByName(placed.select(*stored.columns))
+    placed = fresh.join(top, KEY, "left")
+    if late is None:
+        placed = placed.withColumn("corrects", F.lit(False))
+    else:
+        placed = placed.join(late.select(*KEY).distinct().withColumn("corrects", F.lit(True)), KEY, "left").withColumn("corrects", F.coalesce("corrects", F.lit(False)) & F.col("top").isNotNull())
+    version = F.when(F.col("top").isNull() | (~F.col("corrects") & ~F.coalesce("gone", F.lit(True))), F.lit(1)).otherwise(F.col("top") + 1)
+    placed = placed.withColumns({"version": version, "superseded": F.lit(False)})
+    old = stored.join(placed.filter("corrects").select(*KEY), KEY, "left_semi").filter("not superseded").withColumn("superseded", F.lit(True))
+    return placed.select(*stored.columns).unionByName(old)
+
+
+def apply(stored: DataFrame, changed: DataFrame) -> DataFrame:
+    """stored with the changed rows in place of those of the same window and version."""
+    return stored.join(changed.select(*KEY, "version"), [*KEY, "version"], "left_anti").unionByName(changed.select(*stored.columns))
+
+
+def keys_of(samples: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """KEY of the windows that rows fall into."""
+    return assign(samples, sizes).select("device_id", "metric_id", F.concat(F.expr("size_us div 1000000").cast("string"), F.lit("s")).alias("window_type"), "start_us").distinct()
+
+
+def recomputed(samples: DataFrame, hit: DataFrame, sizes: tuple[int, ...], metrics: DataFrame | None = None) -> DataFrame:
+    """The windows in `hit` (KEY) over all samples."""
+    sized = hit.withColumn("size_us", F.regexp_replace("window_type", "s$", "").cast("bigint") * 1_000_000)
+    return aggregate(samples, sizes, metrics, sized.select("device_id", "metric_id", "size_us", "start_us"))

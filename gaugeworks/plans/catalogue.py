@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.config import DerivedMetric, Device, Metric, Rule, Settings, dimensions
+from gaugeworks.config import DerivedMetric, Metric, Rule, Settings, dimensions, local_table
 from gaugeworks.functions import expression, text, times, units
 from gaugeworks.operators import current, dedup, gaps, lateness, normalize, rolling, rules, stored, validate, windows
 from gaugeworks.plans import samples as S
 from gaugeworks.shipping import ship
 from gaugeworks.sources.csv import read_csv
-from gaugeworks.sources.jsonl import parse_lines
+from gaugeworks.sources.jsonl import read_jsonl
 from gaugeworks.sources.scratch import scratch
 from gaugeworks.sources.tlm import Reading, decode_files, encode
 
@@ -63,7 +63,7 @@ FROM w GROUP BY device_id, metric_id, size_us, start_us"""
 
 def periods(spark: SparkSession, names: list[str], **settings) -> DataFrame:
     row = {"expected_period_us": None, "jitter_us": 0, "max_gap_us": None, "interpolation": "none"} | settings
-    return spark.createDataFrame([(n, *row.values()) for n in names], "metric_id string, expected_period_us long, jitter_us long, max_gap_us long, interpolation string")
+    return local_table(spark, [(n, *row.values()) for n in names], "metric_id string, expected_period_us long, jitter_us long, max_gap_us long, interpolation string")
 
 
 for size in (60, 300, 3600):
@@ -146,13 +146,13 @@ ROLLING = ["mean", "low", "high", "stddev", "rate", "oldest", "newest"]
 
 
 def _rolling(spark: SparkSession, folder: str, **limits) -> DataFrame:
-    found = rolling.rolling(S.clean(spark, folder), **limits)
+    found = rolling.rolling(S.dirty(spark, folder), **limits)
     return rounded(found, *ROLLING).select("device_id", "metric_id", "arrival", "n", *ROLLING, "ready")
 
 
 def rolling_sql(frame: str, least: int = 1) -> str:
     return f"""
-WITH s AS ({S.SQL}), f AS (SELECT device_id, metric_id, arrival, value, event_time_us AS t, count(*) OVER w AS n, avg(value) OVER w AS mean, min(value) OVER w AS low, max(value) OVER w AS high,
+WITH s AS (SELECT * FROM ({S.DIRTY_SQL}) WHERE value IS NOT NULL AND quality <> 2), f AS (SELECT device_id, metric_id, arrival, value, event_time_us AS t, count(*) OVER w AS n, avg(value) OVER w AS mean, min(value) OVER w AS low, max(value) OVER w AS high,
   stddev_pop(value) OVER w AS stddev, first_value(value) OVER w AS oldest, first_value(event_time_us) OVER w AS t0 FROM s WINDOW w AS (PARTITION BY device_id, metric_id {frame}))
 SELECT device_id, metric_id, arrival, n, {r("mean", "mean")}, {r("low", "low")}, {r("high", "high")}, {r("CASE WHEN n < 2 THEN 0 ELSE stddev END", "stddev")},
   {r("CASE WHEN n < 2 OR t <= t0 THEN 0 ELSE (value - oldest) / ((t - t0) / 1e6) END", "rate")}, {r("oldest", "oldest")}, {r("value", "newest")}, n >= {least} AS ready FROM f"""
@@ -161,7 +161,7 @@ SELECT device_id, metric_id, arrival, n, {r("mean", "mean")}, {r("low", "low")},
 add("rolling_count", lambda spark, folder: _rolling(spark, folder, count=4, min_count=3), rolling_sql("ORDER BY event_time_us, arrival ROWS BETWEEN 3 PRECEDING AND CURRENT ROW", 3))
 add("rolling_time", lambda spark, folder: _rolling(spark, folder, duration_us=2 * DAY), rolling_sql(f"ORDER BY event_time_us RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW"))
 add("rolling_both", lambda spark, folder: _rolling(spark, folder, count=3, duration_us=DAY).select("device_id", "metric_id", "arrival", "n", "mean"), f"""
-WITH s AS ({S.SQL}), f AS (SELECT *, list(struct_pack(t := event_time_us, v := value)) OVER (PARTITION BY device_id, metric_id ORDER BY event_time_us, arrival ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS kept FROM s),
+WITH s AS (SELECT * FROM ({S.DIRTY_SQL}) WHERE value IS NOT NULL AND quality <> 2), f AS (SELECT *, list(struct_pack(t := event_time_us, v := value)) OVER (PARTITION BY device_id, metric_id ORDER BY event_time_us, arrival ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS kept FROM s),
 k AS (SELECT *, list_transform(list_filter(kept, lambda x: x.t >= event_time_us - {DAY}), lambda x: x.v) AS vs FROM f)
 SELECT device_id, metric_id, arrival, len(vs) AS n, {r("list_avg(vs)", "mean")} FROM k""")
 
@@ -201,7 +201,7 @@ add("convert_units", _converted, _converted_sql())
 
 def _normalized(spark: SparkSession, folder: str) -> DataFrame:
     types = sorted(x[0] for x in S.events(spark, folder).select("event_type").distinct().collect())
-    metrics = spark.createDataFrame([(t, "K", 270.0, 400.0) for t in types], "metric_id string, canonical_unit string, valid_min double, valid_max double")
+    metrics = local_table(spark, [(t, "K", 270.0, 400.0) for t in types], "metric_id string, canonical_unit string, valid_min double, valid_max double")
     rows = S.dirty(spark, folder).withColumn("unit", F.lit("C"))
     return rounded(normalize.normalize(rows, _segments(spark, folder, False), metrics).select("arrival", "normalized_value", "reject"), "normalized_value")
 
@@ -215,13 +215,17 @@ add("normalize_chain", _normalized, f"WITH s AS ({S.DIRTY_SQL}) SELECT arrival,
 INGEST_US = 1_704_067_200_000_000 + 20 * DAY
 
 
-def _settings(spark: SparkSession, folder: str) -> Settings:
+def _dimensions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Settings' tables made from the events: every tenth user is unknown, every third may send the first two types alone."""
     types = sorted(x[0] for x in S.events(spark, folder).select("event_type").distinct().collect())
-    users = sorted(x[0] for x in S.events(spark, folder).select("user_id").distinct().collect())
-    return Settings(
-        metrics=tuple(Metric(t, "K", ("K", "C")) for t in types),
-        devices=tuple(Device(f"user-{u}", "America/New_York" if u % 2 else "UTC", tuple(types) if u % 3 else tuple(types[:2]), {"line": "AB"[u % 2], "zone": str(u % 5)}) for u in users if u % 10),
-    )
+    out = dimensions(spark, Settings(metrics=tuple(Metric(t, "K", ("K", "C")) for t in types)))
+    user = F.col("user_id")
+    devices = S.events(spark, folder).filter("user_id % 10 <> 0").select("user_id").distinct().select(F.concat(F.lit("user-"), user.cast("string")).alias("device_id"), "user_id")
+    tags = F.create_map(F.lit("line"), F.when(user % 2 == 0, "A").otherwise("B"), F.lit("zone"), (user % 5).cast("string"))
+    out["devices"] = devices.select("device_id", F.when(user % 2 == 0, "UTC").otherwise("America/New_York").alias("timezone"), tags.alias("tags"))
+    sent = F.when(user % 3 == 0, F.array(*map(F.lit, types[:2]))).otherwise(F.array(*map(F.lit, types)))
+    out["device_metrics"] = devices.select("device_id", F.explode(sent).alias("metric_id"))
+    return out
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,7 +252,7 @@ e AS (SELECT r.*, CASE WHEN n % 19 = 0 THEN 'format bad_device_id' WHEN n % 61 =
 
 
 def _validated(spark: SparkSession, folder: str) -> DataFrame:
-    return validate.validate(_records(spark, folder), dimensions(spark, _settings(spark, folder)), INGEST_US, 15 * DAY)
+    return validate.validate(_records(spark, folder), _dimensions(spark, folder), INGEST_US, 15 * DAY)
 
 
 add("validate_rows", lambda spark, folder: _validated(spark, folder).select("position", F.concat_ws(" ", "error.kind", "error.code").alias("err"), "quality"), f"WITH {RECORD_SQL} SELECT n AS position, coalesce(err, '') AS err, CAST(CASE WHEN n % 67 = 0 THEN 3 WHEN n % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS quality FROM e")
@@ -385,12 +389,49 @@ UNION ALL SELECT {picked % ("2", "false")} FROM s JOIN touched USING (device_id,
 
 
 add("late_correction_versions", _versions, _version_sql())
+
+
+def _imports(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows after two imports: each fourth event comes with the second, late or not."""
+    rows, sizes = lateness.flag_late(S.dirty(spark, folder), DAY).drop("watermark_us"), (3600, 86400)
+    first = windows.aggregate(rows.filter("arrival % 4 <> 0"), sizes).withColumns({"version": F.lit(1), "superseded": F.lit(False)})
+    second = rows.filter("arrival % 4 = 0")
+    fresh = windows.recomputed(rows, windows.keys_of(second, sizes), sizes)
+    changed = windows.changes(first, fresh, windows.keys_of(second.filter("flags & 2 <> 0"), sizes))
+    return rounded(windows.apply(first, changed), "sum", "last_value").select("device_id", "metric_id", "window_type", "start_us", "version", "superseded", "sample_count", "valid_count", "sum", "last_value", "last_us")
+
+
+def _imports_sql() -> str:
+    v = "FILTER (value IS NOT NULL AND quality <> 2)"
+    stats = f"count(*) AS sample_count, count(*) {v} AS valid_count, {r(f'sum(value) {v}', 'sum')}, {r(f'first(value ORDER BY event_time_us DESC, arrival) {v}', 'last_value')}, max(event_time_us) {v} AS last_us"
+    key = "device_id, metric_id, window_type, start_us"
+    return f"""
+WITH w AS (SELECT *, event_time_us < max(event_time_us) OVER (PARTITION BY device_id ORDER BY arrival) - {DAY} AS late FROM ({S.DIRTY_SQL})),
+z AS (SELECT w.*, size || 's' AS window_type, event_time_us // (size * 1000000) * (size * 1000000) AS start_us FROM w, (SELECT unnest([3600, 86400])::BIGINT AS size)),
+k AS (SELECT {key}, bool_or(late) AS late FROM z WHERE arrival % 4 = 0 GROUP BY ALL), a AS (SELECT {key}, {stats} FROM z WHERE arrival % 4 <> 0 GROUP BY {key}),
+b AS (SELECT {key}, {stats} FROM z SEMI JOIN k USING ({key}) GROUP BY {key})
+SELECT {key}, 1 AS version, k.late IS NOT NULL AS superseded, a.* EXCLUDE ({key}) FROM a LEFT JOIN k USING ({key}) WHERE k.late IS NULL OR k.late
+UNION ALL SELECT {key}, CASE WHEN k.late AND a.sample_count IS NOT NULL THEN 2 ELSE 1 END AS version, false AS superseded, b.* EXCLUDE ({key}) FROM b JOIN k USING ({key}) LEFT JOIN a USING ({key})"""
+
+
+add("windows_after_imports", _imports, _imports_sql())
+
+
+def _closed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = S.dirty(spark, folder)
+    marks = rows.groupBy("device_id").agg((F.max("event_time_us") - DAY).alias("watermark_us"))
+    return windows.closed(windows.aggregate(rows, (3600,)), marks).select("device_id", "metric_id", "start_us", "end_us", "sample_count")
+
+
+add("windows_closed", _closed, f"""
+WITH s AS ({S.DIRTY_SQL}), m AS (SELECT device_id, max(event_time_us) - {DAY} AS mark FROM s GROUP BY 1), w AS (SELECT device_id, metric_id, event_time_us // {HOUR} * {HOUR} AS start_us, count(*) AS sample_count FROM s GROUP BY ALL)
+SELECT device_id, metric_id, start_us, start_us + {HOUR} AS end_us, sample_count FROM w JOIN m USING (device_id) WHERE start_us + {HOUR} <= mark""")
 add("samples_query", lambda spark, folder: rounded(stored.query_samples(S.dirty(spark, folder), "user-1", "click", synthetic=False), "value"), f"WITH s AS ({S.DIRTY_SQL}) SELECT * REPLACE (round(value, 6) + 0.0 AS value) FROM s WHERE device_id = 'user-1' AND metric_id = 'click' AND flags & 4 = 0 ORDER BY event_time_us, arrival LIMIT 1000")
-add("devices_by_tag", lambda spark, folder: stored.devices_by_tag(dimensions(spark, _settings(spark, folder))["devices"], line="A").select("device_id", "timezone", text.tags_json(F.col("tags")).alias("tags")), """
+add("devices_by_tag", lambda spark, folder: stored.devices_by_tag(_dimensions(spark, folder)["devices"], line="A").select("device_id", "timezone", text.tags_json(F.col("tags")).alias("tags")), """
 SELECT DISTINCT 'user-' || user_id AS device_id, 'UTC' AS timezone, '{"line":"A","zone":"' || user_id % 5 || '"}' AS tags FROM events WHERE user_id % 10 <> 0 AND user_id % 2 = 0""")
 add("status_counts", lambda spark, folder: stored.status(validate.gate(validate.file_counts(_validated(spark, folder)), 0.65, 100)), f"WITH {RECORD_SQL}, {COUNT_SQL} SELECT CASE WHEN business_errors / greatest(total, 100) > 0.65 THEN 'QUARANTINED' ELSE 'VALIDATED' END AS status, count(*) AS files FROM c GROUP BY 1")
 add("retention", lambda spark, folder: stored.retain(S.clean(spark, folder), 10, INGEST_US).groupBy("metric_id").agg(F.count("*").alias("n")), f"WITH s AS ({S.SQL}) SELECT metric_id, count(*) AS n FROM s WHERE event_time_us >= {INGEST_US - 10 * DAY} GROUP BY 1")
-add("orphans", lambda spark, folder: stored.orphans(S.clean(spark, folder).select("device_id", "arrival"), dimensions(spark, _settings(spark, folder))["devices"], "device_id"), "SELECT 'user-' || user_id AS device_id, event_id AS arrival FROM events WHERE user_id % 10 = 0")
+add("orphans", lambda spark, folder: stored.orphans(S.clean(spark, folder).select("device_id", "arrival"), _dimensions(spark, folder)["devices"], "device_id"), "SELECT 'user-' || user_id AS device_id, event_id AS arrival FROM events WHERE user_id % 10 = 0")
 
 # Sources: the events written in a format and read again
 
@@ -415,8 +456,9 @@ def _csv_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _jsonl_scan(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _input(spark, folder).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
-    return _read(parse_lines(lines.select(F.lit("events").alias("file"), F.monotonically_increasing_id().alias("position"), "line")))
+    place = scratch(spark, "jsonl-scan")
+    _input(spark, folder).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).write.text(place)
+    return _read(read_jsonl(spark, [place]))
 
 
 def _encoded(frame: pd.DataFrame) -> pd.DataFrame:

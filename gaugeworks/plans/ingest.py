@@ -6,18 +6,20 @@ import os
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.config import Settings, dimensions
+from gaugeworks.config import Settings, dimensions, local_table
 from gaugeworks.functions.times import FORMAT
 from gaugeworks.operators import dedup, gaps, lateness, normalize, validate, windows
+from gaugeworks.operators.dims import small
 from gaugeworks.shipping import ship
 from gaugeworks.sources import tables
 from gaugeworks.sources.csv import read_csv
 from gaugeworks.sources.files import identity, put_away
 from gaugeworks.sources.jsonl import read_jsonl
 from gaugeworks.sources.records import format_of
+from gaugeworks.sources.scratch import settled
 from gaugeworks.sources.tlm import read_tlm
 
 READERS = {"csv": read_csv, "jsonl": read_jsonl, "tlm": read_tlm}
@@ -25,6 +27,14 @@ SAMPLES = "device_id string, metric_id string, event_time_us long, value double,
 INTERVALS = "device_id string, metric_id string, start_us long, end_us long, expected_count long"
 
 
+AGGREGATES = (
+    "device_id string, metric_id string, window_type string, start_us long, end_us long, sample_count long, valid_count long, synthetic_count long, bad_quality_count long, missing_count long, min double, max double, avg double, sum double, "
+    "stddev double, first_value double, first_us long, last_value double, last_us long, p50 double, p95 double, p99 double, version int, superseded boolean"
+)
+FILES = "hash string, path string, status string"
+PLACES = 1 << 41  # rows of a file, for the arrival order of rows over files
+
+
 @dataclass
 class Stages:
     """What an import makes, before it is stored."""
@@ -33,7 +43,6 @@ class Stages:
     files: DataFrame
     samples: DataFrame
     intervals: DataFrame
-    aggregates: DataFrame
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -47,51 +56,89 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def process(records: DataFrame, settings: Settings, ingest_us: int, stored: DataFrame | None = None) -> Stages:
-    """All stages over RECORD rows. stored: SAMPLES of earlier imports, for watermarks, duplicates and gaps."""
+    """All stages over RECORD rows. stored: SAMPLES of earlier imports, for watermarks, duplicates and gaps.
+
+    What is read more than once is written once, to the cluster's shared folder."""
     spark = records.sparkSession
     ship(spark)
     dims = dimensions(spark, settings)
     good = validate.validate(records.filter("parse_error is null").drop("parse_error"), dims, ingest_us, settings.history_range_us, settings.ambiguous_earlier)
     bad = records.filter("parse_error is not null").select(*(F.lit(None).cast(t).alias(n) if n in ("event_time_us",) else F.col(n) for n, t in good.drop("error").dtypes), F.struct(F.lit(FORMAT).alias("kind"), F.col("parse_error").alias("code")).alias("error"))
-    validated = good.unionByName(bad)
-    files = validate.gate(validate.file_counts(validated), settings.max_error_rate, settings.error_rate_min_records)
+    # each of these is read several times by what follows
+    validated = settled(good.unionByName(bad))
+    files = settled(validate.gate(validate.file_counts(validated), settings.max_error_rate, settings.error_rate_min_records))
     rows = validate.accepted(validated, files).withColumnRenamed("metric", "metric_id")
     rows = normalize.normalize(rows, dims["calibrations"], dims["metrics"]).filter("reject is null")
-    # one arrival order over all files: by name, then position
-    rows = rows.select("device_id", "metric_id", "event_time_us", F.col("normalized_value").alias("value"), "quality", F.lit(0).alias("flags"), "sequence", F.col("position").alias("arrival"), "tags", "file")
+    # one arrival order over all files: by name, then place in the file; the table has a row for each file
+    ranks = files.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint").alias("rank"))
+    rows = rows.join(small(ranks), "file")
+    arrival = (F.col("rank") * PLACES + F.col("position")).alias("arrival")
+    rows = rows.select("device_id", "metric_id", "event_time_us", F.col("normalized_value").alias("value"), "quality", F.lit(0).alias("flags"), "sequence", arrival, "tags", "file")
     seeds = lateness.stored_seeds(stored) if stored is not None else None
     rows = lateness.flag_late(rows, settings.allowed_lateness_us, seeds).drop("watermark_us")
     rows = dedup.dedup(rows)
-    rows = rows if stored is None else dedup.not_stored(rows, stored)
+    rows = settled(rows if stored is None else dedup.not_stored(rows, stored))
     found = gaps.steps(rows, dims["metrics"], gaps.last_valid(stored) if stored is not None else None)
     points = gaps.interpolate(found).select("device_id", "metric_id", "event_time_us", "value", "quality", "flags", F.lit(None).cast("decimal(20,0)").alias("sequence"), F.lit((1 << 62)).cast("bigint").alias("arrival"), F.create_map().cast("map<string,string>").alias("tags"), F.lit(None).cast("string").alias("file"))
-    every = dedup.dedup(rows.unionByName(points))
-    return Stages(validated, files, every, gaps.intervals(found), windows.aggregate(every, settings.windows, dims["metrics"]))
+    return Stages(validated, files, dedup.dedup(rows.unionByName(points)), gaps.intervals(found))
+
+
+def read_aggregates(spark: SparkSession, root: str, but: str | None = None, days: tuple[int, int] | None = None) -> DataFrame:
+    """The stored windows, all versions. Each import adds the rows that it changes; of a window's version the last one counts."""
+    rows = tables.read_table(spark, f"{root}/aggregates", AGGREGATES + ", written long", but, days)
+    w = Window.partitionBy(*windows.KEY, "version").orderBy(F.desc("written"))
+    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "written")
+
+
+def store_aggregates(spark: SparkSession, settings: Settings, root: str, batch: str) -> None:
+    """Close or correct the windows that a stored batch touches, over all stored samples; only the days they lie in are read."""
+    new = tables.read_batch(spark, f"{root}/samples", SAMPLES, batch)
+    is_late = F.col("flags").bitwiseAND(F.lit(lateness.LATE)) != 0
+    hit = settled(windows.keys_of(new, settings.windows))
+    ends = hit.agg(F.min("start_us").alias("low"), F.max("start_us").alias("high")).first()
+    if ends["low"] is None:
+        return
+    days = ends["low"], ends["high"] + max(settings.windows) * 1_000_000
+    versions = read_aggregates(spark, root, batch, days)
+    late = windows.keys_of(new.filter(is_late), settings.windows)
+    if not settings.late_correction:
+        # a late row alone leaves a closed window as it is
+        on_time = windows.keys_of(new.filter(~is_late), settings.windows)
+        hit, late = on_time.unionByName(late.join(versions.select(*windows.KEY).distinct(), windows.KEY, "left_anti")).distinct(), None
+    samples = tables.read_table(spark, f"{root}/samples", SAMPLES, days=days)
+    fresh = windows.recomputed(samples, hit, settings.windows, dimensions(spark, settings)["metrics"])
+    before = tables.read_table(spark, f"{root}/aggregates", AGGREGATES + ", written long", batch).agg(F.coalesce(F.max("written"), F.lit(0)).alias("n")).first()["n"]
+    tables.write_batch(windows.changes(versions, fresh, late).withColumn("written", F.lit(before + 1).cast("bigint")), f"{root}/aggregates", batch, "start_us")
+
+
+def store(records: DataFrame, settings: Settings, root: str, batch: str, ingest_us: int) -> Stages:
+    """Process RECORD rows and store them as one batch, in place of what an earlier try of the batch stored."""
+    spark = records.sparkSession
+    stages = process(records, settings, ingest_us, tables.read_table(spark, f"{root}/samples", SAMPLES, but=batch))
+    tables.write_batch(stages.samples, f"{root}/samples", batch, "event_time_us")
+    tables.write_batch(stages.intervals, f"{root}/intervals", batch, "start_us")
+    store_aggregates(spark, settings, root, batch)
+    return stages
 
 
 def import_files(spark: SparkSession, paths: list[str], settings: Settings, root: str, ingest_us: int, archive: str | None = None, quarantine: str | None = None) -> dict[str, str]:
     """Import files that aren't in the manifest yet; status by path. Each import is one batch, written again if it is retried."""
     identities = {p: identity(p) for p in paths}
-    known = {r["hash"] for r in tables.read_table(spark, f"{root}/files", "hash string, path string, status string").collect()}
+    asked = local_table(spark, [(i.hash,) for i in identities.values()], "hash string")
+    known = {r["hash"] for r in tables.read_table(spark, f"{root}/files", FILES).join(F.broadcast(asked), "hash", "left_semi").select("hash").distinct().collect()}
     new = {p: i for p, i in identities.items() if i.hash not in known}
     out = {p: "SKIPPED" for p in paths if p not in new}
     if not new:
         return out
     batch = sorted(i.hash for i in new.values())[0][:16]
-    stored = tables.read_table(spark, f"{root}/samples", SAMPLES)
-    stages = process(read_records(spark, sorted(new)), settings, ingest_us, stored)
+    stages = store(read_records(spark, sorted(new)), settings, root, batch, ingest_us)
     files = {os.path.realpath(r["file"].removeprefix("file:")): r for r in stages.files.collect()}
-    tables.write_batch(stages.samples, f"{root}/samples", batch, "event_time_us")
-    tables.write_batch(stages.intervals, f"{root}/intervals", batch, "start_us")
-    tables.write_batch(stages.aggregates.withColumns({"version": F.lit(1), "superseded": F.lit(False)}), f"{root}/aggregates", batch, "start_us")
     status = {p: "QUARANTINED" if (r := files.get(os.path.realpath(p))) and r["status"] == "QUARANTINED" else "COMPLETED" for p in new}
-    tables.write_batch(spark.createDataFrame([(i.hash, p, status[p]) for p, i in new.items()], "hash string, path string, status string"), f"{root}/files", batch)
-    # reports are read from the files, so all are made before any file moves
-    counts = {p: files[os.path.realpath(p)].asDict() for p in new if status[p] == "QUARANTINED" and quarantine}
-    reports = {p: tables.error_report(stages.validated.filter(F.col("file") == c["file"]), c) for p, c in counts.items()}
+    tables.write_batch(local_table(spark, [(i.hash, p, status[p]) for p, i in new.items()], FILES), f"{root}/files", batch)
     for p, i in new.items():
-        if p in reports:
-            put_away(p, quarantine, i.hash, report=reports[p])
+        if status[p] == "QUARANTINED" and quarantine:
+            counts = files[os.path.realpath(p)].asDict()
+            put_away(p, quarantine, i.hash, report=tables.error_report(stages.validated.filter(F.col("file") == counts["file"]), counts))
         elif status[p] == "COMPLETED" and archive:
             put_away(p, archive, i.hash)
     return out | status

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.functions.text import sanitize, tags_from_pairs
-from gaugeworks.sources.records import MOST_BYTES, OPTIONAL, REQUIRED
+from gaugeworks.sources.records import MOST_BYTES, OPTIONAL, REQUIRED, place_in_file
 
 
 class HeaderError(ValueError):
@@ -45,8 +45,9 @@ def header_of(line: str) -> tuple[str, tuple[str, ...]]:
 
 def headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """The first line of each file that is neither blank nor a comment."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
-    useful = lines.filter((F.col("block") == 0) & ~F.regexp_replace("value", "^﻿", "").rlike(r"^(#|\r?$)"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value").filter("block = 0")
+    # a file's first split has the header; the filter on the metadata column keeps the others from being read
+    useful = lines.filter(~F.regexp_replace("value", "^﻿", "").rlike(r"^(#|\r?$)"))
     return {r["file"]: r["line"] for r in useful.groupBy("file").agg(F.min_by("value", "n").alias("line")).collect()}
 
 
@@ -69,7 +70,7 @@ def _group(spark: SparkSession, files: list[str], sep: str, names: tuple[str, ..
     rows = spark.read.csv(files, schema=schema, sep=sep, header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', comment="#", mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt", maxCharsPerColumn=MOST_BYTES * 4, emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     at = {n: F.col(f"c{i}") for i, n in enumerate(names)}
     cell = lambda n: F.nullif(at[n], F.lit("")) if n in at else F.lit(None).cast("string")
-    position = F.monotonically_increasing_id()
+    position = place_in_file()
     whole = F.concat_ws(sep, *columns)
     value, quality, sequence, tags = cell("value"), cell("quality"), cell("sequence"), cell("tags")
     number = F.trim(value).try_cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import sanitize
-from gaugeworks.sources.records import MOST_BYTES, OPTIONAL, REQUIRED
+from gaugeworks.sources.records import MOST_BYTES, OPTIONAL, REQUIRED, place_in_file
 
 DEPTH = 16
 _INTEGER = r"^(BIGINT|DECIMAL\((19|[23][0-9]),0\))$"  # a decimal without places is 1.0, or too long for a long
@@ -27,7 +27,7 @@ def depth_of(text: Column) -> Column:
 
 def read_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
     """RECORD rows of the files; lines that aren't records have parse_error."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"), F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", "").alias("line"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), place_in_file().alias("position"), F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", "").alias("line"))
     return parse_lines(lines.filter("line <> ''"))
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, path: str, schema: str, but: str | None = None) -> DataFrame:
-    """The stored rows, without the batch column and without the batch `but`; empty if there are none yet."""
+def read_table(spark: SparkSession, path: str, schema: str, but: str | None = None, days: tuple[int, int] | None = None) -> DataFrame:
+    """The stored rows, without the batch column and without the batch `but`; empty if there are none yet.
+
+    days: microseconds; only the folders of the days from the first to the second are read."""
     try:
         found = spark.read.schema(f"{schema}, batch string, day date").parquet(path)
     except Exception as e:
@@ -15,9 +17,22 @@ def read_table(spark: SparkSession, path: str, schema: str, but: str | None = No
             raise
         return spark.createDataFrame([], schema)
     found = found if but is None else found.filter(F.col("batch") != but)
+    if days is not None:
+        found = found.filter(F.col("day").between(*(F.to_date(F.timestamp_micros(F.lit(x))) for x in days)))
     return found.drop("batch", "day")
 
 
+def read_batch(spark: SparkSession, path: str, schema: str, batch: str) -> DataFrame:
+    """The rows of one batch; its folder alone is read. Empty if there are none."""
+    try:
+        found = spark.read.schema(f"{schema}, batch string, day date").parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    return found.filter(F.col("batch") == batch).drop("batch", "day")
+
+
 def write_batch(rows: DataFrame, path: str, batch: str, time: str | None = None) -> None:
     """Write a batch's rows in place of those that an earlier try of the same batch wrote; partitioned by day of `time`."""
     day = F.to_date(F.timestamp_micros(F.col(time))) if time else F.lit(None).cast("date")

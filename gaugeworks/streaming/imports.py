@@ -15,15 +15,12 @@ from gaugeworks.sources.jsonl import parse_lines
 def import_stream(spark: SparkSession, folder: str, settings: Settings, root: str, ingest_us: int, checkpoint: str, files_at_once: int = 100) -> StreamingQuery:
     """Import what is in the folder and not yet imported, then stop. A batch that is tried again replaces its own rows."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", "*.json*").load(folder)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line")).filter("line <> ''")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.trim("value").alias("line")).filter("line <> ''")
 
     def store(batch: DataFrame, number: int) -> None:
         name = f"stream-{number}"
-        records = parse_lines(batch.withColumn("position", F.monotonically_increasing_id()))
-        history = tables.read_table(spark, f"{root}/samples", ingest.SAMPLES, but=name)
-        stages = ingest.process(records, settings, ingest_us, history)
-        tables.write_batch(stages.samples, f"{root}/samples", name, "event_time_us")
-        tables.write_batch(stages.intervals, f"{root}/intervals", name, "start_us")
+        place = F.col("block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        stages = ingest.store(parse_lines(batch.withColumn("position", place)), settings, root, name, ingest_us)
         tables.write_batch(stages.files.select("file", "total", "accepted", "status"), f"{root}/stream_files", name)
 
     return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -92,6 +92,24 @@ def test_rolling(spark):
     assert [r["n"] for r in rolling.rolling(ties, count=2, duration_us=0).orderBy("arrival").collect()] == [1, 2, 1]
 
 
+@pytest.mark.parametrize("limits", [{"count": 3}, {"duration_us": 2 * S}, {"count": 3, "duration_us": 2 * S}])
+def test_rolling_against_plain_python(spark, limits):
+    """Nulls and device errors don't count; rows at one time and at the frame's edge."""
+    r = random.Random(3)
+    given = [(r.randint(0, 12) + r.choice([0, 0, 1e-6]), r.choice([None, 1.0, 2.5, 7.0]), r.choice([0, 0, 0, 2])) for _ in range(120)]
+    got = {x.arrival: x for x in rolling.rolling(samples(spark, given), **limits, min_count=2).collect()}
+    valid = sorted((round(t * S), i, v) for i, (t, v, q) in enumerate(given) if v is not None and q != 2)
+    assert sorted(got) == sorted(i for _, i, _ in valid)
+    for k, (t, i, v) in enumerate(valid):
+        frame = valid[max(0, k + 1 - limits["count"]) if "count" in limits else 0 : k + 1]
+        frame = [x for x in frame if x[0] >= t - limits.get("duration_us", 10**12)]
+        values = [x[2] for x in frame]
+        x, mean, passed = got[i], sum(values) / len(values), t - frame[0][0]
+        assert (x.n, x.low, x.high, x.oldest, x.newest, x.ready) == (len(frame), min(values), max(values), values[0], v, len(frame) >= 2)
+        assert (x["mean"], x.stddev) == pytest.approx((mean, (sum((y - mean) ** 2 for y in values) / len(values)) ** 0.5), abs=1e-9)
+        assert x.rate == pytest.approx((v - values[0]) / (passed / 1e6) if passed > 0 else 0.0)
+
+
 def feed(rule, steps):
     machine = rules.Machine(rule, "dev-01")
     for t, v in steps:

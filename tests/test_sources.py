@@ -111,6 +111,50 @@ def test_gate_and_import(spark, tmp_path):
     assert ingest.import_files(spark, [str(inbox / "again.csv")], SETTINGS, root, NOW) == {str(inbox / "again.csv"): "SKIPPED"}
 
 
+def stored_windows(spark, root):
+    rows = ingest.read_aggregates(spark, root).filter("window_type = '3600s'").collect()
+    return sorted((r.start_us, r.version, r.superseded, r.sample_count, r["avg"]) for r in rows)
+
+
+def add_readings(path, readings):
+    path.write_text("\n".join(["device_id,metric,event_time,value,unit"] + [f"dev-01,temp,{t},{v},C" for t, v in readings]) + "\n")
+    return str(path)
+
+
+@pytest.mark.parametrize("correction", [True, False])
+def test_windows_over_imports(spark, tmp_path, correction):
+    """Windows hold all stored rows, however many imports brought them; late rows correct a closed window, or leave it."""
+    from dataclasses import replace
+
+    settings, root, hour = replace(SETTINGS, late_correction=correction), str(tmp_path / "store"), 1788220800000
+    load = lambda name, *readings: ingest.import_files(spark, [add_readings(tmp_path / f"{name}.csv", readings)], settings, root, NOW)
+    load("a", (hour + 1000, 1.0))
+    load("b", (hour + 2000, 3.0))  # on time: version 1 is made again
+    assert stored_windows(spark, root) == [(hour * 1000, 1, False, 2, 2.0)]
+    load("c", (hour + 900_000, 5.0), (hour + 3000, 11.0))  # the second row is late
+    load("d", (hour + 4000, 30.0))  # late alone
+    if correction:
+        assert stored_windows(spark, root) == [(hour * 1000, 1, True, 2, 2.0), (hour * 1000, 2, True, 4, 5.0), (hour * 1000, 3, False, 5, 10.0)]
+    else:
+        assert stored_windows(spark, root) == [(hour * 1000, 1, False, 4, 5.0)]
+    whole = str(tmp_path / "whole")
+    every = [(hour + 1000, 1.0), (hour + 2000, 3.0), (hour + 900_000, 5.0), (hour + 3000, 11.0), (hour + 4000, 30.0)]
+    ingest.import_files(spark, [add_readings(tmp_path / "e.csv", every)], settings, whole, NOW)
+    assert stored_windows(spark, whole) == [(hour * 1000, 1, False, 5, 10.0)]
+
+
+def test_arrival_order(spark, tmp_path):
+    """Files by name, then rows by their place, whatever their formats and sizes."""
+    hour = 1788220800000
+    (tmp_path / "b.csv").write_text("device_id,metric,event_time,value,unit\n" + "".join(f"dev-01,temp,{hour + i},{i},C\n" for i in range(100)))
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"device_id": "dev-01", "metric": "temp", "event_time": hour + 1000 + i, "value": 1000.0 + i, "unit": "C"}) + "\n" for i in range(5)))
+    write_tlm(tmp_path / "c.tlm")
+    stages = ingest.process(ingest.read_records(spark, [str(tmp_path / n) for n in ("c.tlm", "b.csv", "a.jsonl")]), SETTINGS, NOW)
+    rows = stages.samples.orderBy("arrival").collect()
+    assert [os.path.basename(r.file) for r in rows] == ["a.jsonl"] * 5 + ["b.csv"] * 100 + ["c.tlm"] * 4
+    assert [round(r.value, 6) for r in rows[:105]] == [1000.0 + i for i in range(5)] + [float(i) for i in range(100)] and len({r.arrival for r in rows}) == 109
+
+
 def test_discovery(tmp_path):
     for name in ("a.csv", "b.jsonl.ready", ".c.csv", "d.csv.tmp", "e.txt"):
         (tmp_path / name).write_text("x")
@@ -143,6 +187,11 @@ def test_streams(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select(*flag_late(rows, day).columns)
     assert sorted(map(tuple, got.collect()), key=repr) == whole
+    bare = rows.filter("value is not null").limit(5).selectExpr("device_id", "metric_id", "event_time_us", "value", "quality", "flags", "cast(null as bigint) sequence", "arrival").cache()
+    bare.unionAll(bare).coalesce(1).write.parquet(str(tmp_path / "bare"))
+    query = stream.dedup_stream(spark.readStream.schema(bare.schema).parquet(str(tmp_path / "bare")), "1 day").writeStream.format("memory").queryName("bare_rows").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.arrival for r in spark.table("bare_rows").collect()) == sorted(r.arrival for r in bare.collect())
     for f in (lambda s: stream.windows_stream(s, "1 hour", "1 day"), lambda s: stream.dedup_stream(s, "1 day")):
         name = f"s{int(time.time() * 1e6)}"
         query = f(source).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
@@ -163,6 +212,7 @@ def test_streamed_import_and_rules(spark, tmp_path):
         write_jsonl(inbox / f"{name}.jsonl")
         import_stream(spark, str(inbox), SETTINGS, str(tmp_path / "store"), NOW, str(tmp_path / "cp")).awaitTermination()
         assert tables.read_table(spark, str(tmp_path / "store" / "samples"), ingest.SAMPLES).count() == 4
+    assert {(r.version, r.sample_count) for r in ingest.read_aggregates(spark, str(tmp_path / "store")).filter("window_type = '3600s' and metric_id = 'temp' and device_id = 'dev-01'").collect()} == {(1, 2)}
 
     rule = Rule("r", "click > 60", "click < 30", cooldown_us=3_600_000_000)
     found = rules.evaluations(clean(spark, "/root/testdata/sf0.001"), [rules.compile_rule(rule, ["click"])])
