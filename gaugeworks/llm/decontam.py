@@ -14,8 +14,10 @@ Words are runs without white space and ASCII punctuation, lower-cased. The index
 about SLICE items, however many items there are; each slice is one pass over the documents. Term weights are those of
 all items: how many hold a term is counted on the cluster, and a slice collects the counts of its own terms.
 
-Defined cases: null and empty texts have no passages; items without words match nothing; equal items are all reported;
-repeated rows each get theirs; other columns pass through decontaminate untouched.
+Defined cases: null and empty texts have no passages; very long ones have all of theirs; items with a null id or text, or
+without words, match nothing; equal items are all reported, and of several texts of one item each hit, by slice; without items,
+or in an empty table, nothing is leaked; of passages with one score the first counts; repeated rows each get theirs; other
+columns pass through decontaminate untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,7 +76,6 @@ class Index:
     term_start: np.ndarray  # postings of term t: term_start[t] to term_start[t + 1]
     entries: np.ndarray
     impacts: np.ndarray
-    most: np.ndarray  # largest impact of each term
     block_start: np.ndarray
     blocks: np.ndarray
     block_most: np.ndarray
@@ -132,15 +133,13 @@ def build_index(rows: list[tuple[int, str | None]], weights: Weights | None = No
     impact = weight / np.bincount(entry, weight)[entry]
     order = np.lexsort((entry, term))
     term, entry, impact = term[order], entry[order], impact[order]
-    most = np.zeros(len(vocabulary))
-    np.maximum.at(most, term, impact)
     cell, place = np.unique(term * (len(found) + 1) + entry // BLOCK, return_inverse=True)
     block_most = np.zeros(len(cell))
     np.maximum.at(block_most, place, impact)
     block_term = cell // (len(found) + 1)
     starts = np.arange(len(vocabulary) + 1)
     parts = [parts_of(x) for x in found]
-    return Index(np.array(ids, np.int64), parts, whole, wholes, vocabulary, np.searchsorted(term, starts), entry, impact, most, np.searchsorted(block_term, starts), cell % (len(found) + 1), block_most)
+    return Index(np.array(ids, np.int64), parts, whole, wholes, vocabulary, np.searchsorted(term, starts), entry, impact, np.searchsorted(block_term, starts), cell % (len(found) + 1), block_most)
 
 
 def spread(start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

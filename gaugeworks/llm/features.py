@@ -168,11 +168,6 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK) -> Iterator[Ch
             i = j
 
 
-def by_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by text number."""
-    return np.bincount(text, values, n) if len(text) else np.zeros(n)
-
-
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Whether each key stands there more than once."""
     order = np.argsort(keys, kind="stable")

@@ -36,7 +36,6 @@ from __future__ import annotations
 
 import functools
 import gc
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.features import Chunk, chunks, mix
+from gaugeworks.sources.scratch import settled
 
 SHINGLE = 5
 PERCENT = 75
@@ -60,14 +60,11 @@ MANY = 1024
 
 
 def shared(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the cluster's shared folder; where none is set, as in tests, in one of our own."""
-    spark = frame.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    """A reliable checkpoint, in the cluster's shared folder."""
     # shuffles and checkpoints that nothing refers to any more leave the disks when the driver's garbage is collected
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return frame.checkpoint()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+    return settled(frame)
 
 
 def shingle_sets(chunk: Chunk, n: int = SHINGLE, common: np.ndarray | None = None) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
@@ -471,3 +468,15 @@ def keep_one(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT) ->
     out = rows.join(kept, F.col("doc_id") == F.col("kept"))
     several = out.filter("rows > 1").groupBy("kept").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
     return out.filter("rows = 1").select("row").unionAll(several.select("row")).select("row.*")
+
+
+def oracle(n: int = SHINGLE, percent: int = PERCENT) -> str:
+    """DuckDB SQL for groups over documents with distinct ids, none null: every pair that shares a shingle, then all paths."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + {n - 1}], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, 1 + greatest(len(words) - {n - 1}, least(len(words), 1)))) AS i FROM w)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * common >= {percent} * (a.n + b.n - common)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT w.doc_id, CAST(coalesce(any_value(c.n), 0) AS BIGINT) AS n_shingles, CAST(least(w.doc_id, min(r.y)) AS BIGINT) AS component_id FROM w LEFT JOIN c USING (doc_id) LEFT JOIN r ON r.x = w.doc_id GROUP BY w.doc_id"""

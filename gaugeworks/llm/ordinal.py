@@ -7,7 +7,9 @@ is scored whole, in Arrow batches, without a shuffle.
 
 Defined cases: null grades don't count; a grade seen in no labelled text has no influence but keeps its threshold's
 place; without two grades every text has the highest grade; null and empty texts score by the thresholds alone and are
-never selected; repeated rows each get their row; other columns pass through grade_texts.
+never selected; very long texts are scored whole; of several ratings of one document the lowest counts; of grades alike in
+probability the lowest is given; an empty table gives no rows; repeated rows each get their row; other columns pass through
+grade_texts, but one of the output's name is replaced.
 """
 
 from __future__ import annotations

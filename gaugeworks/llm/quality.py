@@ -4,9 +4,10 @@ Words are runs of characters other than space and 0x09-0x0D. The classifier read
 n-grams of the whole text; its probability is calibrated by Platt's method on a held-out fifth of the sample. A text
 stays when the base rules pass and the probability of good quality is at least THRESHOLD.
 
-Defined cases: a null or empty text has no words, so n_words is 0 and it fails; without labels of both classes the
-classifier keeps everything; repeated rows each get their row; other columns of the input pass through filter_quality
-untouched, also those named like a statistic.
+Defined cases: a null or empty text has no words, so n_words is 0 and it fails; very long texts are read whole; without
+labels of both classes, and with an empty table of labels, the classifier keeps everything; of several labels of one document
+the lowest counts; a probability of exactly THRESHOLD stays; an empty table gives no rows; repeated rows each get their row;
+other columns of the input pass through filter_quality untouched, also those named like a statistic.
 """
 
 from __future__ import annotations

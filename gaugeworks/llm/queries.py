@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import chat, decontam, extract, jaccard, ordinal, packing, pii, quality, secrets, urls
-from gaugeworks.shipping import ship
+from gaugeworks.llm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(f)
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return f(spark, folder)
 
     QUERIES[f.__name__] = run
@@ -84,6 +84,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.groups(table(spark, folder, "documents"))
 
 
+ORACLES["op9_ngram_jaccard_join"] = jaccard.oracle()
+
+
 @query
 def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Expected grade, tail probability and selection of every document."""

@@ -146,3 +146,11 @@ def test_chunks_of_few_words(n):
                 assert all(np.array_equal(a, b) and len(b) == len(level) for a, (b, level) in zip(plain, found, strict=True))
                 if len(texts) == 1 and count >= n:
                     assert all((level == n).all() for _, level in found)
+
+
+def test_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    want = duckdb.sql(jaccard.oracle().replace("FROM documents", f"FROM '{folder}/documents.parquet'")).fetchall()
+    assert {d: (n, c) for d, n, c in want} == brute({r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()})
