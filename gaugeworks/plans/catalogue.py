@@ -276,16 +276,35 @@ WITH s AS ({S.SQL}), t AS (SELECT arrival, event_time_us // 1000 * 1000 - CASE a
 SELECT arrival, CAST(us AS BIGINT) AS us, strftime(make_timestamp(CAST(us AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS text FROM t""")
 
 
+DST_DAYS = [("America/New_York", "2026-03-08"), ("America/New_York", "2026-11-01"), ("Australia/Lord_Howe", "2026-04-05"), ("Australia/Lord_Howe", "2026-10-04")]
+
+
 def _zones(spark: SparkSession, folder: str) -> DataFrame:
     """Local times every 20 minutes around both changes of daylight saving in New York and on Lord Howe Island."""
-    days = [("America/New_York", "2026-03-08"), ("America/New_York", "2026-11-01"), ("Australia/Lord_Howe", "2026-04-05"), ("Australia/Lord_Howe", "2026-10-04")]
-    rows = spark.createDataFrame([(z, d, h, m) for z, d in days for h in range(4) for m in (0, 20, 40)], "zone string, day string, h int, m int")
+    rows = spark.createDataFrame([(z, d, h, m) for z, d in DST_DAYS for h in range(4) for m in (0, 20, 40)], "zone string, day string, h int, m int")
     raw = F.concat("day", F.lit("T"), F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("m").cast("string"), 2, "0"), F.lit(":00"))
     early, late = times.parse_event_time(raw, F.col("zone")), times.parse_event_time(raw, F.col("zone"), earlier=False)
     return rows.select("zone", raw.alias("raw"), early["us"].alias("earlier_us"), late["us"].alias("later_us"), early["error"].alias("error"))
 
 
-add("dst_policy", _zones)
+def _zones_sql() -> str:
+    """The same local times by the standard library's zones, as literal rows."""
+    from datetime import UTC, datetime
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for zone, day in DST_DAYS:
+        for h in range(4):
+            for m in (0, 20, 40):
+                local = datetime.fromisoformat(f"{day}T{h:02}:{m:02}:00")
+                us = [round(local.replace(tzinfo=ZoneInfo(zone), fold=fold).timestamp()) * 1_000_000 for fold in (0, 1)]
+                skipped = datetime.fromtimestamp(us[0] / 1e6, UTC).astimezone(ZoneInfo(zone)).replace(tzinfo=None) != local
+                values = ["NULL", "NULL", "'local time does not exist (DST gap)'"] if skipped else [str(us[0]), str(us[1]), "NULL"]
+                rows.append(f"('{zone}', '{day}T{h:02}:{m:02}:00', {', '.join(values)})")
+    return f"SELECT zone, raw, CAST(a AS BIGINT) AS earlier_us, CAST(b AS BIGINT) AS later_us, CAST(e AS VARCHAR) AS error FROM (VALUES {', '.join(rows)}) t(zone, raw, a, b, e)"
+
+
+add("dst_policy", _zones, _zones_sql())
 
 
 def _leap(spark: SparkSession, folder: str) -> DataFrame:
@@ -362,8 +381,44 @@ add("rule_threshold_incidents", lambda spark, folder: rounded(rules.threshold_in
 add("rule_hysteresis", lambda spark, folder: rounded(rules.threshold_incidents(_evaluated(spark, folder, BAND)), "peak_value"), island_sql("band", "v < 30"))
 add("rule_machine_threshold", lambda spark, folder: rounded(rules.incidents(rules.run_rules(_evaluated(spark, folder, BAND), [BAND])).select("rule_id", "device_id", "started_us", "ended_us", "hit_count", "last_hit_us", "peak_value"), "peak_value"), island_sql("band", "v < 30"))
 FULL = Rule("full", "click > 40 and purchase > 40", "click < 30 or purchase < 30", severity="critical", duration_us=HOUR, cooldown_us=6 * HOUR, merge_interval_us=2 * DAY)
-add("rule_full_machine", lambda spark, folder: rules.incidents(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])))
-add("incident_history", lambda spark, folder: rules.incident_history(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])))
+
+
+def machine_sql(select: str) -> str:
+    """The machine of FULL as a recursion over a device's evaluations, one row after the other; `x` has every step's state.
+
+    st: 0 normal, 1 pending, 2 firing, 3 recovering, 4 cooldown. o_: the open incident, l_: the one closed last."""
+    fields = ("started", "hits", "last_hit", "peak", "reopened")
+    fire, close, merges = "(go AND st1 IN (0, 1) AND cond AND st1 = 1 AND t - since1 >= %d)" % FULL.duration_us, "(go AND st1 = 3 AND recovered AND t - since1 >= %d)" % FULL.duration_us, f"(l_ended IS NOT NULL AND t - l_ended <= {FULL.merge_interval_us})"
+    fresh = {"started": "t", "hits": "1", "last_hit": "NULL::BIGINT", "peak": "peak", "reopened": "0"}
+    again = {"started": "l_started", "hits": "l_hits", "last_hit": "t", "peak": "greatest(l_peak, peak)", "reopened": "l_reopened + 1"}
+    hit = {"hits": "o_hits + 1", "last_hit": "t", "peak": "greatest(o_peak, peak)"}
+    hits = "(go AND st1 = 2 AND cond)"
+    opened = ", ".join(f"CASE WHEN {close} THEN NULL WHEN {fire} THEN CASE WHEN {merges} THEN {again[f]} ELSE {fresh[f]} END" + (f" WHEN {hits} THEN {hit[f]}" if f in hit else "") + f" ELSE o_{f} END AS o_{f}" for f in fields)
+    last = ", ".join(f"CASE WHEN {close} THEN o_{f} WHEN {fire} THEN NULL ELSE l_{f} END AS l_{f}" for f in fields)
+    start = ", ".join(f"NULL::{'DOUBLE' if f == 'peak' else 'BIGINT'} AS {side}_{f}" for side in "ol" for f in fields)
+    names = ", ".join(f"{side}_{f}" for side in "ol" for f in fields)
+    return f"""
+WITH RECURSIVE {TWO_SQL}, v AS (SELECT device_id, event_time_us AS t, a > 40 AND b > 40 AS trig, a < 30 OR b < 30 AS rec, coalesce(greatest(a, b), 0.0) AS peak FROM c),
+e AS (SELECT device_id, t, trig IS NOT NULL AS has, coalesce(trig, false) AS cond, trig IS NOT NULL AND coalesce(rec, false) AS recovered, peak, row_number() OVER (PARTITION BY device_id ORDER BY t) AS n FROM v),
+x AS (SELECT device_id, 0::BIGINT AS n, 0::BIGINT AS t, 0 AS st, 0::BIGINT AS since, NULL::VARCHAR AS event, {start}, NULL::BIGINT AS l_ended FROM (SELECT DISTINCT device_id FROM e)
+UNION ALL SELECT device_id, n, t,
+    CASE WHEN NOT go THEN st1 WHEN {fire} THEN 2 WHEN {close} THEN 4 WHEN st1 = 0 AND cond THEN 1 WHEN st1 = 1 AND NOT cond THEN 0 WHEN st1 = 3 AND NOT recovered THEN 2 WHEN st1 = 2 AND recovered THEN 3 ELSE st1 END,
+    CASE WHEN NOT go THEN since1 WHEN {fire} OR {close} OR (st1 = 0 AND cond) OR (st1 = 1 AND NOT cond) OR (st1 = 3 AND NOT recovered) OR (st1 = 2 AND recovered) THEN t ELSE since1 END,
+    CASE WHEN {close} THEN 'RECOVERED' WHEN {fire} AND {merges} THEN 'REOPENED' END, {opened}, {last}, CASE WHEN {close} THEN t WHEN {fire} THEN NULL ELSE l_ended END
+  FROM (SELECT e.*, {names}, l_ended, CASE WHEN st = 4 AND e.t - since >= {FULL.cooldown_us} THEN 0 ELSE st END AS st1, CASE WHEN st = 4 AND e.t - since >= {FULL.cooldown_us} THEN e.t ELSE since END AS since1,
+    e.has AND NOT (st = 4 AND e.t - since < {FULL.cooldown_us}) AS go FROM x JOIN e ON e.device_id = x.device_id AND e.n = x.n + 1)),
+u AS (SELECT *, left(sha256('full' || chr(31) || '1' || chr(31) || device_id || chr(31) || coalesce(o_started, l_started)), 32) AS incident_uuid FROM x)
+{select}"""
+
+
+INCIDENT_SQL = """
+, k AS (SELECT incident_uuid, device_id, n, o_started AS started_us, NULL::BIGINT AS ended_us, o_last_hit AS last_hit_us, o_hits AS hit_count, o_reopened AS reopen_count, o_peak AS peak_value FROM u WHERE o_started IS NOT NULL
+  UNION ALL SELECT incident_uuid, device_id, n, l_started, l_ended, l_last_hit, l_hits, l_reopened, l_peak FROM u WHERE o_started IS NULL AND l_started IS NOT NULL)
+SELECT incident_uuid, 'full' AS rule_id, 1 AS rule_version, device_id, 'critical' AS severity, CASE WHEN ended_us IS NULL THEN 'open' ELSE 'closed' END AS state, started_us, ended_us, CASE WHEN ended_us IS NOT NULL THEN 'RECOVERED' END AS close_reason,
+  last_hit_us, CAST(hit_count AS BIGINT) AS hit_count, CAST(reopen_count AS BIGINT) AS reopen_count, peak_value FROM k QUALIFY row_number() OVER (PARTITION BY incident_uuid ORDER BY n DESC) = 1"""
+HISTORY_SQL = "SELECT incident_uuid, t AS at_us, CASE event WHEN 'RECOVERED' THEN 'open' ELSE 'closed' END AS from_state, CASE event WHEN 'RECOVERED' THEN 'closed' ELSE 'open' END AS to_state, event AS reason FROM u WHERE event IS NOT NULL"
+add("rule_full_machine", lambda spark, folder: rules.incidents(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])), machine_sql(INCIDENT_SQL))
+add("incident_history", lambda spark, folder: rules.incident_history(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])), machine_sql(HISTORY_SQL))
 add("absence", lambda spark, folder: rules.absences(S.clean(spark, folder), 2 * DAY, INGEST_US + 12 * DAY), f"""
 WITH s AS ({S.SQL}), t AS (SELECT DISTINCT device_id, event_time_us FROM s), n AS (SELECT *, lead(event_time_us) OVER (PARTITION BY device_id ORDER BY event_time_us) AS nx FROM t)
 SELECT device_id, event_time_us + {2 * DAY} AS started_us, nx AS ended_us FROM n WHERE coalesce(nx, {INGEST_US + 12 * DAY}) - event_time_us > {2 * DAY}""")
