@@ -10,9 +10,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.config import Settings, dimensions, load
+from gaugeworks.config import dimensions, load, local_table
 from gaugeworks.functions.times import parse_admin_time
-from gaugeworks.operators import rules, stored
+from gaugeworks.operators import rules, stored, windows
 from gaugeworks.plans import ingest
 from gaugeworks.sources import tables
 
@@ -43,6 +43,15 @@ def parser() -> argparse.ArgumentParser:
     alerts.add_argument("--state", choices=("open", "closed"))
     alerts.add_argument("--severity")
     sub.add_parser("history")
+    windows_ = sub.add_parser("windows")
+    windows_.add_argument("--all", action="store_true", help="superseded versions too")
+    files = sub.add_parser("files")
+    files.add_argument("--path", help="the newest entry of a path")
+    files.add_argument("--status", action="append", default=[])
+    ack = sub.add_parser("ack")
+    ack.add_argument("uuid")
+    ack.add_argument("--by", required=True)
+    ack.add_argument("--comment", default="")
     sub.add_parser("audit")
     sub.add_parser("check")
     return out
@@ -62,17 +71,21 @@ def audit(spark: SparkSession, root: str, operation: str, target: str, result: s
     tables.write_batch(spark.createDataFrame([(now, operation, actor, target, result)], AUDIT), f"{root}/audit", f"{now}")
 
 
-def evaluated(spark: SparkSession, settings: Settings, samples: DataFrame) -> DataFrame:
-    """run_rules over the stored samples."""
-    known = [m.id for m in settings.metrics]
-    found = rules.evaluations(samples, [rules.compile_rule(r, known) for r in settings.rules], dimensions(spark, settings)["devices"])
-    return rules.run_rules(found, list(settings.rules))
+def acknowledge(spark: SparkSession, root: str, args: argparse.Namespace) -> DataFrame:
+    """Store an acknowledgement of a known incident; its state stays."""
+    known = rules.incidents(ingest.read_incidents(spark, root)).filter(F.col("incident_uuid") == args.uuid)
+    if known.isEmpty():
+        raise SystemExit(f"no incident {args.uuid}")
+    now = time.time_ns() // 1000
+    tables.write_batch(local_table(spark, [(args.uuid, args.by, args.comment, now)], ingest.ACKS), f"{root}/acks", f"{now}")
+    audit(spark, root, "ack", args.uuid, "ok", args.by)
+    return stored.acknowledged(known, tables.read_table(spark, f"{root}/acks", ingest.ACKS))
 
 
 def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     settings, root = load(args.config), args.store
     samples = tables.read_table(spark, f"{root}/samples", ingest.SAMPLES)
-    files = tables.read_table(spark, f"{root}/files", "hash string, path string, status string")
+    files = tables.read_table(spark, f"{root}/files", ingest.FILES)
     if args.command == "import":
         now = _us(spark, args.now) if args.now else time.time_ns() // 1000
         done = ingest.import_files(spark, sorted(args.paths), settings, root, now, args.archive, args.quarantine)
@@ -83,17 +96,25 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "samples":
         return stored.query_samples(samples, args.device, args.metric, _us(spark, getattr(args, "from")), _us(spark, args.to), not args.no_synthetic, args.limit)
     if args.command == "devices":
-        return stored.devices_by_tag(dimensions(spark, settings)["devices"], **dict(t.split("=", 1) for t in args.tag))
+        found = stored.devices_by_tag(dimensions(spark, settings)["devices"], **dict(t.split("=", 1) for t in args.tag))
+        return found if args.tag else found.join(tables.read_table(spark, f"{root}/devices", ingest.DEVICES), "device_id", "outer").orderBy("device_id")
+    if args.command == "files":
+        return stored.latest_file(files, args.path) if args.path else stored.files_in(files, *(args.status or ("COMPLETED", "QUARANTINED")))
+    if args.command == "windows":
+        found = ingest.read_aggregates(spark, root)
+        return (found if args.all else windows.current(found)).orderBy(*windows.KEY, "version")
+    if args.command == "ack":
+        return acknowledge(spark, root, args)
     if args.command == "audit":
         return tables.read_table(spark, f"{root}/audit", AUDIT).orderBy("at_us")
     if args.command == "check":
         return stored.orphans(samples.select("device_id", "metric_id", "event_time_us"), dimensions(spark, settings)["devices"], "device_id")
-    if not settings.rules:
-        raise SystemExit("the settings hold no rules")
-    output = evaluated(spark, settings, samples)
+    output = ingest.read_incidents(spark, root)
+    acks = tables.read_table(spark, f"{root}/acks", ingest.ACKS)
     if args.command == "incidents":
-        return stored.query_incidents(rules.incidents(output), args.state, args.severity)
-    return stored.query_history(rules.incident_history(output), rules.incidents(output))
+        return stored.acknowledged(stored.query_incidents(rules.incidents(output), args.state, args.severity), acks).orderBy(F.desc("started_us"), "rule_id", "device_id")
+    told = acks.select("incident_uuid", F.col("acked_us").alias("at_us"), F.lit(None).cast("string").alias("from_state"), F.lit(None).cast("string").alias("to_state"), F.lit("ACKNOWLEDGED").alias("reason"))
+    return stored.query_history(rules.incident_history(output).unionByName(told), rules.incidents(output))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +40,40 @@ def emission_rank(samples: DataFrame) -> DataFrame:
 
 def stored_seeds(stored: DataFrame) -> DataFrame:
     return stored.groupBy("device_id").agg(F.max("event_time_us").alias("seed_us"))
+
+
+def flag_forced(samples: DataFrame, lateness_us: int, most: int, seeds: DataFrame | None = None) -> DataFrame:
+    """samples with watermark_us, LATE flags, and FORCED on rows that leave a device's full buffer before their time.
+
+    A row waits until the watermark reaches its time; when `most` rows of a device wait after that, all of them leave. A
+    device's rows stream through one task in arrival order, which holds at most `most` times."""
+    rows = flag_late(samples, lateness_us, seeds)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        device, waiting, kept = None, [], None  # kept: rows of earlier frames that still wait, by place
+        for frame in frames:
+            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            old = 0 if kept is None else len(kept)
+            names, times, marks, late = frame["device_id"].tolist(), frame["event_time_us"].tolist(), frame["watermark_us"].tolist(), (frame["flags"] & LATE).astype(bool).tolist()
+            forced = []
+            waiting = [(times[i], i) for i in range(old)]
+            heapq.heapify(waiting)
+            for i in range(old, len(frame)):
+                if names[i] != device:
+                    device, waiting = names[i], []
+                if late[i]:
+                    continue
+                heapq.heappush(waiting, (times[i], i))
+                while waiting and waiting[0][0] <= marks[i]:
+                    heapq.heappop(waiting)
+                if len(waiting) >= most:
+                    forced += [k for _, k in waiting]
+                    waiting = []
+            frame.loc[frame.index[forced], "flags"] |= FORCED
+            left = sorted(k for _, k in waiting)
+            kept = frame.iloc[left].reset_index(drop=True) if left else None
+            yield frame.drop(index=frame.index[left])
+        if kept is not None:
+            yield kept
+
+    return rows.repartition("device_id").sortWithinPartitions("device_id", "arrival").mapInPandas(run, rows.schema)

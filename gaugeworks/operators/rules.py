@@ -8,6 +8,7 @@ threshold_incidents finds their incidents with window functions.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -188,22 +189,33 @@ def restored(rule: Rule, device: str, row: dict, incidents: dict[str, dict]) ->
     return machine
 
 
-def run_rules(found: DataFrame, rules: list[Rule]) -> DataFrame:
-    """OUTPUT: an `incident` row for each incident and a `state` row for each rule and device. found: evaluations()."""
+def run_rules(found: DataFrame, rules: list[Rule], before: DataFrame | None = None) -> DataFrame:
+    """OUTPUT: an `incident` row for each incident and a `state` row for each rule and device. found: evaluations().
+
+    before: OUTPUT rows of an earlier run, each incident and state once. Its machines go on: evaluations up to their last
+    one don't count again, and the rows are those of incidents and states that this run knows of; a row of the same
+    incident or state replaces the earlier one."""
     by = {r.id: r for r in rules}
     names = [x.split()[0] for x in OUTPUT.replace(HISTORY, "h").split(", ")]
+    found = found.select("rule_id", "device_id", "event_time_us", "has_data", "condition", "recovered", "peak", F.lit(None).cast("string").alias("resumed"))
+    if before is not None:
+        found = found.unionByName(_resumed(before.filter(F.col("rule_id").isin([r.id for r in rules]))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine: Machine | None = None
         out: list[tuple] = []
         for frame in frames:
-            columns = (frame[c].tolist() for c in ("rule_id", "device_id", "event_time_us", "has_data", "condition", "recovered", "peak"))
-            for rule, device, *sample in zip(*columns, strict=True):
+            columns = (frame[c].tolist() for c in ("rule_id", "device_id", "resumed", "event_time_us", "has_data", "condition", "recovered", "peak"))
+            for rule, device, resumed, *sample in zip(*columns, strict=True):
                 if machine is None or (machine.rule.id, machine.device) != (rule, device):
                     if machine:
                         out += machine.rows(True)
                     machine = Machine(by[rule], device)
-                machine.feed(*sample)
+                if resumed:
+                    was = json.loads(resumed)
+                    machine = restored(by[rule], device, was["state"], {x["incident_uuid"]: x for x in was["incidents"]})
+                elif machine.last_us is None or sample[0] > machine.last_us:
+                    machine.feed(*sample)
             if machine:
                 out += machine.rows(False)
             if out:
@@ -216,6 +228,20 @@ def run_rules(found: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.repartition(*key).sortWithinPartitions(*key, "event_time_us").mapInPandas(run, OUTPUT)
 
 
+def _resumed(before: DataFrame) -> DataFrame:
+    """One row for each rule and device, before all evaluations: its state, its open incident and the one closed last."""
+    key = ["rule_id", "device_id"]
+    whole = F.struct("incident_uuid", "state", "started_us", "ended_us", "close_reason", "last_hit_us", "hit_count", "reopen_count", "peak_value", "history")
+    incident = F.col("kind") == "incident"
+    rows = before.groupBy(*key).agg(
+        F.max_by(F.struct("state", "since_us", "last_eval_us"), F.when(F.col("kind") == "state", F.lit(1))).alias("state"), F.max_by(whole, F.when(incident & (F.col("state") == "open"), F.col("started_us"))).alias("open"),
+        F.max_by(whole, F.when(incident & (F.col("state") == "closed"), F.col("ended_us"))).alias("last"),
+    )
+    told = F.to_json(F.struct("state", F.array_compact(F.array("open", "last")).alias("incidents")), {"ignoreNullFields": "false"})
+    none = F.lit(False)
+    return rows.filter("state is not null").select(*key, F.lit(-(1 << 63)).cast("bigint").alias("event_time_us"), none.alias("has_data"), none.alias("condition"), none.alias("recovered"), F.lit(0.0).alias("peak"), told.alias("resumed"))
+
+
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=names)
     for c in ("started_us", "ended_us", "last_hit_us", "hit_count", "reopen_count", "since_us", "last_eval_us", "last_closed_us"):

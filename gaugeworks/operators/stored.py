@@ -43,7 +43,7 @@ def orphans(child: DataFrame, parent: DataFrame, on: str) -> DataFrame:
 
 
 def latest_file(files: DataFrame, path: str) -> DataFrame:
-    return files.filter(F.col("path") == path).orderBy(F.desc("first_seen_us"), "file_id").limit(1)
+    return files.filter(F.col("path") == path).orderBy(F.desc("first_seen_us"), "hash").limit(1)
 
 
 def files_in(files: DataFrame, *statuses: str) -> DataFrame:
@@ -66,6 +66,12 @@ def insert_or_ignore(stored: DataFrame, new: DataFrame, key: list[str], order: l
     return first.join(stored.select(*key).distinct(), key, "left_anti").select(*new.columns)
 
 
+def acknowledged(incidents: DataFrame, acks: DataFrame) -> DataFrame:
+    """incidents with the newest acknowledgement of each. acks: incident_uuid, acked_by, ack_comment, acked_us."""
+    newest = acks.groupBy("incident_uuid").agg(F.max_by(F.struct("acked_by", "ack_comment", "acked_us"), "acked_us").alias("a"))
+    return incidents.join(newest, "incident_uuid", "left").select(*incidents.columns, "a.acked_by", "a.ack_comment", "a.acked_us")
+
+
 def acknowledge(incidents: DataFrame, uuid: str, by: str, comment: str, at_us: int) -> DataFrame:
     """The incidents with an acknowledgement on one of them; its state stays."""
     mine = F.col("incident_uuid") == uuid

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.config import Settings, dimensions, local_table
 from gaugeworks.functions.times import FORMAT
-from gaugeworks.operators import dedup, gaps, lateness, normalize, validate, windows
+from gaugeworks.operators import dedup, gaps, lateness, normalize, rules, validate, windows
+from gaugeworks.operators import stored as stored_rows
 from gaugeworks.operators.dims import small
 from gaugeworks.shipping import ship
 from gaugeworks.sources import tables
@@ -31,7 +32,9 @@ AGGREGATES = (
     "device_id string, metric_id string, window_type string, start_us long, end_us long, sample_count long, valid_count long, synthetic_count long, bad_quality_count long, missing_count long, min double, max double, avg double, sum double, "
     "stddev double, first_value double, first_us long, last_value double, last_us long, p50 double, p95 double, p99 double, version int, superseded boolean"
 )
-FILES = "hash string, path string, status string"
+FILES = "hash string, path string, status string, first_seen_us long"
+DEVICES = "device_id string, enabled boolean"
+ACKS = "incident_uuid string, acked_by string, ack_comment string, acked_us long"
 PLACES = 1 << 41  # rows of a file, for the arrival order of rows over files
 
 
@@ -111,6 +114,41 @@ def store_aggregates(spark: SparkSession, settings: Settings, root: str, batch:
     tables.write_batch(windows.changes(versions, fresh, late).withColumn("written", F.lit(before + 1).cast("bigint")), f"{root}/aggregates", batch, "start_us")
 
 
+def read_incidents(spark: SparkSession, root: str, but: str | None = None) -> DataFrame:
+    """The stored incidents and states of rules (rules.OUTPUT), each as the last import left it."""
+    rows = tables.read_table(spark, f"{root}/rules", rules.OUTPUT + ", written long", but)
+    w = Window.partitionBy("kind", "rule_id", "device_id", F.when(F.col("kind") == "incident", F.col("incident_uuid"))).orderBy(F.desc("written"))
+    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "written")
+
+
+def store_rules(spark: SparkSession, settings: Settings, root: str, batch: str, ingest_us: int) -> None:
+    """Go on with the rules' machines of the devices that a stored batch touches; close the incidents of rules that are gone."""
+    before = settled(read_incidents(spark, root, batch))
+    if not settings.rules and before.isEmpty():
+        return
+    known = [m.id for m in settings.metrics]
+    gone = before.filter("kind = 'incident' and state = 'open'")
+    out = rules.close_removed(gone, [r.id for r in settings.rules], ingest_us).filter("close_reason = 'RULE_REMOVED' and state = 'closed'")
+    closing = F.array(F.struct(F.lit(ingest_us).cast("bigint").alias("at_us"), F.lit("open").alias("from_state"), F.lit("closed").alias("to_state"), F.lit("RULE_REMOVED").alias("reason")))
+    out = out.withColumn("history", F.concat("history", closing))
+    if settings.rules:
+        compiled = [rules.compile_rule(r, known) for r in settings.rules]
+        touched = settled(tables.read_batch(spark, f"{root}/samples", SAMPLES, batch).select("device_id").distinct())
+        samples = tables.read_table(spark, f"{root}/samples", SAMPLES).join(touched, "device_id", "left_semi")
+        found = rules.evaluations(samples, compiled, dimensions(spark, settings)["devices"])
+        mine = before.join(touched, "device_id", "left_semi")
+        out = out.select(*before.columns).unionByName(rules.run_rules(found, list(settings.rules), mine).select(*before.columns))
+    last = tables.read_table(spark, f"{root}/rules", rules.OUTPUT + ", written long", batch).agg(F.coalesce(F.max("written"), F.lit(0)).alias("n")).first()["n"]
+    tables.write_batch(out.withColumn("written", F.lit(last + 1).cast("bigint")), f"{root}/rules", batch)
+
+
+def store_devices(spark: SparkSession, settings: Settings, root: str) -> None:
+    """All devices ever configured, enabled if they are now."""
+    known = tables.read_table(spark, f"{root}/devices", DEVICES)
+    now = settled(stored_rows.disabled_devices(known, dimensions(spark, settings)["devices"]))
+    tables.write_batch(now, f"{root}/devices", "current")
+
+
 def store(records: DataFrame, settings: Settings, root: str, batch: str, ingest_us: int) -> Stages:
     """Process RECORD rows and store them as one batch, in place of what an earlier try of the batch stored."""
     spark = records.sparkSession
@@ -118,6 +156,8 @@ def store(records: DataFrame, settings: Settings, root: str, batch: str, ingest_
     tables.write_batch(stages.samples, f"{root}/samples", batch, "event_time_us")
     tables.write_batch(stages.intervals, f"{root}/intervals", batch, "start_us")
     store_aggregates(spark, settings, root, batch)
+    store_rules(spark, settings, root, batch, ingest_us)
+    store_devices(spark, settings, root)
     return stages
 
 
@@ -134,7 +174,7 @@ def import_files(spark: SparkSession, paths: list[str], settings: Settings, root
     stages = store(read_records(spark, sorted(new)), settings, root, batch, ingest_us)
     files = {os.path.realpath(r["file"].removeprefix("file:")): r for r in stages.files.collect()}
     status = {p: "QUARANTINED" if (r := files.get(os.path.realpath(p))) and r["status"] == "QUARANTINED" else "COMPLETED" for p in new}
-    tables.write_batch(local_table(spark, [(i.hash, p, status[p]) for p, i in new.items()], FILES), f"{root}/files", batch)
+    tables.write_batch(local_table(spark, [(i.hash, p, status[p], ingest_us) for p, i in new.items()], FILES), f"{root}/files", batch)
     for p, i in new.items():
         if status[p] == "QUARANTINED" and quarantine:
             counts = files[os.path.realpath(p)].asDict()

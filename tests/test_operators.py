@@ -71,6 +71,32 @@ def test_lateness(spark):
     assert lateness.flag_late(samples(spark, [(10, 1.0)]), 0, seeds).first().flags == 2
 
 
+@pytest.mark.parametrize("most,batch", [(3, 10_000), (5, 7), (100, 7)])
+def test_forced(spark, most, batch):
+    """Rows leave a full buffer early, as in the sequential form; batches of the Python side have no effect."""
+    r = random.Random(5)
+    rows = [(f"d{r.randint(0, 2)}", "m", (i // 3 + r.randint(-9, 9)) * S, float(i), 0, 0, None, i) for i in range(150)]
+    top, waiting, flags = {}, {}, {}
+    for d, _, t, *_, i in rows:
+        top[d] = max(top.get(d, t), t)
+        mark = top[d] - 5 * S
+        flags[i] = 2 if t < mark else 0
+        if flags[i]:
+            continue
+        waiting.setdefault(d, []).append((t, i))
+        waiting[d] = [x for x in waiting[d] if x[0] > mark]
+        if len(waiting[d]) >= most:
+            for _, k in waiting[d]:
+                flags[k] |= 8
+            waiting[d] = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = lateness.flag_forced(spark.createDataFrame(rows, SCHEMA), 5 * S, most).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {x.arrival: x.flags for x in found} == flags and (most > 50 or any(x & 8 for x in flags.values()))
+
+
 def test_dedup(spark):
     rows = samples(spark, [(1, 1.0, 0, 7), (2, 2.0, 0, 7), (1, 1.0), (1, 1.0), (1, 0.0), (1, -0.0), (1, None), (1, None)])
     assert sorted(r.arrival for r in dedup.dedup(rows).collect()) == [0, 2, 4, 6]
@@ -151,6 +177,10 @@ def test_rules_end_to_end(spark):
     plain = rules.threshold_incidents(found).orderBy("started_us").collect()
     assert [(r.started_us, r.ended_us, r.hit_count) for r in plain] == [(0, 120 * S, 2), (180 * S, None, 1)]
     state = {r.kind: r.asDict() for r in output.collect()}["state"]
+    # in two runs, the second from where the first stopped: the same incidents as in one
+    first = rules.run_rules(found.filter(f"event_time_us <= {60 * S}"), [rule]).cache()
+    second = rules.incidents(rules.run_rules(found, [rule], first)).collect()
+    assert sorted(map(str, second)) == sorted(map(str, rules.incidents(output).collect()))
     again = rules.restored(rule, "dev-01", state, {r.incident_uuid: r.asDict() for r in output.filter("kind = 'incident'").collect()})
     again.feed(300 * S, True, False, True, 0.0)
     assert again.state == rules.NORMAL and again.last.started_us == 180 * S
