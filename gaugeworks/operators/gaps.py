@@ -9,6 +9,8 @@ from gaugeworks.operators.dedup import emission_order
 from gaugeworks.operators.dims import small
 from gaugeworks.operators.lateness import LATE, SYNTHETIC
 
+POINTS = 4096
+
 
 def steps(samples: DataFrame, metrics: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Neighbouring valid rows of each series: device_id, metric_id, prev_t, prev_v, t, v, and the metric's settings.
@@ -38,7 +40,11 @@ def intervals(found: DataFrame) -> DataFrame:
 def interpolate(found: DataFrame) -> DataFrame:
     """device_id, metric_id, event_time_us, value, quality, flags of the synthetic points."""
     fits = found.filter("interpolation <> 'none' and (max_gap_us is null or t - prev_t <= max_gap_us) and prev_t + expected_period_us < t")
-    points = fits.withColumn("at", F.explode(F.expr("sequence(prev_t + expected_period_us, t - 1, expected_period_us)")))
+    # a gap of any length is made in two steps, of arrays of bounded size
+    numbered = fits.withColumn("__n", F.expr("(t - 1 - prev_t) div expected_period_us"))
+    numbered = numbered.withColumn("__part", F.explode(F.expr(f"sequence(0, (__n - 1) div {POINTS})")))
+    numbered = numbered.withColumn("__k", F.explode(F.expr(f"sequence(__part * {POINTS} + 1, least(__n, (__part + 1) * {POINTS}))")))
+    points = numbered.withColumn("at", F.col("prev_t") + F.col("__k") * F.col("expected_period_us"))
     share = (F.col("at") - F.col("prev_t")).cast("double") / (F.col("t") - F.col("prev_t")).cast("double")
     value = F.when(F.col("interpolation") == "previous", F.col("prev_v")).otherwise(F.col("prev_v") + (F.col("v") - F.col("prev_v")) * share)
     return points.select("device_id", "metric_id", F.col("at").alias("event_time_us"), value.alias("value"), F.lit(0).alias("quality"), F.lit(SYNTHETIC).alias("flags"))

@@ -15,7 +15,7 @@ from gaugeworks.plans import samples as S
 from gaugeworks.shipping import ship
 from gaugeworks.sources.csv import read_csv
 from gaugeworks.sources.jsonl import read_jsonl
-from gaugeworks.sources.scratch import scratch
+from gaugeworks.sources.scratch import scratch, settled
 from gaugeworks.sources.tlm import Reading, decode_files, encode
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,14 @@ add("late_flags_seeded", _seeded, f"""
 WITH s AS ({S.SQL}), z AS (SELECT device_id, max(event_time_us) AS seed FROM s WHERE arrival % 10 = 0 GROUP BY 1),
 w AS (SELECT s.*, greatest(max(event_time_us) OVER (PARTITION BY s.device_id ORDER BY arrival), coalesce(seed, 0)) - {DAY} AS watermark_us FROM s LEFT JOIN z USING (device_id) WHERE arrival % 10 <> 0)
 SELECT device_id, count(*) AS late, max(watermark_us) AS watermark_us FROM w WHERE event_time_us < watermark_us GROUP BY 1""")
+FORCED_SQL = f"""
+WITH RECURSIVE s AS ({S.SQL}), e AS (SELECT *, max(event_time_us) OVER (PARTITION BY device_id ORDER BY arrival) - {DAY} AS mark, row_number() OVER (PARTITION BY device_id ORDER BY arrival) AS n FROM s),
+x AS (SELECT device_id, 0::BIGINT AS n, []::STRUCT(t BIGINT, a BIGINT)[] AS waiting, []::BIGINT[] AS forced FROM (SELECT DISTINCT device_id FROM e)
+  UNION ALL SELECT device_id, n, CASE WHEN full_ THEN [] ELSE w END, CASE WHEN full_ THEN list_transform(w, lambda z: z.a) ELSE [] END FROM (SELECT *, NOT late AND len(w) >= 6 AS full_ FROM (
+    SELECT e.device_id, e.n, e.event_time_us < e.mark AS late, CASE WHEN e.event_time_us < e.mark THEN waiting ELSE list_filter(list_append(waiting, struct_pack(t := e.event_time_us, a := e.arrival)), lambda z: z.t > e.mark) END AS w FROM x JOIN e ON e.device_id = x.device_id AND e.n = x.n + 1))),
+f AS (SELECT DISTINCT unnest(forced) AS arrival, 8 AS forced FROM x)
+SELECT device_id, arrival, CAST(CASE WHEN event_time_us < mark THEN flags | 2 ELSE flags | coalesce(forced, 0) END AS INTEGER) AS flags FROM e LEFT JOIN f USING (arrival)"""
+add("forced_flush", lambda spark, folder: lateness.flag_forced(S.clean(spark, folder), DAY, 6).select("device_id", "arrival", "flags"), FORCED_SQL)
 add("emission_order", lambda spark, folder: lateness.emission_rank(S.clean(spark, folder).withColumn("sequence", F.when(F.col("arrival") % 3 != 0, F.col("sequence")))).select("device_id", "arrival", F.col("emitted").cast("long").alias("emitted")), f"""
 WITH s AS ({S.SQL}) SELECT device_id, arrival, row_number() OVER (PARTITION BY device_id ORDER BY event_time_us, arrival % 3 = 0, CASE WHEN arrival % 3 <> 0 THEN sequence END, arrival) AS emitted FROM s""")
 
@@ -419,6 +427,28 @@ SELECT incident_uuid, 'full' AS rule_id, 1 AS rule_version, device_id, 'critical
 HISTORY_SQL = "SELECT incident_uuid, t AS at_us, CASE event WHEN 'RECOVERED' THEN 'open' ELSE 'closed' END AS from_state, CASE event WHEN 'RECOVERED' THEN 'closed' ELSE 'open' END AS to_state, event AS reason FROM u WHERE event IS NOT NULL"
 add("rule_full_machine", lambda spark, folder: rules.incidents(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])), machine_sql(INCIDENT_SQL))
 add("incident_history", lambda spark, folder: rules.incident_history(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])), machine_sql(HISTORY_SQL))
+
+
+def _resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """The incidents of FULL in two runs, the second from the first one's states."""
+    found = _evaluated(spark, folder, FULL)
+    ends = found.agg(F.min("event_time_us").alias("a"), F.max("event_time_us").alias("b")).first()
+    first = settled(rules.run_rules(found.filter(F.col("event_time_us") <= (ends["a"] + ends["b"]) // 2), [FULL]))
+    second = settled(rules.run_rules(found, [FULL], first))
+    one, two = rules.incidents(first), rules.incidents(second)
+    return one.join(two, "incident_uuid", "left_anti").unionByName(two)
+
+
+add("rule_resumed", _resumed, machine_sql(INCIDENT_SQL))
+add("open_incidents", lambda spark, folder: stored.query_incidents(rules.incidents(rules.run_rules(_evaluated(spark, folder, FULL), [FULL])), "open", "critical"), "SELECT * FROM (" + machine_sql(INCIDENT_SQL) + ") WHERE state = 'open' ORDER BY started_us DESC, rule_id, device_id LIMIT 1000")
+
+
+def _told(spark: SparkSession, folder: str) -> DataFrame:
+    output = settled(rules.run_rules(_evaluated(spark, folder, FULL), [FULL]))
+    return stored.query_history(rules.incident_history(output), rules.incidents(output))
+
+
+add("history_query", _told, machine_sql(HISTORY_SQL.replace("SELECT incident_uuid,", "SELECT incident_uuid, 'full' AS rule_id, device_id, 'critical' AS severity,")))
 add("absence", lambda spark, folder: rules.absences(S.clean(spark, folder), 2 * DAY, INGEST_US + 12 * DAY), f"""
 WITH s AS ({S.SQL}), t AS (SELECT DISTINCT device_id, event_time_us FROM s), n AS (SELECT *, lead(event_time_us) OVER (PARTITION BY device_id ORDER BY event_time_us) AS nx FROM t)
 SELECT device_id, event_time_us + {2 * DAY} AS started_us, nx AS ended_us FROM n WHERE coalesce(nx, {INGEST_US + 12 * DAY}) - event_time_us > {2 * DAY}""")
@@ -485,6 +515,29 @@ add("samples_query", lambda spark, folder: rounded(stored.query_samples(S.dirty(
 add("devices_by_tag", lambda spark, folder: stored.devices_by_tag(_dimensions(spark, folder)["devices"], line="A").select("device_id", "timezone", text.tags_json(F.col("tags")).alias("tags")), """
 SELECT DISTINCT 'user-' || user_id AS device_id, 'UTC' AS timezone, '{"line":"A","zone":"' || user_id % 5 || '"}' AS tags FROM events WHERE user_id % 10 <> 0 AND user_id % 2 = 0""")
 add("status_counts", lambda spark, folder: stored.status(validate.gate(validate.file_counts(_validated(spark, folder)), 0.65, 100)), f"WITH {RECORD_SQL}, {COUNT_SQL} SELECT CASE WHEN business_errors / greatest(total, 100) > 0.65 THEN 'QUARANTINED' ELSE 'VALIDATED' END AS status, count(*) AS files FROM c GROUP BY 1")
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    gated = validate.gate(validate.file_counts(_validated(spark, folder)), 0.65, 100)
+    return gated.select("file", F.concat(F.lit("/in/"), F.when(F.col("file") < "file-3", "a").otherwise("b")).alias("path"), "status", F.col("total").alias("first_seen_us"), F.col("file").alias("hash"))
+
+
+FILE_SQL = f"WITH {RECORD_SQL}, {COUNT_SQL}, g AS (SELECT file, '/in/' || CASE WHEN file < 'file-3' THEN 'a' ELSE 'b' END AS path, CASE WHEN business_errors / greatest(total, 100) > 0.65 THEN 'QUARANTINED' ELSE 'VALIDATED' END AS status, total AS first_seen_us, file AS hash FROM c)"
+add("files_by_status", lambda spark, folder: stored.files_in(_files(spark, folder), "QUARANTINED"), FILE_SQL + " SELECT * FROM g WHERE status = 'QUARANTINED'")
+add("latest_file", lambda spark, folder: stored.latest_file(_files(spark, folder), "/in/a"), FILE_SQL + " SELECT * FROM g WHERE path = '/in/a' ORDER BY first_seen_us DESC, hash LIMIT 1")
+add("disabled_devices", lambda spark, folder: stored.disabled_devices(S.clean(spark, folder).select("device_id").distinct(), _dimensions(spark, folder)["devices"]), "SELECT DISTINCT 'user-' || user_id AS device_id, user_id % 10 <> 0 AS enabled FROM events")
+
+
+def _acknowledged(spark: SparkSession, folder: str) -> DataFrame:
+    """Each second event as an incident, each third one acknowledged twice."""
+    rows = S.clean(spark, folder).filter("arrival % 2 = 0").select(F.col("arrival").cast("string").alias("incident_uuid"), "device_id", "arrival")
+    acks = rows.filter("arrival % 3 = 0").select("incident_uuid", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "arrival")
+    acks = acks.select("incident_uuid", F.concat(F.lit("by-"), "k").alias("acked_by"), F.lit("seen").alias("ack_comment"), (F.col("arrival") + F.col("k")).alias("acked_us"))
+    return stored.acknowledged(rows, acks)
+
+
+add("acknowledged", _acknowledged, f"WITH s AS ({S.SQL}) SELECT CAST(arrival AS VARCHAR) AS incident_uuid, device_id, arrival, CASE WHEN arrival % 3 = 0 THEN 'by-2' END AS acked_by, CASE WHEN arrival % 3 = 0 THEN 'seen' END AS ack_comment, CASE WHEN arrival % 3 = 0 THEN arrival + 2 END AS acked_us FROM s WHERE arrival % 2 = 0")
+add("samples_page", lambda spark, folder: stored.page(S.clean(spark, folder).select("device_id", "arrival"), 1000, 500, "arrival"), f"WITH s AS ({S.SQL}) SELECT device_id, arrival FROM s WHERE arrival > 1000 ORDER BY arrival LIMIT 500")
 add("retention", lambda spark, folder: stored.retain(S.clean(spark, folder), 10, INGEST_US).groupBy("metric_id").agg(F.count("*").alias("n")), f"WITH s AS ({S.SQL}) SELECT metric_id, count(*) AS n FROM s WHERE event_time_us >= {INGEST_US - 10 * DAY} GROUP BY 1")
 add("orphans", lambda spark, folder: stored.orphans(S.clean(spark, folder).select("device_id", "arrival"), _dimensions(spark, folder)["devices"], "device_id"), "SELECT 'user-' || user_id AS device_id, event_id AS arrival FROM events WHERE user_id % 10 = 0")
 

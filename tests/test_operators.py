@@ -60,6 +60,8 @@ def test_interpolation(spark):
     assert gaps.intervals(x).count() == 2
     x = gaps.steps(samples(spark, [(100, 7.0), (120, 9.0)]), metric(spark, how="previous"))
     assert [(r.event_time_us // S, r.value) for r in gaps.interpolate(x).collect()] == [(110, 7.0)]
+    long = gaps.interpolate(gaps.steps(samples(spark, [(0, 1.0), (100_000, 2.0)]), metric(spark, how="previous")))
+    assert (long.count(), long.distinct().count()) == (9999, 9999) and long.agg({"event_time_us": "max"}).first()[0] == 99_990 * S
     seeds = gaps.last_valid(samples(spark, [(50, 1.0), (60, 2.0, 2)]))
     assert gaps.intervals(gaps.steps(samples(spark, [(100, 1.0)]), metric(spark), seeds)).first().start_us == 50 * S
 
