@@ -40,7 +40,7 @@ STEP = 16
 WINDOW = 128
 STRIDE = 64
 BLOCK = 4
-SLICE = 20_000
+SLICE = 50_000
 THRESHOLD = 0.5
 QUESTION_GRAM, ANSWER_GRAM = 5, 3
 QUESTION, ANSWER = 0.5, 0.5
