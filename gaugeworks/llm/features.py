@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # 1 modulo 4
 _INVERSE = pow(_BASE, -1, 1 << 64)
