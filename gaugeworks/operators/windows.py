@@ -110,3 +110,27 @@ def recomputed(samples: DataFrame, hit: DataFrame, sizes: tuple[int, ...], metri
     """The windows in `hit` (KEY) over all samples."""
     sized = hit.withColumn("size_us", F.regexp_replace("window_type", "s$", "").cast("bigint") * 1_000_000)
     return aggregate(samples, sizes, metrics, sized.select("device_id", "metric_id", "size_us", "start_us"))
+
+
+def sliding(samples: DataFrame, size_us: int, step_us: int) -> DataFrame:
+    """Windows of size_us that begin every step_us: device_id, metric_id, start_us, end_us, sample_count, valid_count, min,
+    max, sum, avg. size_us is a multiple of step_us. Rows are summed up by step first, and only the sums are repeated."""
+    if size_us % step_us:
+        raise ValueError("the size must be a multiple of the step")
+    value = F.when(_valid(), F.col("value"))
+    panes = samples.withColumn("pane", F.col("event_time_us") - F.pmod("event_time_us", F.lit(step_us)))
+    panes = panes.groupBy("device_id", "metric_id", "pane").agg(F.count("*").alias("sample_count"), F.count(value).alias("valid_count"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("sum"))
+    spread = panes.withColumn("start_us", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size_us // step_us - 1)), lambda k: (F.col("pane") - k * step_us).cast("bigint"))))
+    found = spread.groupBy("device_id", "metric_id", "start_us").agg(*(F.sum(c).alias(c) for c in ("sample_count", "valid_count")), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"))
+    return found.select("device_id", "metric_id", "start_us", (F.col("start_us") + size_us).alias("end_us"), "sample_count", "valid_count", "min", "max", "sum", (F.col("sum") / F.nullif(F.col("valid_count"), F.lit(0))).alias("avg"))
+
+
+def sessions(samples: DataFrame, gap_us: int) -> DataFrame:
+    """Runs of a series' rows with at most gap_us between neighbours: device_id, metric_id, start_us, end_us (first and last
+    time), sample_count, valid_count, min, max, avg. One shuffle, by series."""
+    w = Window.partitionBy("device_id", "metric_id").orderBy("event_time_us")
+    opens = F.coalesce(F.col("event_time_us") - F.lag("event_time_us").over(w) > gap_us, F.lit(True))
+    rows = samples.withColumn("__opens", opens).withColumn("__session", F.sum(F.col("__opens").cast("int")).over(w))
+    value = F.when(_valid(), F.col("value"))
+    found = rows.groupBy("device_id", "metric_id", "__session").agg(F.min("event_time_us").alias("start_us"), F.max("event_time_us").alias("end_us"), F.count("*").alias("sample_count"), F.count(value).alias("valid_count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"))
+    return found.drop("__session")

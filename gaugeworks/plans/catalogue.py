@@ -78,6 +78,16 @@ def _every_type(spark: SparkSession, folder: str, **settings) -> DataFrame:
 
 add("window_missing_count", lambda spark, folder: rounded(windows.aggregate(S.dirty(spark, folder), (3600, 86400), _every_type(spark, folder, expected_period_us=600_000_000)), *STATS), window_sql("3600, 86400", period=600_000_000))
 
+V = "FILTER (value IS NOT NULL AND quality <> 2)"
+add("sliding_windows", lambda spark, folder: rounded(windows.sliding(S.dirty(spark, folder), DAY, 6 * HOUR), "min", "max", "sum", "avg"), f"""
+WITH s AS (SELECT *, event_time_us // {6 * HOUR} * {6 * HOUR} - k * {6 * HOUR} AS start_us FROM ({S.DIRTY_SQL}), (SELECT unnest(range(4)) AS k))
+SELECT device_id, metric_id, CAST(start_us AS BIGINT) AS start_us, CAST(start_us + {DAY} AS BIGINT) AS end_us, count(*) AS sample_count, count(*) {V} AS valid_count, {r(f"min(value) {V}", "min")}, {r(f"max(value) {V}", "max")}, {r(f"sum(value) {V}", "sum")}, {r(f"avg(value) {V}", "avg")}
+FROM s GROUP BY device_id, metric_id, s.start_us""")
+add("session_windows", lambda spark, folder: rounded(windows.sessions(S.dirty(spark, folder), 6 * HOUR), "min", "max", "avg"), f"""
+WITH s AS ({S.DIRTY_SQL}), o AS (SELECT *, coalesce(event_time_us - lag(event_time_us) OVER w > {6 * HOUR}, true) AS opens FROM s WINDOW w AS (PARTITION BY device_id, metric_id ORDER BY event_time_us)),
+n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY device_id, metric_id ORDER BY event_time_us) AS session FROM o)
+SELECT device_id, metric_id, min(event_time_us) AS start_us, max(event_time_us) AS end_us, count(*) AS sample_count, count(*) {V} AS valid_count, {r(f"min(value) {V}", "min")}, {r(f"max(value) {V}", "max")}, {r(f"avg(value) {V}", "avg")} FROM n GROUP BY device_id, metric_id, session""")
+
 # Lateness, order, duplicates
 
 LATE_SQL = f"""
