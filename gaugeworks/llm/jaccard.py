@@ -61,9 +61,11 @@ MANY = 1024
 
 def shared(frame: DataFrame) -> DataFrame:
     """A reliable checkpoint, in the cluster's shared folder."""
-    # shuffles and checkpoints that nothing refers to any more leave the disks when the driver's garbage is collected
-    gc.collect()
-    frame.sparkSession.sparkContext._jvm.System.gc()
+    context = frame.sparkSession.sparkContext
+    if not context.master.startswith("local"):
+        # shuffles and checkpoints that nothing refers to any more leave the executors' disks when the driver's garbage is collected
+        gc.collect()
+        context._jvm.System.gc()
     return settled(frame)
 
 
