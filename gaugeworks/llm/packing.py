@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 PIECE = 512
 GROUP = 2048
-CACHE = 200_000
+CACHE = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, padded_length long"
 
 
