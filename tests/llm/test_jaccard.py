@@ -2,6 +2,7 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,16 @@ def test_chunks_of_few_words(n):
                     assert all((level == n).all() for _, level in found)
 
 
+@pytest.mark.parametrize(("master", "collected"), [("local", 0), ("local[4]", 0), ("local[*, 3]", 0), ("local-cluster[3,2,3000]", 1), ("spark://host:7077", 1), ("yarn", 1)])
+def test_garbage(monkeypatch, master, collected):
+    """The driver's garbage, and with it old shuffles, goes wherever executors are processes of their own."""
+    calls = []
+    context = SimpleNamespace(master=master, _jvm=SimpleNamespace(System=SimpleNamespace(gc=lambda: calls.append(1))))
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context))
+    monkeypatch.setattr(jaccard, "settled", lambda x: x)
+    assert jaccard.shared(frame) is frame and len(calls) == collected
+
+
 def test_sql(spark):
     import duckdb
 
