@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import os
 import re
 import unicodedata
@@ -90,9 +91,12 @@ def padded(length: int, capacity: int) -> int:
 class WordCache:
     """Ids of the parts of a text that split() gives.
 
-    Holds at most CACHE parts, then starts anew; longer parts than LONG are never kept."""
+    Where it holds CACHE parts, the older half stays, as frequent parts come early; longer parts than LONG are never kept.
+    Parts of letters alone are one word each and go to the tokenizer's model, the others through the whole tokenizer, RUN at
+    a time: its cost for each part rises with the text's length."""
 
     LONG = 64
+    RUN = 500
     _of: dict[str, WordCache] = {}
 
     @classmethod
@@ -108,6 +112,14 @@ class WordCache:
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
         self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        letters = [chr(c) for c in _STORED]
+        self.direct = all(self.word(x) == np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in [*letters, "".join(letters), "hello", "straße", "élève"])
+
+    def word(self, part: str) -> bytes:
+        """Ids of a part that _LETTERS matches, from the model alone."""
+        return b"".join([self.bytes[x.id] for x in self.model.tokenize(part if part.isascii() else part.translate(_STORED))])
 
     def holds_special(self, text: str) -> bool:
         """Whether the text, in lower case, spells a token that the tokenizer takes out before it splits words."""
@@ -118,7 +130,7 @@ class WordCache:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
         tail = end.to_bytes(4, "little")
         if len(self.known) > self.limit:
-            self.known = {"": b""}
+            self.known = dict(itertools.islice(self.known.items(), 1 + self.limit // 2))
         known = self.known
         out: list[bytes] = []
         open_: dict[int, list[str]] = {}  # texts with parts that aren't known
@@ -133,9 +145,14 @@ class WordCache:
                 open_[i] = parts
                 out.append(b"")
         extra: dict[str, bytes] = {}
-        new = list(set().union(*open_.values()).difference(known))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
+        rest: list[str] = []
+        for part in set().union(*open_.values()).difference(known):
+            if self.direct and len(part) <= self.LONG and _LETTERS.fullmatch(part):
+                known[part] = self.word(part)
+            else:
+                rest.append(part)
+        for i in range(0, len(rest), self.RUN):
+            some = rest[i : i + self.RUN]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             starts = np.cumsum([0, *(len(x) + 1 for x in some)])
@@ -147,6 +164,12 @@ class WordCache:
         return out
 
 
+#: Letters that the tokenizer's normalizer leaves as they are: lower-case ones of ASCII and Latin-1; and how byte-level models write them.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([*_PRINTED, *(b for b in range(256) if b not in _PRINTED)], map(chr, [*_PRINTED, *range(256, 512)]), strict=False))
+_STORED = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(256) if _LETTERS.fullmatch(chr(c))}
+
 _GLUED = re.compile(r"[.,](?<=(?:[^\w\s]|[_\x1c-\x1f])[.,])")
 
 

@@ -31,6 +31,29 @@ def test_special_tokens(parts):
     assert packing.WordCache.of(PATH).encode([text], 1) == [ids(text).tobytes()]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from([chr(c) for c in range(97, 123)] + [chr(c) for c in range(0xC0, 0x100)] + list("ªºµŉſıﬀά*'7-")), max_size=70), max_size=8), st.booleans())
+def test_letters(words, direct):
+    """Words of letters by the model alone, and with the whole tokenizer."""
+    cache = packing.WordCache.of(PATH)
+    assert cache.direct
+    cache.known, cache.direct = {"": b""}, direct
+    try:
+        assert cache.encode([" ".join(words)], 1) == [ids(" ".join(words)).tobytes()]
+    finally:
+        cache.direct = True
+
+
+def test_full_cache():
+    """A full cache keeps its older half, stays bounded and gives the same ids."""
+    cache = packing.WordCache(PATH, 4)
+    for text in ("the", "some more words, don't you see", "the", "words again 12 *** straße", "the"):
+        assert cache.encode([text], 1) == [ids(text).tobytes()]
+        assert "the" in cache.known and "" in cache.known
+    cache.encode([""], 1)
+    assert len(cache.known) <= 5
+
+
 def test_contract_ids():
     assert ids("hello <|endoftext|> world").tolist() == [3306, 49407, 1002, 1]
 
