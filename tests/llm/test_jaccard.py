@@ -159,6 +159,18 @@ def test_garbage(monkeypatch, master, collected):
     assert jaccard.shared(frame) is frame and len(calls) == collected
 
 
+def test_last_rows(monkeypatch, documents):
+    """The answers are settled, and garbage goes, before the result's rows are looked up."""
+    events = []
+    settled, tidied = jaccard.settled, jaccard.tidied
+    monkeypatch.setattr(jaccard, "settled", lambda x: events.append(x.columns) or settled(x))
+    monkeypatch.setattr(jaccard, "tidied", lambda x: events.append("tidied") or tidied(x))
+    texts = ["a b c d e f", "a b c d e f", "other words than these here"]
+    found = jaccard.groups(documents(texts))
+    assert events[-3:] == ["tidied", ["n", "a", "b", "root", "copies"], "tidied"]
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()} == brute(dict(enumerate(texts)))
+
+
 def test_sql(spark):
     import duckdb
 
