@@ -134,6 +134,43 @@ def test_components(spark):
     assert found == {i: 0 for i in range(1, 41)} | {200: 100, 300: 100} | {500 + i: 500 for i in range(1, 30)}
 
 
+@pytest.mark.parametrize("few", [0, jaccard.FEW])
+def test_components_by_either_way(spark, monkeypatch, few):
+    """Few edges are joined without a checkpoint, and both ways agree on chains, repeated edges, loops and negative ids."""
+    calls, settled = [], jaccard.settled
+    monkeypatch.setattr(jaccard, "settled", lambda x: calls.append(1) or settled(x))
+    monkeypatch.setattr(jaccard, "FEW", few)
+    r = random.Random(6)
+    edges = [(r.randint(-200, 200), r.randint(-200, 200)) for _ in range(150)] + [(1 << 61, (1 << 61) + i) for i in range(5)] + [(1000 + 7 * i % 50, 1000 + 7 * (i + 1) % 50) for i in range(50)]
+    want = {n: n for e in edges for n in e}
+    while any(want[x] != want[y] for x, y in edges):
+        for x, y in edges:
+            want[x] = want[y] = min(want[x], want[y])
+    found = {x.node: x.root for x in jaccard.components(spark.createDataFrame(edges + edges, "x long, y long")).collect()}
+    assert found == {n: root for n, root in want.items() if n != root}
+    assert bool(calls) == (few == 0)
+    assert jaccard.components(spark.createDataFrame([(3, 3)], "x long, y long")).collect() == []
+
+
+def test_groups_of_many_links(spark, documents, monkeypatch):
+    """With no table small enough for the driver or a broadcast, and rows of one id with several texts."""
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
+    texts = corpus(7)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.groups(documents(list(texts.values()))).collect()} == brute(texts)
+    ids = [5, 5, 2, 9]
+    found = jaccard.groups(documents(["a b c d e f g h", "p q r s t u v w", "p q r s t u v w", "a b c d e f g h"], ids)).collect()
+    assert [(x.doc_id, x.component_id) for x in sorted(found)] == [(2, 2), (5, 2), (5, 2), (9, 2)]
+
+
+def test_checkpoints_of_few_links(spark, documents, monkeypatch):
+    """On tables of many partitions each checkpoint costs a stage of as many tasks, so small ones must need few of them."""
+    calls, settled = [], jaccard.settled
+    monkeypatch.setattr(jaccard, "settled", lambda x: calls.append(1) or settled(x))
+    jaccard.groups(documents(list(corpus(1).values()))).collect()
+    assert len(calls) <= 20
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5])
 def test_chunks_of_few_words(n):
     """Chunks that hold fewer words in all than a shingle, and some more."""
