@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import chat, decontam, extract, jaccard, ordinal, packing, pii, quality, secrets, urls
+from gaugeworks.llm import chat, decontam, extract, interaction, jaccard, ordinal, packing, pii, quality, secrets, urls
 from gaugeworks.llm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,12 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its personal data replaced, and the number of mentions."""
     found = pii.pseudonymize(table(spark, folder, "documents").select("doc_id", "text"), "registered-query", "n_entities")
     return found.select("doc_id", "text", "n_entities")
+
+
+@query
+def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order and step of the five filters, by language."""
+    return interaction.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+ORACLES["op11_filter_interaction_audit"] = interaction.oracle()
