@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import chat, decontam, extract, interaction, jaccard, ordinal, packing, pii, quality, secrets, urls
+from gaugeworks.llm import chat, decontam, extract, interaction, jaccard, ordinal, packing, pieces, pii, quality, secrets, urls
 from gaugeworks.llm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,15 @@ def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame
 
 
 ORACLES["op11_filter_interaction_audit"] = interaction.oracle()
+
+
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and digest of every document's ids, and digest of the text that they decode to."""
+    return pieces.digests(table(spark, folder, "documents"), pieces_path())
