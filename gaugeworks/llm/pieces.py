@@ -7,9 +7,9 @@ known to fail and it is compatible with the piece before; else the next shorter
 the position goes into a bitfield of failed positions and the last piece is taken back. Compatibility is judged by merging the two
 pieces' characters again, and remembered. Characters that are no piece become their UTF-8 bytes' pieces.
 
-Words (spaces and what follows them) are encoded apart, as no piece of the model has a space after another character, and each
-line break is apart where no piece has one; both are looked up in the model, and a text is one word where they don't hold. Known
-words come from a bounded table of the worker.
+Words are encoded apart: they begin before spaces that follow another character, behind the last of some letters, and at line breaks,
+where no piece of the model reaches across. That is looked up in the model; a text is split less, or not at all, where it doesn't
+hold. Known words come from a bounded table of the worker.
 
 Nothing is shuffled: a text is encoded whole in the task that reads it, so keys, sources and copies have no effect; a
 lost task is computed again with the same result. Memory is one Arrow batch, the table of words and one text's ids.
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-WORDS = 300_000
+LETTER = re.compile(r"[^\W\d_]")
+WORDS = 400_000
 PAIRS = 500_000
 LONG = 64
 CHUNK = 1 << 20
@@ -40,11 +41,6 @@ CHUNK = 1 << 20
 PLAIN = "a  Bé́ﬁ　​­\t\n Ａẞ "
 
 
-def halved(table: dict) -> dict:
-    """The older half: what is frequent comes early."""
-    return dict(itertools.islice(table.items(), len(table) // 2))
-
-
 class Encoder:
     """Ids of texts by a model file. Pieces are kept with plain spaces."""
 
@@ -68,36 +64,48 @@ class Encoder:
             raise ValueError(f"{path}: not a plain model of the merge type")
         self.id = {m.id_to_piece(i).replace(SPACE, " "): i for i in named}
         self.score = {p: m.get_score(i) for p, i in self.id.items()}
-        self.byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.ids = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
+        self.byte = [m.piece_to_id(f"<0x{b:02X}>").to_bytes(4, "little") for b in range(256)]
         self.end = m.eos_id()
         self.words, self.pairs = words, pairs
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.fits: dict[tuple[str, str], bool] = {}
         self.shorter: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             if len(p) > 1 and self.merge(p) == [p]:  # other pieces can't come out of merges
-                self.automaton.add_word(p, len(p))
+                self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        inside = any(b == " " != a for p in self.id for a, b in itertools.pairwise(p))
-        lines = any("\n" in p for p in self.id)
-        self.split = re.compile("(?s).+" if inside else " +[^ ]*" if lines else "\n| +[^ \n]*|[^ \n]+").findall
+        joins = {(a, b) for p in self.id for a, b in itertools.pairwise(p)}
+        if any(b == " " != a for a, b in joins):
+            words = "(?s:.+)"
+        elif any("\n" in x or (LETTER.match(x[0]) and not LETTER.match(x[1])) for x in joins):
+            words = " +[^ ]*"
+        else:
+            words = r"\n| *(?:[^\w \n]|[\d_])*[^\W\d_]*"
+        self.split = re.compile(words).findall
 
     def merge(self, text: str) -> list[str]:
         """Merges one after another: the best score, then the leftmost place."""
-        parts = list(text)
-        while len(parts) > 1:
-            score, at = max((self.score.get(parts[i] + parts[i + 1], -np.inf), -i) for i in range(len(parts) - 1))
-            if score == -np.inf:
-                break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+        parts, get, none = list(text), self.score.get, -np.inf
+        scores = [get(a + b, none) for a, b in itertools.pairwise(parts)]
+        while scores and (best := max(scores)) != none:
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
     def compatible(self, pair: tuple[str, str]) -> bool:
+        """Whether the two pieces stay as they are when their characters are merged again."""
         found = self.fits.get(pair)
         if found is None:
             if len(self.fits) >= self.pairs:
-                self.fits = halved(self.fits)
+                for k in list(self.fits)[self.pairs // 2 :]:
+                    del self.fits[k]
             found = self.fits[pair] = self.merge(pair[0] + pair[1]) == list(pair)
         return found
 
@@ -111,34 +119,40 @@ class Encoder:
     def pieces(self, word: str) -> list[str]:
         """The pieces of a word, by backtracking."""
         longest = list(word)
-        for end, size in self.automaton.iter(word):
-            if size > len(longest[end - size + 1]):
-                longest[end - size + 1] = word[end - size + 1 : end + 1]
-        failed = bytearray(len(word) // 8 + 1)
-        out: list[str] = []
-        at, piece = 0, longest[0]
-        while True:
-            end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible((out[-1], piece))):
-                out.append(piece)
-                at = end
-                if at == len(word):
-                    return out
-                piece = longest[at]
-            elif not (piece := self.prefix(piece)):
+        for end, p in self.automaton.iter(word):  # by ascending end
+            longest[end - len(p) + 1] = p
+        size, fits = len(word), self.fits
+        failed = bytearray(size // 8 + 1)
+        piece = longest[0]
+        out, at = [piece], len(piece)
+        while at < size:
+            piece, last = longest[at], out[-1]
+            while piece:
+                end = at + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1 and (ok if (ok := fits.get((last, piece))) is not None else self.compatible((last, piece))):
+                    out.append(piece)
+                    at = end
+                    break
+                piece = self.shorter.get(piece) or self.prefix(piece)
+            while not piece:  # nothing follows the last piece: its end has failed, and the next shorter one takes its place
                 failed[at >> 3] |= 1 << (at & 7)
-                piece = out.pop()  # its end is failed now, so that the next shorter one is tried
+                piece = out.pop()
                 at -= len(piece)
+                while piece := self.prefix(piece):
+                    end = at + len(piece)
+                    if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible((out[-1], piece))):
+                        out.append(piece)
+                        at = end
+                        break
+        return out
 
     def word(self, word: str) -> bytes:
         """Ids of a word, little-endian 32-bit."""
-        ids: list[int] = []
-        for p in self.pieces(word):
-            if p in self.id:
-                ids.append(self.id[p])
-            else:
-                ids += [self.byte[b] for b in p.encode()]
-        return np.array(ids, "<i4").tobytes()
+        found = self.pieces(word)
+        try:
+            return b"".join(map(self.ids.__getitem__, found))
+        except KeyError:
+            return b"".join([self.ids[p] if p in self.ids else b"".join([self.byte[b] for b in p.encode()]) for p in found])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, little-endian 32-bit, the end id last."""
@@ -150,9 +164,9 @@ class Encoder:
             extra: dict[str, bytes] = {}
             for w in set(words).difference(known):
                 (known if len(w) <= LONG else extra)[w] = self.word(w)
-            found = b"".join([known[w] if w in known else extra[w] for w in words])
+            found = b"".join([known[w] if w in known else extra[w] for w in words] if extra else map(known.__getitem__, words))
             if len(known) > self.words:
-                self.known = halved(known)
+                self.known = dict(itertools.islice(known.items(), self.words // 2))  # the older half: what is frequent comes early
         return found + self.end.to_bytes(4, "little")
 
     def decode(self, ids: list[int]) -> str:
