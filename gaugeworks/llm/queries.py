@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import chat, decontam, extract, interaction, jaccard, ordinal, packing, pieces, pii, quality, secrets, urls
+from gaugeworks.llm import chat, decontam, extract, interaction, jaccard, ordinal, packing, pieces, pii, quality, repair, secrets, urls
 from gaugeworks.llm.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,12 @@ def pieces_path() -> str:
 def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Number and digest of every document's ids, and digest of the text that they decode to."""
     return pieces.digests(table(spark, folder, "documents"), pieces_path())
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired turns of every conversation, after damage."""
+    return repair.repair(repair.damage(table(spark, folder, "conversations")), "dropped")
+
+
+ORACLES["op12_conversation_repair"] = repair.oracle()
