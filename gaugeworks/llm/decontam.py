@@ -11,11 +11,12 @@ quarter of the words, three at least: of an entry, so that any run of ENTRY word
 and for an item of several entries also of the whole item, held against all retrieved passages of the document together.
 
 Words are runs without white space and ASCII punctuation, lower-cased. The index goes to the tasks in slices of
-about SLICE items, however many items there are; each slice is one pass over the documents. Term weights are those of
-all items: how many hold a term is counted on the cluster, and a slice collects the counts of its own terms.
+about SLICE entries, however many items there are and however long; each slice is one pass over the documents. Term weights are those
+of all items: how many hold a term is counted on the cluster, and a slice collects the counts of its own terms. All texts of one item
+are in one slice, so slices change no result.
 
 Defined cases: null and empty texts have no passages; very long ones have all of theirs; items with a null id or text, or
-without words, match nothing; equal items are all reported, and of several texts of one item each hit, by slice; without items,
+without words, match nothing; equal items are all reported, and of several texts of one item the best hit; without items,
 or in an empty table, nothing is leaked; of passages with one score the first counts; repeated rows each get theirs; other
 columns pass through decontaminate untouched, whatever their names.
 """
@@ -266,22 +267,20 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def slices(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over all items, about SLICE in each. benchmark: item_id, text."""
+    """Indexes over all items, about SLICE entries in each. benchmark: item_id, text. All texts of an item are in one slice."""
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
-    n = max(1, -(-items.count() // SLICE))
-    if n == 1:
-        if index := build_index(sorted(tuple(r) for r in items.collect())):
-            yield index
+    size = items.select("text").mapInArrow(_sizes, "items long, entries long, words long").agg(*(F.sum(c).alias(c) for c in ("items", "entries", "words"))).first()
+    if not size["entries"]:
         return
+    n = -(-size["entries"] // SLICE)
     held = shared(items.select("text").mapInArrow(_terms, "term long").groupBy("term").agg(F.count("*").alias("held")))
-    size = items.select("text").mapInArrow(_sizes, "items long, entries long, words long").agg(*(F.sum(c).alias(c) for c in ("items", "entries", "words"))).first()
     for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         rows = sorted(tuple(r) for r in part.collect())
         mine = part.select("text").mapInArrow(_terms, "term long").distinct().join(held, "term").toArrow()
         terms = mine.column("term").to_numpy().view(np.uint64)
         order = np.argsort(terms)
-        if index := build_index(rows, Weights(size["items"], size["words"] / max(1, size["entries"]), terms[order], mine.column("held").to_numpy()[order])):
+        if index := build_index(rows, Weights(size["items"], size["words"] / size["entries"], terms[order], mine.column("held").to_numpy()[order])):
             yield index
 
 

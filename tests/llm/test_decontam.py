@@ -103,3 +103,16 @@ def test_slices_change_nothing(spark, documents, monkeypatch):
         monkeypatch.setattr(decontam, "SLICE", size)
         found.append(sorted((x.doc_id, x.item_id, x.passage, round(x.score, 9)) for x in decontam.leaks(documents(texts), benchmark).collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) > 10
+
+
+def test_repeated_ids(spark, documents, monkeypatch):
+    """Several texts of one item give one row for a document, whatever the slices."""
+    r = random.Random(4)
+    texts = [" ".join(r.choices(VOCABULARY, k=40)) for _ in range(24)]
+    benchmark = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)] + [(0, texts[0])], "item_id long, text string")
+    leaking = [f"{texts[2 * k]} and {' '.join(r.choices(VOCABULARY, k=200))} {texts[2 * k + 1]}" for k in range(6)]
+    found = []
+    for size in (50_000, 20, 3):
+        monkeypatch.setattr(decontam, "SLICE", size)
+        found.append(sorted((x.doc_id, x.item_id, x.passage, round(x.score, 9)) for x in decontam.leaks(documents(leaking), benchmark).collect()))
+    assert found[0] == found[1] == found[2] and [x[:2] for x in found[0]] == [(k, k) for k in range(6)]
