@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from gaugeworks.config import DerivedMetric, Metric, Rule, Settings, dimensions, local_table
 from gaugeworks.functions import expression, text, times, units
 from gaugeworks.operators import current, dedup, gaps, lateness, normalize, rolling, rules, stored, validate, windows
+from gaugeworks.plans import ingest
 from gaugeworks.plans import samples as S
 from gaugeworks.shipping import ship
 from gaugeworks.sources.csv import read_csv
 from gaugeworks.sources.jsonl import read_jsonl
 from gaugeworks.sources.scratch import scratch, settled
 from gaugeworks.sources.tlm import Reading, decode_files, encode
+from gaugeworks.streaming import devices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,6 +73,17 @@ for size in (60, 300, 3600):
 add("window_multi_size", lambda spark, folder: rounded(windows.aggregate(S.dirty(spark, folder), (300, 3600, 86400)), *STATS), window_sql("300, 3600, 86400"))
 
 
+def _stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream into a store: the windows that close by their device's watermark, late rows worked in."""
+    root = scratch(spark, "stream-windows")
+    rows = S.clean(spark, folder, stream=True).withColumns({"sequence": F.col("sequence").cast("decimal(20,0)"), "tags": F.lit(None).cast("map<string,string>"), "file": F.lit(None).cast("string")})
+    devices.store_stream(rows, DAY, (3600,), f"{root}/store", f"{root}/checkpoint").awaitTermination()
+    return rounded(windows.current(ingest.read_aggregates(spark, f"{root}/store")).drop("version", "superseded"), *STATS)
+
+
+add("stream_device_windows", _stream_windows, f"SELECT w.* FROM ({window_sql('3600', S.SQL)}) w WHERE end_us <= (SELECT max(event_time_us) - {DAY} FROM ({S.SQL}) t WHERE t.device_id = w.device_id)")
+
+
 def _every_type(spark: SparkSession, folder: str, **settings) -> DataFrame:
     """Settings for each event type that the table holds (a handful)."""
     return periods(spark, sorted(x[0] for x in S.events(spark, folder).select("event_type").distinct().collect()), **settings)

@@ -97,19 +97,25 @@ def store_aggregates(spark: SparkSession, settings: Settings, root: str, batch:
     """Close or correct the windows that a stored batch touches, over all stored samples; only the days they lie in are read."""
     new = tables.read_batch(spark, f"{root}/samples", SAMPLES, batch)
     is_late = F.col("flags").bitwiseAND(F.lit(lateness.LATE)) != 0
-    hit = settled(windows.keys_of(new, settings.windows))
-    ends = hit.agg(F.min("start_us").alias("low"), F.max("start_us").alias("high")).first()
+    on_time, late = (windows.keys_of(new.filter(x), settings.windows) for x in (~is_late, is_late))
+    store_windows(spark, root, batch, settings.windows, on_time, late, settings.late_correction, dimensions(spark, settings)["metrics"])
+
+
+def store_windows(spark: SparkSession, root: str, batch: str, sizes: tuple[int, ...], on_time: DataFrame, late: DataFrame, correction: bool, metrics: DataFrame | None = None) -> None:
+    """Make windows over all stored samples and store what changes. on_time, late: windows.KEY, each once.
+
+    Without correction a late row alone leaves a window that is stored as it is."""
+    marked = settled(on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))))
+    ends = marked.agg(F.min("start_us").alias("low"), F.max("start_us").alias("high")).first()
     if ends["low"] is None:
         return
-    days = ends["low"], ends["high"] + max(settings.windows) * 1_000_000
+    days = ends["low"], ends["high"] + max(sizes) * 1_000_000
     versions = read_aggregates(spark, root, batch, days)
-    late = windows.keys_of(new.filter(is_late), settings.windows)
-    if not settings.late_correction:
-        # a late row alone leaves a closed window as it is
-        on_time = windows.keys_of(new.filter(~is_late), settings.windows)
-        hit, late = on_time.unionByName(late.join(versions.select(*windows.KEY).distinct(), windows.KEY, "left_anti")).distinct(), None
+    hit, late = marked.drop("late").distinct(), marked.filter("late").drop("late")
+    if not correction:
+        hit, late = marked.filter("not late").drop("late").unionByName(late.join(versions.select(*windows.KEY).distinct(), windows.KEY, "left_anti")).distinct(), None
     samples = tables.read_table(spark, f"{root}/samples", SAMPLES, days=days)
-    fresh = windows.recomputed(samples, hit, settings.windows, dimensions(spark, settings)["metrics"])
+    fresh = windows.recomputed(samples, hit, sizes, metrics)
     before = tables.read_table(spark, f"{root}/aggregates", AGGREGATES + ", written long", batch).agg(F.coalesce(F.max("written"), F.lit(0)).alias("n")).first()["n"]
     tables.write_batch(windows.changes(versions, fresh, late).withColumn("written", F.lit(before + 1).cast("bigint")), f"{root}/aggregates", batch, "start_us")
 

@@ -13,9 +13,11 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
-def clean(spark: SparkSession, folder: str) -> DataFrame:
-    """device_id, metric_id, event_time_us, value, quality, flags, sequence, arrival."""
+def clean(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """device_id, metric_id, event_time_us, value, quality, flags, sequence, arrival; as a stream if asked for."""
     rows = events(spark, folder)
+    if stream:
+        rows = spark.readStream.schema(rows.schema).parquet(f"{folder}/events.parque[t]")  # a pattern: a single file is no folder to stream from
     time = F.unix_micros(F.col("ts").cast("timestamp"))
     return rows.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("device_id"), F.col("event_type").alias("metric_id"), time.alias("event_time_us"), "value", F.lit(0).alias("quality"), F.lit(0).alias("flags"), F.col("event_id").alias("sequence"), F.col("event_id").alias("arrival"))
 
