@@ -65,16 +65,17 @@ def validate(records: DataFrame, dims: dict[str, DataFrame], ingest_us: int, his
     return rows.select(*kept, F.col("time.us").alias("event_time_us"), tags.alias("tags"), F.coalesce("quality", F.lit(0)).alias("quality"), "error")
 
 
-def file_counts(validated: DataFrame) -> DataFrame:
-    """file, total, accepted, format_errors, business_errors."""
+def file_counts(validated: DataFrame, header: str | None = None) -> DataFrame:
+    """file, total, accepted, format_errors, business_errors; with `header`, also fatal: whether an error's code begins with it."""
     kind = F.col("error.kind")
-    return validated.groupBy("file").agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("accepted"), F.count_if(kind == FORMAT).alias("format_errors"), F.count_if(kind == BUSINESS).alias("business_errors"))
+    fatal = [F.coalesce(F.max(F.col("error.code").startswith(header)), F.lit(False)).alias("fatal")] if header else []
+    return validated.groupBy("file").agg(*fatal, F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("accepted"), F.count_if(kind == FORMAT).alias("format_errors"), F.count_if(kind == BUSINESS).alias("business_errors"))
 
 
 def gate(counts: DataFrame, max_error_rate: float, min_records: int) -> DataFrame:
-    """counts with error_rate and status: QUARANTINED if the rate of business errors is above the limit, else VALIDATED."""
+    """counts with error_rate and status: QUARANTINED if the rate of business errors is above the limit or the file is fatal, else VALIDATED."""
     rate = F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("business_errors") / F.greatest(F.col("total"), F.lit(min_records)))
-    return counts.withColumn("error_rate", rate).withColumn("status", F.when(F.col("error_rate") > max_error_rate, "QUARANTINED").otherwise("VALIDATED"))
+    return counts.withColumn("error_rate", rate).withColumn("status", F.when((F.col("error_rate") > max_error_rate) | (F.col("fatal") if "fatal" in counts.columns else F.lit(False)), "QUARANTINED").otherwise("VALIDATED"))
 
 
 def accepted(validated: DataFrame, gated: DataFrame) -> DataFrame:

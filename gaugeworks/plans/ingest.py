@@ -69,7 +69,7 @@ def process(records: DataFrame, settings: Settings, ingest_us: int, stored: Data
     bad = records.filter("parse_error is not null").select(*(F.lit(None).cast(t).alias(n) if n in ("event_time_us",) else F.col(n) for n, t in good.drop("error").dtypes), F.struct(F.lit(FORMAT).alias("kind"), F.col("parse_error").alias("code")).alias("error"))
     # each of these is read several times by what follows
     validated = settled(good.unionByName(bad))
-    files = settled(validate.gate(validate.file_counts(validated), settings.max_error_rate, settings.error_rate_min_records))
+    files = settled(validate.gate(validate.file_counts(validated, "header: "), settings.max_error_rate, settings.error_rate_min_records))
     rows = validate.accepted(validated, files).withColumnRenamed("metric", "metric_id")
     rows = normalize.normalize(rows, dims["calibrations"], dims["metrics"]).filter("reject is null")
     # one arrival order over all files: by name, then place in the file; the table has a row for each file

@@ -12,6 +12,7 @@ from pathlib import Path
 
 from gaugeworks.sources.records import format_of
 
+# Names that are still written to, and the bytes that identify a file.
 PARTIAL = (".tmp", ".part", ".partial", ".swp", "~")
 HEAD = 64 << 10
 

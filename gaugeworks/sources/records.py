@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RECORD = "device_id string, metric string, event_time string, has_value boolean, value double, unit string, quality int, sequence decimal(20,0), tags map<string,string>, ext_json string, file string, position long, raw string, parse_error string"
+# The fields of the input formats.
 REQUIRED = ("device_id", "metric", "event_time", "value", "unit")
 OPTIONAL = ("quality", "sequence", "tags")
 MOST_BYTES = 1 << 20

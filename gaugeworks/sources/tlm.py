@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 MAGIC, HEADER, FRAME, SYNC = b"TLM1", 24, 16, b"\x5a\xa5"
 MOST_PAYLOAD, MOST_SCAN, MOST_FIELDS, MOST_FIELD, MOST_TAGS = 4 << 20, 1 << 20, 256, 4096, 16
 DEVICE, METRIC, TIME, VALUE, NULL, UNIT, QUALITY, SEQUENCE, TAGS = range(1, 10)
-ROWS = "device_id string, metric string, event_time string, has_value boolean, value double, unit string, quality int, sequence string, tags map<string,string>, position long, parse_error string"
+ROWS = "device_id string, metric string, event_time string, has_value boolean, value double, unit string, quality int, sequence string, tags map<string,string>, position long, parse_error string, no_value boolean"
 
 
 class FrameError(ValueError):
@@ -189,14 +189,14 @@ def decode_files(contents: DataFrame) -> DataFrame:
                 try:
                     for at, found in decode(bytes(content)):
                         if isinstance(found, FrameError):
-                            rows.append((path, None, None, None, False, None, None, None, None, None, at, str(found)))
+                            rows.append((path, None, None, None, False, None, None, None, None, None, at, str(found), True))
                         else:
-                            rows.append((path, found.device_id, found.metric, str(found.event_time_ms), True, found.value, found.unit, found.quality, None if found.sequence is None else str(found.sequence), found.tags, at, None))
+                            rows.append((path, found.device_id, found.metric, str(found.event_time_ms), True, found.value, found.unit, found.quality, None if found.sequence is None else str(found.sequence), found.tags, at, None, found.value is None))
                 except FrameError as e:
-                    rows.append((path, None, None, None, False, None, None, None, None, None, 0, f"header: {e}"))
+                    rows.append((path, None, None, None, False, None, None, None, None, None, 0, f"header: {e}", True))
                 out = pd.DataFrame(rows, columns=names, dtype=object)
                 yield out.astype({"quality": "Int32", "position": "int64", "value": "float64"}) if len(out) else out
 
     found = contents.select("path", "content").mapInPandas(run, "file string, " + ROWS)
-    value = F.when(F.isnan("value") & F.col("has_value"), F.lit(None)).otherwise(F.col("value"))
+    value = F.when(~F.col("no_value"), F.coalesce("value", F.lit(float("nan"))))  # pandas has one mark for null and NaN
     return found.select("device_id", "metric", "event_time", "has_value", value.alias("value"), "unit", "quality", F.col("sequence").cast("decimal(20,0)").alias("sequence"), "tags", F.lit(None).cast("string").alias("ext_json"), "file", "position", F.lit(None).cast("string").alias("raw"), "parse_error")

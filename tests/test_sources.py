@@ -9,7 +9,7 @@ import pytest
 from gaugeworks.config import from_dict
 from gaugeworks.plans import ingest
 from gaugeworks.sources import files, tables, tlm
-from gaugeworks.sources.csv import HeaderError, read_csv, sniff
+from gaugeworks.sources.csv import read_csv, sniff
 from gaugeworks.sources.jsonl import read_jsonl
 from gaugeworks.sources.tlm import Reading, read_tlm
 
@@ -53,8 +53,9 @@ def test_csv(spark, tmp_path):
     assert rows[0].device_id == 'dev "x"\ny' and rows[0].value == 1.5 and rows[3].value is None and rows[3].has_value
     assert sniff('a;b,"c,d"') == "," and sniff('a;b;"c,d,e"') == ";"
     (tmp_path / "bad.csv").write_text("device_id,metric\n1,2\n")
-    with pytest.raises(HeaderError):
-        read_csv(spark, [str(tmp_path / "bad.csv")])
+    assert [r.parse_error for r in read_csv(spark, [str(tmp_path / "bad.csv"), str(tmp_path / "x.csv")]).filter("file like '%bad.csv'").collect()] == ["header: missing column event_time"]
+    (tmp_path / "empty.csv").write_text("# nothing\n\n")
+    assert read_csv(spark, [str(tmp_path / "empty.csv")]).count() == 0
 
 
 def test_jsonl(spark, tmp_path):
@@ -73,7 +74,7 @@ def test_jsonl(spark, tmp_path):
 
 def test_tlm(spark, tmp_path):
     data = tlm.encode([Reading("pump-07", "bearing_temp", 1785598530125, 76.4, "C", 0, 18342)], 1785598530125)
-    # the protocol's worked example
+    # fixed values: the format's worked example
     assert data[:24].hex() == "544c4d31010018004d52f7bd9f01000000000000142444a0" and data[24:40].hex() == "5aa501004200000001" + "00" * 7 and data[-4:].hex() == "1baefb60"
     many = [Reading("d", "m", i, float(i), "C", sequence=i) for i in range(5)]
     data = bytearray(tlm.encode(many))
@@ -91,6 +92,34 @@ def test_tlm(spark, tmp_path):
             tlm.decode_payload(raw)
 
 
+def test_tlm_values_that_are_no_numbers(spark, tmp_path):
+    """NaN and infinities stay what they are, so that validation rejects them; null is a value."""
+    values = [float("nan"), None, float("inf"), float("-inf"), 1.0]
+    readings = [Reading("dev-01", "temp", 1788221800000 + i, v, "C", sequence=i + 1) for i, v in enumerate(values)]
+    (tmp_path / "x.tlm").write_bytes(tlm.encode(readings))
+    rows = read_tlm(spark, [str(tmp_path / "x.tlm")]).orderBy("position").collect()
+    assert repr([r.value for r in rows]) == repr(values) and all(r.has_value and r.parse_error is None for r in rows)
+    errors = {r.position: r.code for r in ingest.process(ingest.read_records(spark, [str(tmp_path / "x.tlm")]), SETTINGS, NOW).validated.select("position", "error.code").collect()}
+    assert [errors[r.position] for r in rows] == ["value_not_finite", None, "value_not_finite", "value_not_finite", None]
+
+
+def test_import_with_faults(spark, tmp_path):
+    """A bad header, open quotes, an overlong cell and NaN in one import: good rows are stored, the bad file goes apart."""
+    inbox, root = tmp_path / "in", str(tmp_path / "store")
+    inbox.mkdir()
+    head = "device_id,metric,event_time,value,unit\n"
+    (inbox / "bad.csv").write_text("device_id,metric\n1,2\n")
+    (inbox / "long.csv").write_text(head + "dev-01,temp,1788221800000,1,C\n" + f"dev-01,{'x' * (5 << 20)},1788221801000,1,C\n" + "dev-01,temp,1788221802000,2,C\n" + 'dev-01,temp,1788221803000,3,"C\n')
+    (inbox / "nan.tlm").write_bytes(tlm.encode([Reading("dev-01", "temp", 1788221810000, float("nan"), "C", sequence=1), Reading("dev-01", "temp", 1788221811000, 5.0, "C", sequence=2)]))
+    (inbox / "empty.csv").write_text("")
+    paths = [str(inbox / n) for n in ("bad.csv", "long.csv", "nan.tlm", "empty.csv")]
+    out = ingest.import_files(spark, paths, SETTINGS, root, NOW, str(tmp_path / "archive"), str(tmp_path / "quarantine"))
+    assert out == {paths[0]: "QUARANTINED", paths[1]: "COMPLETED", paths[2]: "COMPLETED", paths[3]: "COMPLETED"}
+    assert sorted(r.value for r in tables.read_table(spark, f"{root}/samples", ingest.SAMPLES).collect()) == [1.0, 2.0, 5.0]
+    report = json.loads(next(tmp_path.glob("quarantine/*/*/*/bad.csv.report.json")).read_text())
+    assert [e["code"] for e in report["errors"]] == ["header: missing column event_time"]
+
+
 def test_gate_and_import(spark, tmp_path):
     inbox, root = tmp_path / "in", str(tmp_path / "store")
     inbox.mkdir()
