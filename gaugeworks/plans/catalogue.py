@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.config import DerivedMetric, Metric, Rule, Settings, dimensions, local_table
 from gaugeworks.functions import expression, text, times, units
-from gaugeworks.operators import current, dedup, gaps, lateness, normalize, rolling, rules, stored, validate, windows
+from gaugeworks.operators import current, dedup, gaps, lateness, normalize, quantiles, rolling, rules, scan, stored, validate, windows
 from gaugeworks.plans import ingest
 from gaugeworks.plans import samples as S
 from gaugeworks.shipping import ship
@@ -84,6 +84,17 @@ def _stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 add("stream_device_windows", _stream_windows, f"SELECT w.* FROM ({window_sql('3600', S.SQL)}) w WHERE end_us <= (SELECT max(event_time_us) - {DAY} FROM ({S.SQL}) t WHERE t.device_id = w.device_id)")
 
 
+def _large_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of the events of each type and day over all devices: groups of any size."""
+    rows = windows.assign(S.dirty(spark, folder).filter("quality <> 2"), (86400,))
+    return rounded(quantiles.exact_quantiles(rows, ["metric_id", "start_us"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}), "p50", "p95", "p99")
+
+
+add("window_quantiles_large", _large_quantiles, f"""
+SELECT metric_id, event_time_us // {DAY} * {DAY} AS start_us, {r("quantile_disc(value, 0.5)", "p50")}, {r("quantile_disc(value, 0.95)", "p95")}, {r("quantile_disc(value, 0.99)", "p99")}
+FROM ({S.DIRTY_SQL}) WHERE quality <> 2 GROUP BY ALL""")
+
+
 def _every_type(spark: SparkSession, folder: str, **settings) -> DataFrame:
     """Settings for each event type that the table holds (a handful)."""
     return periods(spark, sorted(x[0] for x in S.events(spark, folder).select("event_type").distinct().collect()), **settings)
@@ -109,6 +120,18 @@ SELECT device_id, metric_id, event_time_us, sequence, watermark_us, CASE WHEN ev
 add("late_flags", lambda spark, folder: lateness.flag_late(S.clean(spark, folder), DAY).select("device_id", "metric_id", "event_time_us", "sequence", "watermark_us", "flags"), LATE_SQL)
 
 
+def hot(rows: DataFrame) -> DataFrame:
+    """Nine tenths of the rows on one device."""
+    return rows.withColumn("device_id", F.when(F.col("arrival") % 10 != 0, "hot").otherwise(F.col("device_id")))
+
+
+def hot_sql(source: str) -> str:
+    return f"SELECT * REPLACE (CASE WHEN arrival % 10 <> 0 THEN 'hot' ELSE device_id END AS device_id) FROM ({source})"
+
+
+add("late_flags_hot_device", lambda spark, folder: scan.flag_late_spread(hot(S.clean(spark, folder)), DAY).select("device_id", "metric_id", "event_time_us", "sequence", "watermark_us", "flags"), LATE_SQL.replace(S.SQL, hot_sql(S.SQL)))
+
+
 def _seeded(spark: SparkSession, folder: str) -> DataFrame:
     rows = S.clean(spark, folder)
     seeds = lateness.stored_seeds(rows.filter("arrival % 10 = 0"))
@@ -382,6 +405,7 @@ c AS (SELECT device_id, event_time_us, a AS a0, b AS b0, last_value(a IGNORE NUL
   last_value(CASE WHEN a IS NOT NULL THEN event_time_us END IGNORE NULLS) OVER w AS ta, last_value(CASE WHEN b IS NOT NULL THEN event_time_us END IGNORE NULLS) OVER w AS tb FROM i
   WINDOW w AS (PARTITION BY device_id ORDER BY event_time_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 add("asof_current_values", lambda spark, folder: rounded(current.current_values(S.dirty(spark, folder), ["click", "purchase"]), "click", "purchase"), f"WITH {TWO_SQL} SELECT device_id, event_time_us, {r('a', 'click')}, {r('b', 'purchase')} FROM c")
+add("asof_hot_device", lambda spark, folder: rounded(scan.current_values_spread(hot(S.dirty(spark, folder)), ["click", "purchase"]), "click", "purchase"), f"WITH {TWO_SQL.replace(S.DIRTY_SQL, hot_sql(S.DIRTY_SQL))} SELECT device_id, event_time_us, {r('a', 'click')}, {r('b', 'purchase')} FROM c")
 add("derived_recent", lambda spark, folder: rounded(current.derived(S.dirty(spark, folder), DerivedMetric("both", "click + 2 * purchase", "recent", 3 * DAY)), "value"), f"""
 WITH {TWO_SQL} SELECT device_id, 'both' AS metric_id, event_time_us, {r(f"CASE WHEN event_time_us - ta <= {3 * DAY} THEN a END + 2 * CASE WHEN event_time_us - tb <= {3 * DAY} THEN b END", "value")} FROM c""")
 add("derived_skip", lambda spark, folder: rounded(current.derived(S.dirty(spark, folder), DerivedMetric("half", "click / 2", "skip")), "value"), f"WITH {TWO_SQL} SELECT device_id, 'half' AS metric_id, event_time_us, {r('a0 / 2', 'value')} FROM c WHERE a0 IS NOT NULL")
