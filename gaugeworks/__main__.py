@@ -16,6 +16,7 @@ from gaugeworks.operators import rules, stored, windows
 from gaugeworks.plans import ingest
 from gaugeworks.sources import tables
 
+RETAINED = ("samples", "intervals", "aggregates")
 AUDIT = "at_us long, operation string, actor string, target string, result string"
 
 
@@ -52,6 +53,10 @@ def parser() -> argparse.ArgumentParser:
     ack.add_argument("uuid")
     ack.add_argument("--by", required=True)
     ack.add_argument("--comment", default="")
+    keep = sub.add_parser("retain")
+    keep.add_argument("--days", type=int, required=True)
+    keep.add_argument("--table", action="append", choices=RETAINED, help="all of them without it")
+    keep.add_argument("--now", help="time from which days count; the present without it")
     sub.add_parser("audit")
     sub.add_parser("check")
     return out
@@ -68,7 +73,8 @@ def _us(spark: SparkSession, text: str | None) -> int | None:
 
 def audit(spark: SparkSession, root: str, operation: str, target: str, result: str, actor: str = "cli") -> None:
     now = time.time_ns() // 1000
-    tables.write_batch(spark.createDataFrame([(now, operation, actor, target, result)], AUDIT), f"{root}/audit", f"{now}")
+    with tables.commit(spark, root, f"audit={now}") as number:
+        tables.write_batch(local_table(spark, [(now, operation, actor, target, result)], AUDIT), f"{root}/audit", number)
 
 
 def acknowledge(spark: SparkSession, root: str, args: argparse.Namespace) -> DataFrame:
@@ -77,7 +83,8 @@ def acknowledge(spark: SparkSession, root: str, args: argparse.Namespace) -> Dat
     if known.isEmpty():
         raise SystemExit(f"no incident {args.uuid}")
     now = time.time_ns() // 1000
-    tables.write_batch(local_table(spark, [(args.uuid, args.by, args.comment, now)], ingest.ACKS), f"{root}/acks", f"{now}")
+    with tables.commit(spark, root, f"ack={now}") as number:
+        tables.write_batch(local_table(spark, [(args.uuid, args.by, args.comment, now)], ingest.ACKS), f"{root}/acks", number)
     audit(spark, root, "ack", args.uuid, "ok", args.by)
     return stored.acknowledged(known, tables.read_table(spark, f"{root}/acks", ingest.ACKS))
 
@@ -88,16 +95,25 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     files = tables.read_table(spark, f"{root}/files", ingest.FILES)
     if args.command == "import":
         now = _us(spark, args.now) if args.now else time.time_ns() // 1000
-        done = ingest.import_files(spark, sorted(args.paths), settings, root, now, args.archive, args.quarantine)
+        try:
+            done = ingest.import_files(spark, sorted(args.paths), settings, root, now, args.archive, args.quarantine)
+        except Exception as e:
+            audit(spark, root, "import", ",".join(sorted(args.paths)), f"failed: {type(e).__name__}: {str(e)[:500]}")
+            raise
         audit(spark, root, "import", ",".join(sorted(args.paths)), json.dumps(done, sort_keys=True))
         return spark.createDataFrame(sorted(done.items()), "path string, status string")
+    if args.command == "retain":
+        oldest = (_us(spark, args.now) if args.now else time.time_ns() // 1000) - args.days * 86_400_000_000
+        gone = [(t, d) for t in args.table or RETAINED for d in tables.retain(spark, root, t, oldest)]
+        audit(spark, root, "retain", ",".join(args.table or RETAINED), json.dumps(gone))
+        return local_table(spark, gone, "table string, day string")
     if args.command == "status":
         return stored.status(files).unionByName(samples.agg(F.lit("SAMPLES").alias("status"), F.count("*").alias("files")))
     if args.command == "samples":
         return stored.query_samples(samples, args.device, args.metric, _us(spark, getattr(args, "from")), _us(spark, args.to), not args.no_synthetic, args.limit)
     if args.command == "devices":
         found = stored.devices_by_tag(dimensions(spark, settings)["devices"], **dict(t.split("=", 1) for t in args.tag))
-        return found if args.tag else found.join(tables.read_table(spark, f"{root}/devices", ingest.DEVICES), "device_id", "outer").orderBy("device_id")
+        return found if args.tag else found.join(tables.read_snapshot(spark, f"{root}/devices", ingest.DEVICES), "device_id", "outer").orderBy("device_id")
     if args.command == "files":
         return stored.latest_file(files, args.path) if args.path else stored.files_in(files, *(args.status or ("COMPLETED", "QUARANTINED")))
     if args.command == "windows":

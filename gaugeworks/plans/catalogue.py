@@ -214,10 +214,20 @@ SELECT device_id, metric_id, arrival, n, {r("mean", "mean")}, {r("low", "low")},
 
 add("rolling_count", lambda spark, folder: _rolling(spark, folder, count=4, min_count=3), rolling_sql("ORDER BY event_time_us, arrival ROWS BETWEEN 3 PRECEDING AND CURRENT ROW", 3))
 add("rolling_time", lambda spark, folder: _rolling(spark, folder, duration_us=2 * DAY), rolling_sql(f"ORDER BY event_time_us RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW"))
-add("rolling_both", lambda spark, folder: _rolling(spark, folder, count=3, duration_us=DAY).select("device_id", "metric_id", "arrival", "n", "mean"), f"""
-WITH s AS (SELECT * FROM ({S.DIRTY_SQL}) WHERE value IS NOT NULL AND quality <> 2), f AS (SELECT *, list(struct_pack(t := event_time_us, v := value)) OVER (PARTITION BY device_id, metric_id ORDER BY event_time_us, arrival ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS kept FROM s),
-k AS (SELECT *, list_transform(list_filter(kept, lambda x: x.t >= event_time_us - {DAY}), lambda x: x.v) AS vs FROM f)
-SELECT device_id, metric_id, arrival, len(vs) AS n, {r("list_avg(vs)", "mean")} FROM k""")
+BOTH = ["mean", "low", "high", "stddev", "rate", "oldest"]
+
+
+def both_sql(count: int, duration: int) -> str:
+    """Frames are lists of at most `count` rows, young ones kept."""
+    return f"""
+WITH s AS (SELECT * FROM ({S.DIRTY_SQL}) WHERE value IS NOT NULL AND quality <> 2), f AS (SELECT *, list(struct_pack(t := event_time_us, v := value)) OVER (PARTITION BY device_id, metric_id ORDER BY event_time_us, arrival ROWS BETWEEN {count - 1} PRECEDING AND CURRENT ROW) AS kept FROM s),
+k AS (SELECT *, list_filter(kept, lambda x: x.t >= event_time_us - {duration}) AS ks FROM f), v AS (SELECT *, list_transform(ks, lambda x: x.v) AS vs, event_time_us - ks[1].t AS passed FROM k)
+SELECT device_id, metric_id, arrival, len(vs) AS n, {r("list_avg(vs)", "mean")}, {r("list_min(vs)", "low")}, {r("list_max(vs)", "high")}, {r("CASE WHEN len(vs) < 2 THEN 0 ELSE list_stddev_pop(vs) END", "stddev")},
+  {r("CASE WHEN len(vs) < 2 OR passed <= 0 THEN 0 ELSE (value - vs[1]) / (passed / 1e6) END", "rate")}, {r("vs[1]", "oldest")} FROM v"""
+
+
+for name, count, duration in (("rolling_both", 3, DAY), ("rolling_both_wide", 1000, 20 * DAY)):
+    add(name, lambda spark, folder, count=count, duration=duration: _rolling(spark, folder, count=count, duration_us=duration).select("device_id", "metric_id", "arrival", "n", *BOTH), both_sql(count, duration))
 
 # Normalization
 

@@ -14,6 +14,7 @@ from gaugeworks.functions.times import FORMAT
 from gaugeworks.operators import dedup, gaps, lateness, normalize, rules, validate, windows
 from gaugeworks.operators import stored as stored_rows
 from gaugeworks.operators.dims import small
+from gaugeworks.plans.history import History
 from gaugeworks.shipping import ship
 from gaugeworks.sources import tables
 from gaugeworks.sources.csv import read_csv
@@ -58,8 +59,8 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (READERS[f](spark, sorted(ps)) for f, ps in sorted(by.items())))
 
 
-def process(records: DataFrame, settings: Settings, ingest_us: int, stored: DataFrame | None = None) -> Stages:
-    """All stages over RECORD rows. stored: SAMPLES of earlier imports, for watermarks, duplicates and gaps.
+def process(records: DataFrame, settings: Settings, ingest_us: int, history: History | None = None) -> Stages:
+    """All stages over RECORD rows. history: the samples of earlier imports, for watermarks, duplicates and gaps.
 
     What is read more than once is written once, to the cluster's shared folder."""
     spark = records.sparkSession
@@ -77,31 +78,31 @@ def process(records: DataFrame, settings: Settings, ingest_us: int, stored: Data
     rows = rows.join(small(ranks), "file")
     arrival = (F.col("rank") * PLACES + F.col("position")).alias("arrival")
     rows = rows.select("device_id", "metric_id", "event_time_us", F.col("normalized_value").alias("value"), "quality", F.lit(0).alias("flags"), "sequence", arrival, "tags", "file")
-    seeds = lateness.stored_seeds(stored) if stored is not None else None
+    seeds = history.seeds() if history else None
     rows = lateness.flag_late(rows, settings.allowed_lateness_us, seeds).drop("watermark_us")
-    rows = dedup.dedup(rows)
-    rows = settled(rows if stored is None else dedup.not_stored(rows, stored))
-    found = gaps.steps(rows, dims["metrics"], gaps.last_valid(stored) if stored is not None else None)
+    rows = settled(dedup.dedup(rows))
+    if history:
+        rows = settled(dedup.not_stored(rows, history.near(rows)))
+    found = gaps.steps(rows, dims["metrics"], history.last_valid() if history else None)
     points = gaps.interpolate(found).select("device_id", "metric_id", "event_time_us", "value", "quality", "flags", F.lit(None).cast("decimal(20,0)").alias("sequence"), F.lit((1 << 62)).cast("bigint").alias("arrival"), F.create_map().cast("map<string,string>").alias("tags"), F.lit(None).cast("string").alias("file"))
     return Stages(validated, files, dedup.dedup(rows.unionByName(points)), gaps.intervals(found))
 
 
-def read_aggregates(spark: SparkSession, root: str, but: str | None = None, days: tuple[int, int] | None = None) -> DataFrame:
+def read_aggregates(spark: SparkSession, root: str, days: tuple[int, int] | None = None) -> DataFrame:
     """The stored windows, all versions. Each import adds the rows that it changes; of a window's version the last one counts."""
-    rows = tables.read_table(spark, f"{root}/aggregates", AGGREGATES + ", written long", but, days)
+    rows = tables.read_table(spark, f"{root}/aggregates", AGGREGATES, days, numbered=True)
     w = Window.partitionBy(*windows.KEY, "version").orderBy(F.desc("written"))
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "written")
 
 
-def store_aggregates(spark: SparkSession, settings: Settings, root: str, batch: str) -> None:
-    """Close or correct the windows that a stored batch touches, over all stored samples; only the days they lie in are read."""
-    new = tables.read_batch(spark, f"{root}/samples", SAMPLES, batch)
+def store_aggregates(spark: SparkSession, settings: Settings, root: str, number: int, new: DataFrame) -> None:
+    """Close or correct the windows that a commit's samples touch, over all stored samples; only the days they lie in are read."""
     is_late = F.col("flags").bitwiseAND(F.lit(lateness.LATE)) != 0
     on_time, late = (windows.keys_of(new.filter(x), settings.windows) for x in (~is_late, is_late))
-    store_windows(spark, root, batch, settings.windows, on_time, late, settings.late_correction, dimensions(spark, settings)["metrics"])
+    store_windows(spark, root, number, settings.windows, on_time, late, settings.late_correction, dimensions(spark, settings)["metrics"])
 
 
-def store_windows(spark: SparkSession, root: str, batch: str, sizes: tuple[int, ...], on_time: DataFrame, late: DataFrame, correction: bool, metrics: DataFrame | None = None) -> None:
+def store_windows(spark: SparkSession, root: str, number: int, sizes: tuple[int, ...], on_time: DataFrame, late: DataFrame, correction: bool, metrics: DataFrame | None = None) -> None:
     """Make windows over all stored samples and store what changes. on_time, late: windows.KEY, each once.
 
     Without correction a late row alone leaves a window that is stored as it is."""
@@ -110,26 +111,25 @@ def store_windows(spark: SparkSession, root: str, batch: str, sizes: tuple[int,
     if ends["low"] is None:
         return
     days = ends["low"], ends["high"] + max(sizes) * 1_000_000
-    versions = read_aggregates(spark, root, batch, days)
+    versions = read_aggregates(spark, root, days)
     hit, late = marked.drop("late").distinct(), marked.filter("late").drop("late")
     if not correction:
         hit, late = marked.filter("not late").drop("late").unionByName(late.join(versions.select(*windows.KEY).distinct(), windows.KEY, "left_anti")).distinct(), None
-    samples = tables.read_table(spark, f"{root}/samples", SAMPLES, days=days)
+    samples = tables.read_table(spark, f"{root}/samples", SAMPLES, days, number)
     fresh = windows.recomputed(samples, hit, sizes, metrics)
-    before = tables.read_table(spark, f"{root}/aggregates", AGGREGATES + ", written long", batch).agg(F.coalesce(F.max("written"), F.lit(0)).alias("n")).first()["n"]
-    tables.write_batch(windows.changes(versions, fresh, late).withColumn("written", F.lit(before + 1).cast("bigint")), f"{root}/aggregates", batch, "start_us")
+    tables.write_batch(windows.changes(versions, fresh, late), f"{root}/aggregates", number, "start_us")
 
 
-def read_incidents(spark: SparkSession, root: str, but: str | None = None) -> DataFrame:
+def read_incidents(spark: SparkSession, root: str) -> DataFrame:
     """The stored incidents and states of rules (rules.OUTPUT), each as the last import left it."""
-    rows = tables.read_table(spark, f"{root}/rules", rules.OUTPUT + ", written long", but)
+    rows = tables.read_table(spark, f"{root}/rules", rules.OUTPUT, numbered=True)
     w = Window.partitionBy("kind", "rule_id", "device_id", F.when(F.col("kind") == "incident", F.col("incident_uuid"))).orderBy(F.desc("written"))
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "written")
 
 
-def store_rules(spark: SparkSession, settings: Settings, root: str, batch: str, ingest_us: int) -> None:
-    """Go on with the rules' machines of the devices that a stored batch touches; close the incidents of rules that are gone."""
-    before = settled(read_incidents(spark, root, batch))
+def store_rules(spark: SparkSession, settings: Settings, root: str, number: int, ingest_us: int, new: DataFrame) -> None:
+    """Go on with the rules' machines of the devices that a commit's samples touch; close the incidents of rules that are gone."""
+    before = settled(read_incidents(spark, root))
     if not settings.rules and before.isEmpty():
         return
     known = [m.id for m in settings.metrics]
@@ -139,36 +139,37 @@ def store_rules(spark: SparkSession, settings: Settings, root: str, batch: str,
     out = out.withColumn("history", F.concat("history", closing))
     if settings.rules:
         compiled = [rules.compile_rule(r, known) for r in settings.rules]
-        touched = settled(tables.read_batch(spark, f"{root}/samples", SAMPLES, batch).select("device_id").distinct())
-        samples = tables.read_table(spark, f"{root}/samples", SAMPLES).join(touched, "device_id", "left_semi")
+        touched = settled(new.select("device_id").distinct())
+        samples = tables.read_table(spark, f"{root}/samples", SAMPLES, number=number).join(touched, "device_id", "left_semi")
         found = rules.evaluations(samples, compiled, dimensions(spark, settings)["devices"])
         mine = before.join(touched, "device_id", "left_semi")
         out = out.select(*before.columns).unionByName(rules.run_rules(found, list(settings.rules), mine).select(*before.columns))
-    last = tables.read_table(spark, f"{root}/rules", rules.OUTPUT + ", written long", batch).agg(F.coalesce(F.max("written"), F.lit(0)).alias("n")).first()["n"]
-    tables.write_batch(out.withColumn("written", F.lit(last + 1).cast("bigint")), f"{root}/rules", batch)
+    tables.write_batch(out, f"{root}/rules", number)
 
 
-def store_devices(spark: SparkSession, settings: Settings, root: str) -> None:
+def store_devices(spark: SparkSession, settings: Settings, root: str, number: int) -> None:
     """All devices ever configured, enabled if they are now."""
-    known = tables.read_table(spark, f"{root}/devices", DEVICES)
-    now = settled(stored_rows.disabled_devices(known, dimensions(spark, settings)["devices"]))
-    tables.write_batch(now, f"{root}/devices", "current")
+    known = tables.read_snapshot(spark, f"{root}/devices", DEVICES)
+    tables.write_snapshot(stored_rows.disabled_devices(known, dimensions(spark, settings)["devices"]), f"{root}/devices", number)
 
 
-def store(records: DataFrame, settings: Settings, root: str, batch: str, ingest_us: int) -> Stages:
-    """Process RECORD rows and store them as one batch, in place of what an earlier try of the batch stored."""
+def store(records: DataFrame, settings: Settings, root: str, number: int, ingest_us: int) -> Stages:
+    """Process RECORD rows and store them under a commit's number."""
     spark = records.sparkSession
-    stages = process(records, settings, ingest_us, tables.read_table(spark, f"{root}/samples", SAMPLES, but=batch))
-    tables.write_batch(stages.samples, f"{root}/samples", batch, "event_time_us")
-    tables.write_batch(stages.intervals, f"{root}/intervals", batch, "start_us")
-    store_aggregates(spark, settings, root, batch)
-    store_rules(spark, settings, root, batch, ingest_us)
-    store_devices(spark, settings, root)
+    history = History(spark, root, SAMPLES)
+    stages = process(records, settings, ingest_us, history)
+    tables.write_batch(stages.samples, f"{root}/samples", number, "event_time_us")
+    new = tables.read_batch(spark, f"{root}/samples", SAMPLES, number)
+    history.add(new, number)
+    tables.write_batch(stages.intervals, f"{root}/intervals", number, "start_us")
+    store_aggregates(spark, settings, root, number, new)
+    store_rules(spark, settings, root, number, ingest_us, new)
+    store_devices(spark, settings, root, number)
     return stages
 
 
 def import_files(spark: SparkSession, paths: list[str], settings: Settings, root: str, ingest_us: int, archive: str | None = None, quarantine: str | None = None) -> dict[str, str]:
-    """Import files that aren't in the manifest yet; status by path. Each import is one batch, written again if it is retried."""
+    """Import files that aren't in the manifest yet; status by path. Each import is one commit: all its tables count, or none."""
     identities = {p: identity(p) for p in paths}
     asked = local_table(spark, [(i.hash,) for i in identities.values()], "hash string")
     known = {r["hash"] for r in tables.read_table(spark, f"{root}/files", FILES).join(F.broadcast(asked), "hash", "left_semi").select("hash").distinct().collect()}
@@ -176,11 +177,14 @@ def import_files(spark: SparkSession, paths: list[str], settings: Settings, root
     out = {p: "SKIPPED" for p in paths if p not in new}
     if not new:
         return out
-    batch = sorted(i.hash for i in new.values())[0][:16]
-    stages = store(read_records(spark, sorted(new)), settings, root, batch, ingest_us)
-    files = {os.path.realpath(r["file"].removeprefix("file:")): r for r in stages.files.collect()}
-    status = {p: "QUARANTINED" if (r := files.get(os.path.realpath(p))) and r["status"] == "QUARANTINED" else "COMPLETED" for p in new}
-    tables.write_batch(local_table(spark, [(i.hash, p, status[p], ingest_us) for p, i in new.items()], FILES), f"{root}/files", batch)
+    name = sorted(i.hash for i in new.values())[0][:16]
+    with tables.commit(spark, root, f"import={name}={ingest_us}") as number:
+        if number is None:
+            return out | dict.fromkeys(new, "SKIPPED")
+        stages = store(read_records(spark, sorted(new)), settings, root, number, ingest_us)
+        files = {os.path.realpath(r["file"].removeprefix("file:")): r for r in stages.files.collect()}
+        status = {p: "QUARANTINED" if (r := files.get(os.path.realpath(p))) and r["status"] == "QUARANTINED" else "COMPLETED" for p in new}
+        tables.write_batch(local_table(spark, [(i.hash, p, status[p], ingest_us) for p, i in new.items()], FILES), f"{root}/files", number)
     for p, i in new.items():
         if status[p] == "QUARANTINED" and quarantine:
             counts = files[os.path.realpath(p)].asDict()

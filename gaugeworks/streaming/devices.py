@@ -24,9 +24,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from gaugeworks.operators import dedup
 from gaugeworks.operators.lateness import LATE
 from gaugeworks.plans import ingest
+from gaugeworks.plans.history import History
 from gaugeworks.shipping import ship
 from gaugeworks.sources import tables
 from gaugeworks.sources.scratch import settled
+from gaugeworks.streaming.imports import stream_commit
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SAMPLE, WINDOW = "sample", "window"
@@ -184,18 +186,20 @@ def device_stream(samples: DataFrame, lateness_us: int, sizes: tuple[int, ...] =
 
 def store_stream(samples: DataFrame, lateness_us: int, sizes: tuple[int, ...], root: str, checkpoint: str, metrics: DataFrame | None = None, correction: bool = True, idle_ms: int | None = None) -> StreamingQuery:
     """Store a stream of samples (SAMPLES columns) as it leaves the devices' buffers, without duplicates, and the windows that close;
-    then stop. Each micro-batch is one batch of the store, written again if it is tried again."""
+    then stop. Each micro-batch is one commit of the store, made once if it is tried again."""
     spark = samples.sparkSession
 
     def store(batch: DataFrame, number: int) -> None:
-        name = f"stream-{number}"
-        rows = settled(batch)
-        new = dedup.dedup(rows.filter(F.col("kind") == SAMPLE).select(*(c.split()[0] for c in ingest.SAMPLES.split(", "))))
-        new = dedup.not_stored(new, tables.read_table(spark, f"{root}/samples", ingest.SAMPLES, but=name))
-        tables.write_batch(new, f"{root}/samples", name, "event_time_us")
-        window = F.concat(F.expr("size_us div 1000000").cast("string"), F.lit("s")).alias("window_type")
-        keys = rows.filter(F.col("kind") == WINDOW).select("device_id", "metric_id", window, "start_us", "late").distinct()
-        ingest.store_windows(spark, root, name, sizes, keys.filter("not late").drop("late"), keys.filter("late").drop("late"), correction, metrics)
+        with tables.commit(spark, root, stream_commit(checkpoint, number)) as under:
+            if under is None:
+                return
+            rows, history = settled(batch), History(spark, root, ingest.SAMPLES)
+            new = settled(dedup.dedup(rows.filter(F.col("kind") == SAMPLE).select(*(c.split()[0] for c in ingest.SAMPLES.split(", ")))))
+            tables.write_batch(dedup.not_stored(new, history.near(new)), f"{root}/samples", under, "event_time_us")
+            history.add(tables.read_batch(spark, f"{root}/samples", ingest.SAMPLES, under), under)
+            window = F.concat(F.expr("size_us div 1000000").cast("string"), F.lit("s")).alias("window_type")
+            keys = rows.filter(F.col("kind") == WINDOW).select("device_id", "metric_id", window, "start_us", "late").distinct()
+            ingest.store_windows(spark, root, under, sizes, keys.filter("not late").drop("late"), keys.filter("late").drop("late"), correction, metrics)
 
     found = device_stream(samples, lateness_us, sizes, idle_ms)
     return found.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
