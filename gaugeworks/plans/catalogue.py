@@ -344,15 +344,17 @@ DST_DAYS = [("America/New_York", "2026-03-08"), ("America/New_York", "2026-11-01
 
 
 def _zones(spark: SparkSession, folder: str) -> DataFrame:
-    """Local times every 20 minutes around both changes of daylight saving in New York and on Lord Howe Island."""
-    rows = spark.createDataFrame([(z, d, h, m) for z, d in DST_DAYS for h in range(4) for m in (0, 20, 40)], "zone string, day string, h int, m int")
-    raw = F.concat("day", F.lit("T"), F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("m").cast("string"), 2, "0"), F.lit(":00"))
-    early, late = times.parse_event_time(raw, F.col("zone")), times.parse_event_time(raw, F.col("zone"), earlier=False)
-    return rows.select("zone", raw.alias("raw"), early["us"].alias("earlier_us"), late["us"].alias("later_us"), early["error"].alias("error"))
+    """Each event at a local time around a change of daylight saving in New York or on Lord Howe Island, which its number picks."""
+    part = lambda by, n: F.pmod(F.floor(F.col("arrival") / by), F.lit(n)).cast("int")
+    days = F.array(*(F.struct(F.lit(z).alias("zone"), F.lit(d).alias("day")) for z, d in DST_DAYS))
+    rows = S.clean(spark, folder).select("arrival", F.get(days, part(1, 4)).alias("at"), part(4, 4).alias("h"), (part(16, 3) * 20).alias("m"))
+    raw = F.concat("at.day", F.lit("T"), F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col("m").cast("string"), 2, "0"), F.lit(":00"))
+    early, late = times.parse_event_time(raw, F.col("at.zone")), times.parse_event_time(raw, F.col("at.zone"), earlier=False)
+    return rows.select("arrival", "at.zone", raw.alias("raw"), early["us"].alias("earlier_us"), late["us"].alias("later_us"), early["error"].alias("error"))
 
 
 def _zones_sql() -> str:
-    """The same local times by the standard library's zones, as literal rows."""
+    """The events' local times, by the standard library's zones."""
     from datetime import UTC, datetime
     from zoneinfo import ZoneInfo
 
@@ -364,21 +366,28 @@ def _zones_sql() -> str:
                 us = [round(local.replace(tzinfo=ZoneInfo(zone), fold=fold).timestamp()) * 1_000_000 for fold in (0, 1)]
                 skipped = datetime.fromtimestamp(us[0] / 1e6, UTC).astimezone(ZoneInfo(zone)).replace(tzinfo=None) != local
                 values = ["NULL", "NULL", "'local time does not exist (DST gap)'"] if skipped else [str(us[0]), str(us[1]), "NULL"]
-                rows.append(f"('{zone}', '{day}T{h:02}:{m:02}:00', {', '.join(values)})")
-    return f"SELECT zone, raw, CAST(a AS BIGINT) AS earlier_us, CAST(b AS BIGINT) AS later_us, CAST(e AS VARCHAR) AS error FROM (VALUES {', '.join(rows)}) t(zone, raw, a, b, e)"
+                rows.append(f"({len(rows)}, '{zone}', '{day}T{h:02}:{m:02}:00', {', '.join(values)})")
+    known = f"(VALUES {', '.join(rows)}) t(k, zone, raw, a, b, e)"  # day, hour, third of an hour
+    return f"SELECT arrival, zone, raw, CAST(a AS BIGINT) AS earlier_us, CAST(b AS BIGINT) AS later_us, CAST(e AS VARCHAR) AS error FROM ({S.SQL}) s JOIN {known} ON k = arrival % 4 * 12 + arrival // 4 % 4 * 3 + arrival // 16 % 3"
 
 
 add("dst_policy", _zones, _zones_sql())
 
 
 def _leap(spark: SparkSession, folder: str) -> DataFrame:
-    raw = ["2026-06-30T23:59:60.500Z", "2026-06-30T23:59:60Z", "2026-07-01T01:59:60+02:00", "2026-06-30T23:58:60Z", "2026-06-30T23:59:61Z"]
-    rows = spark.createDataFrame([(x,) for x in raw], "raw string")
-    parsed = times.parse_event_time(F.col("raw"))
-    return rows.select("raw", times.format_utc_us(parsed["us"]).alias("utc"), parsed["leap"].alias("leap"))
+    """Each event's minute with a second of 60, in four forms, and with one of 61."""
+    minute = F.date_format(F.timestamp_micros("event_time_us"), "yyyy-MM-dd'T'HH:mm")
+    form = F.pmod("arrival", F.lit(5))
+    raw = F.concat(minute, F.when(form == 0, ":60Z").when(form == 1, ":60.500Z").when(form == 2, ":60+02:00").when(form == 3, ":60-0930").otherwise(":61Z"))
+    parsed = times.parse_event_time(raw)
+    return S.clean(spark, folder).select("arrival", raw.alias("raw"), times.format_utc_us(parsed["us"]).alias("utc"), parsed["leap"].alias("leap"))
 
 
-add("leap_second", _leap, "SELECT * FROM (VALUES ('2026-06-30T23:59:60.500Z', '2026-07-01T00:00:00.500000Z', true), ('2026-06-30T23:59:60Z', '2026-07-01T00:00:00.000000Z', true), ('2026-07-01T01:59:60+02:00', '2026-07-01T00:00:00.000000Z', true), ('2026-06-30T23:58:60Z', '2026-06-30T23:59:00.000000Z', true), ('2026-06-30T23:59:61Z', NULL, NULL)) t(raw, utc, leap)")
+add("leap_second", _leap, f"""
+WITH s AS (SELECT arrival, arrival % 5 AS form, date_trunc('minute', make_timestamp(event_time_us)) AS minute FROM ({S.SQL}))
+SELECT arrival, strftime(minute, '%Y-%m-%dT%H:%M') || CASE form WHEN 0 THEN ':60Z' WHEN 1 THEN ':60.500Z' WHEN 2 THEN ':60+02:00' WHEN 3 THEN ':60-0930' ELSE ':61Z' END AS raw,
+  CASE WHEN form < 4 THEN strftime(minute + to_microseconds(CAST(60000000 + CASE form WHEN 1 THEN 500000 WHEN 2 THEN -7200000000 WHEN 3 THEN 34200000000 ELSE 0 END AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' END AS utc,
+  CASE WHEN form < 4 THEN true END AS leap FROM s""")
 
 # Expressions
 
