@@ -33,3 +33,43 @@ def test_stages(spark, tmp_path):
     assert set(seen[4]) == set(seen[3]) and all("[SECRET]" in seen[4][i] for i in seen[3] if seen[3][i] != seen[4][i])
     check(docs.collect(), seen[4])
     assert sorted(map(str, cp.run(spark, FOLDER).select("doc_id", "start", "ids_crc32").collect())) == sorted(map(str, docs.select("doc_id", "start", "ids_crc32").collect()))
+
+
+CLASH = ["key", "row", "place", "y", "part", "kept", "words", "hash", "count", "first", "size", "band", "token", "item_id", "score"]
+
+
+def test_edge_tables(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, a very long text and clashing names pass all stages, as does an empty table."""
+    import random
+
+    import corpus_pipeline as cp
+
+    from .test_packing import check
+
+    r = random.Random(1)
+    prose = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 400)}" for _ in range(n))
+    good, long = prose(120), prose(60_000)
+    texts = [None, "", " \n\t", "short", good, good, prose(80) + ' password = "abcdefgh12345"', long, prose(90), good + " more words here", "same words again " * 100]
+    rows = [(None if i == 8 else i, t, None if i % 3 else "en", None, None) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, good, "de", "s", 5), (None, None, None, None, None)]
+    documents = spark.createDataFrame([(*x, *("c" for _ in CLASH)) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH))
+    for name, docs in (("edge", documents), ("empty", documents.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, 1, 0), (4, 1, 0), (10, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "x"), (2, prose(30))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(cp.STAGES):
+            stage(spark, out, folder).write.parquet(f"{folder}/out{k}")
+            out = spark.read.parquet(f"{folder}/out{k}")
+            if k < 4:
+                assert out.columns == documents.columns
+        kept = spark.read.parquet(f"{folder}/out3").collect()
+        if name == "empty":
+            assert not kept and out.count() == 0
+            continue
+        by = {x.doc_id: x.text for x in kept}
+        assert len(kept) == len({x.text for x in kept}) and {6, 7} <= set(by) and len([x for x in kept if x.text and x.text.startswith(good[:40])]) == 1  # one of each group
+        assert "[SECRET]" in by[6] and by[7] == long and not set(by) & {0, 1, 2, 3, 10}
+        assert len(by) == len(kept)
+        check(out.collect(), by)
