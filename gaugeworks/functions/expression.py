@@ -194,6 +194,11 @@ def metric_refs(node: Node) -> list[str]:
     return out
 
 
+def longest_duration(node: Node) -> int:
+    """The longest duration that an expression looks back, in microseconds."""
+    return max([int(node.value) if node.kind == "duration" else 0, *(longest_duration(a) for a in node.args)])
+
+
 Builder = Callable[..., Compiled]
 _functions: dict[str, tuple[int, int | None, Builder]] = {}
 

@@ -35,6 +35,7 @@ AGGREGATES = (
 )
 FILES = "hash string, path string, status string, first_seen_us long"
 DEVICES = "device_id string, enabled boolean"
+EVALUATED = "rule_id string, rule_version int"
 ACKS = "incident_uuid string, acked_by string, ack_comment string, acked_us long"
 PLACES = 1 << 41  # rows of a file, for the arrival order of rows over files
 
@@ -127,24 +128,39 @@ def read_incidents(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "written")
 
 
-def store_rules(spark: SparkSession, settings: Settings, root: str, number: int, ingest_us: int, new: DataFrame) -> None:
-    """Go on with the rules' machines of the devices that a commit's samples touch; close the incidents of rules that are gone."""
-    before = settled(read_incidents(spark, root))
+def store_rules(spark: SparkSession, settings: Settings, root: str, number: int, ingest_us: int, new: DataFrame, history: History) -> None:
+    """Go on with the rules' machines of the devices that a commit's samples touch; close the incidents of rules that are gone.
+
+    The machines (states, open incidents, and of each rule and device the incident closed last) are a snapshot, as are the rules that
+    have been evaluated: a rule that is new begins with all stored samples."""
+    before = settled(tables.read_snapshot(spark, f"{root}/machines", rules.OUTPUT))
     if not settings.rules and before.isEmpty():
         return
-    known = [m.id for m in settings.metrics]
     gone = before.filter("kind = 'incident' and state = 'open'")
     out = rules.close_removed(gone, [r.id for r in settings.rules], ingest_us).filter("close_reason = 'RULE_REMOVED' and state = 'closed'")
     closing = F.array(F.struct(F.lit(ingest_us).cast("bigint").alias("at_us"), F.lit("open").alias("from_state"), F.lit("closed").alias("to_state"), F.lit("RULE_REMOVED").alias("reason")))
     out = out.withColumn("history", F.concat("history", closing))
     if settings.rules:
-        compiled = [rules.compile_rule(r, known) for r in settings.rules]
+        compiled = [rules.compile_rule(r, [m.id for m in settings.metrics]) for r in settings.rules]
         touched = settled(new.select("device_id").distinct())
-        samples = tables.read_table(spark, f"{root}/samples", SAMPLES, number=number).join(touched, "device_id", "left_semi")
+        mine = settled(before.join(touched, "device_id", "left_semi"))
+        told = {(r["rule_id"], r["rule_version"]) for r in tables.read_snapshot(spark, f"{root}/evaluated_rules", EVALUATED).collect()}
+        if {(r.id, r.version) for r in settings.rules} <= told:
+            samples = history.for_rules(new, number, compiled, mine)
+        else:
+            samples = tables.read_table(spark, f"{root}/samples", SAMPLES, number=number).join(touched, "device_id", "left_semi")
         found = rules.evaluations(samples, compiled, dimensions(spark, settings)["devices"])
-        mine = before.join(touched, "device_id", "left_semi")
         out = out.select(*before.columns).unionByName(rules.run_rules(found, list(settings.rules), mine).select(*before.columns))
+    out = settled(out)
     tables.write_batch(out, f"{root}/rules", number)
+    key = [*(F.col(c) for c in ("kind", "rule_id", "device_id")), F.when(F.col("kind") == "incident", F.col("incident_uuid"))]
+    both = before.withColumn("__new", F.lit(0)).unionByName(out.select(*before.columns).withColumn("__new", F.lit(1)))
+    both = both.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__new")))).filter("__n = 1")
+    # of the closed ones a machine may open the last again
+    newest = F.row_number().over(Window.partitionBy("kind", "rule_id", "device_id", "state").orderBy(F.desc("ended_us")))
+    kept = both.withColumn("__n", F.when((F.col("kind") == "incident") & (F.col("state") == "closed"), newest).otherwise(1)).filter("__n = 1")
+    tables.write_snapshot(kept.select(*before.columns), f"{root}/machines", number)
+    tables.write_snapshot(local_table(spark, sorted((r.id, r.version) for r in settings.rules), EVALUATED), f"{root}/evaluated_rules", number)
 
 
 def store_devices(spark: SparkSession, settings: Settings, root: str, number: int) -> None:
@@ -163,7 +179,7 @@ def store(records: DataFrame, settings: Settings, root: str, number: int, ingest
     history.add(new, number)
     tables.write_batch(stages.intervals, f"{root}/intervals", number, "start_us")
     store_aggregates(spark, settings, root, number, new)
-    store_rules(spark, settings, root, number, ingest_us, new)
+    store_rules(spark, settings, root, number, ingest_us, new, history)
     store_devices(spark, settings, root, number)
     return stages
 
