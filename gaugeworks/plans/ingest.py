@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +17,7 @@ from gaugeworks.plans.history import History
 from gaugeworks.shipping import ship
 from gaugeworks.sources import tables
 from gaugeworks.sources.csv import read_csv
-from gaugeworks.sources.files import identity, put_away
+from gaugeworks.sources.files import identity, place_of, put_away
 from gaugeworks.sources.jsonl import read_jsonl
 from gaugeworks.sources.records import format_of
 from gaugeworks.sources.scratch import settled
@@ -186,7 +185,7 @@ def store(records: DataFrame, settings: Settings, root: str, number: int, ingest
 
 def import_files(spark: SparkSession, paths: list[str], settings: Settings, root: str, ingest_us: int, archive: str | None = None, quarantine: str | None = None) -> dict[str, str]:
     """Import files that aren't in the manifest yet; status by path. Each import is one commit: all its tables count, or none."""
-    identities = {p: identity(p) for p in paths}
+    identities = {p: identity(p, spark) for p in paths}
     asked = local_table(spark, [(i.hash,) for i in identities.values()], "hash string")
     known = {r["hash"] for r in tables.read_table(spark, f"{root}/files", FILES).join(F.broadcast(asked), "hash", "left_semi").select("hash").distinct().collect()}
     new = {p: i for p, i in identities.items() if i.hash not in known}
@@ -198,12 +197,12 @@ def import_files(spark: SparkSession, paths: list[str], settings: Settings, root
         if number is None:
             return out | dict.fromkeys(new, "SKIPPED")
         stages = store(read_records(spark, sorted(new)), settings, root, number, ingest_us)
-        files = {os.path.realpath(r["file"].removeprefix("file:")): r for r in stages.files.collect()}
-        status = {p: "QUARANTINED" if (r := files.get(os.path.realpath(p))) and r["status"] == "QUARANTINED" else "COMPLETED" for p in new}
+        files = {place_of(r["file"]): r for r in stages.files.collect()}
+        status = {p: "QUARANTINED" if (r := files.get(place_of(p))) and r["status"] == "QUARANTINED" else "COMPLETED" for p in new}
         tables.write_batch(local_table(spark, [(i.hash, p, status[p], ingest_us) for p, i in new.items()], FILES), f"{root}/files", number)
     for p, i in new.items():
         if status[p] == "QUARANTINED" and quarantine:
-            counts = files[os.path.realpath(p)].asDict()
+            counts = files[place_of(p)].asDict()
             put_away(p, quarantine, i.hash, report=tables.error_report(stages.validated.filter(F.col("file") == counts["file"]), counts))
         elif status[p] == "COMPLETED" and archive:
             put_away(p, archive, i.hash)

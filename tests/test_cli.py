@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from gaugeworks.__main__ import main
 
 CONFIG = {
@@ -45,3 +47,10 @@ def test_commands(spark, tmp_path, capsys):
     run("import", str(tmp_path / "more.csv"), "--now", "2026-09-01T00:30:00Z")
     assert [(r["state"], r.get("close_reason")) for r in run("incidents")][0] == ("closed", "RULE_REMOVED") and run("history")[-2]["reason"] in ("RULE_REMOVED", "ACKNOWLEDGED")
     assert [(r["device_id"], r["enabled"]) for r in run("devices")] == [("dev-01", True), ("dev-02", False)]
+    # a failed import and dropped days are in the audit
+    with pytest.raises(FileNotFoundError):
+        main(["--config", str(tmp_path / "c.json"), "--store", str(tmp_path / "store"), "import", str(tmp_path / "nowhere.csv")])
+    assert run("audit")[-1]["result"].startswith("failed: FileNotFoundError")
+    assert run("retain", "--days", "10", "--table", "samples", "--now", "2026-09-01T00:30:00Z") == []
+    assert run("retain", "--days", "10", "--table", "samples", "--now", "2026-09-20T00:00:00Z") == [{"table": "samples", "day": "2026-09-01"}]
+    assert run("status")[-1] == {"status": "SAMPLES", "files": 0} and run("audit")[-1]["operation"] == "retain" and len(run("windows")) > 0
