@@ -17,6 +17,7 @@ from gaugeworks.plans import ingest
 from gaugeworks.sources import tables
 
 RETAINED = ("samples", "intervals", "aggregates")
+MERGED = {"samples": (ingest.SAMPLES, None), "intervals": (ingest.INTERVALS, None), "aggregates": (ingest.AGGREGATES, [*windows.KEY, "version"])}
 AUDIT = "at_us long, operation string, actor string, target string, result string"
 
 
@@ -57,6 +58,9 @@ def parser() -> argparse.ArgumentParser:
     keep.add_argument("--days", type=int, required=True)
     keep.add_argument("--table", action="append", choices=RETAINED, help="all of them without it")
     keep.add_argument("--now", help="time from which days count; the present without it")
+    merge = sub.add_parser("compact", help="merge the files of days before the last N")
+    merge.add_argument("--days", type=int, default=1)
+    merge.add_argument("--now", help="time from which days count; the present without it")
     sub.add_parser("audit")
     sub.add_parser("check")
     return out
@@ -107,6 +111,14 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         gone = [(t, d) for t in args.table or RETAINED for d in tables.retain(spark, root, t, oldest)]
         audit(spark, root, "retain", ",".join(args.table or RETAINED), json.dumps(gone))
         return local_table(spark, gone, "table string, day string")
+    if args.command == "compact":
+        before = tables.day_of((_us(spark, args.now) if args.now else time.time_ns() // 1000) - args.days * 86_400_000_000)
+        done = []
+        for table, (schema, keys) in MERGED.items():
+            days = [n[4:] for n in tables.names_in(spark, f"{root}/{table}") if n.startswith("day=") and n[4:] < before]
+            done += [(table, d) for d in days if tables.compact(spark, root, table, schema, d, keys)]
+        audit(spark, root, "compact", before, json.dumps(done))
+        return local_table(spark, done, "table string, day string")
     if args.command == "status":
         return stored.status(files).unionByName(samples.agg(F.lit("SAMPLES").alias("status"), F.count("*").alias("files")))
     if args.command == "samples":

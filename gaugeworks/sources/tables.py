@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.sources.scratch import remove
@@ -83,6 +83,12 @@ def floor_of(spark: SparkSession, root: str, table: str) -> str:
     return max((n.removeprefix(mark) for n in commits(spark, root).values() if n.startswith(mark)), default="")
 
 
+def merged_days(spark: SparkSession, root: str, table: str) -> dict[str, int]:
+    """The days of a table that have been merged, with the number under which all that was there lies since."""
+    mark = f"compact={table}="
+    return {n.removeprefix(mark)[:10]: k for k, n in sorted(commits(spark, root).items()) if n.startswith(mark)}
+
+
 def day_of(us: int) -> str:
     return (datetime.date(1970, 1, 1) + datetime.timedelta(days=us // 86_400_000_000)).isoformat()
 
@@ -98,6 +104,9 @@ def read_table(spark: SparkSession, path: str, schema: str, days: tuple[int, int
         folders = [n for n in folders if n[4:] in set(days)]
     elif days is not None:
         folders = [n for n in folders if day_of(days[0]) <= n[4:] <= day_of(days[1])]
+    merged = merged_days(spark, root, table)
+    # where the folders from before a merge haven't gone yet, they don't count
+    folders = [f for n in folders for f in ([n] if n[4:] not in merged else [f"{n}/{x}" for x in names_in(spark, f"{path}/{n}") if x.startswith("number=") and int(x[7:]) >= merged[n[4:]]])]
     if not folders:
         return spark.createDataFrame([], schema + (", written long" if numbered else ""))
     found = spark.read.schema(f"{schema}, day date, number long").option("basePath", path).parquet(*(f"{path}/{n}" for n in folders)).filter(F.col("number") <= upto)
@@ -145,6 +154,24 @@ def retain(spark: SparkSession, root: str, table: str, oldest_us: int) -> list[s
     return [n[4:] for n in gone]
 
 
+def compact(spark: SparkSession, root: str, table: str, schema: str, day: str, keys: list[str] | None = None, rows_in_file: int = 2_000_000) -> bool:
+    """Merge what commits have written for a day into few files, as one commit. keys: of rows equal in them the newest stays."""
+    path = f"{root}/{table}"
+    before = [x for x in names_in(spark, f"{path}/day={day}") if x.startswith("number=") and int(x[7:]) <= latest(spark, root)]
+    if len(before) < 2:
+        return False
+    rows = read_table(spark, path, schema, [day], numbered=True)
+    if keys:
+        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("written")))
+        rows = rows.withColumn("__n", newest).filter("__n = 1").drop("__n")
+    rows = rows.drop("written")
+    with commit(spark, root, f"compact={table}={day}={latest(spark, root)}") as number:
+        rows.repartition(rows.count() // rows_in_file + 1).write.parquet(f"{path}/day={day}/number={number}")
+    for x in before:
+        remove(spark, f"{path}/day={day}/{x}")
+    return True
+
+
 def error_report(validated: DataFrame, counts: dict, most: int = 100) -> dict:
     """A file's counts and at most `most` of its errors, by position."""
     rows = validated.filter("error is not null").orderBy("position").limit(most).select("position", "error.kind", "error.code", "raw").collect()

@@ -111,3 +111,25 @@ def test_retention(spark, aged):
     with tables.commit(spark, root, f"retain=samples={tables.day_of(START + 6 * DAY)}"):
         pass  # and broken off before the folders went
     assert tables.read_table(spark, f"{root}/samples", ingest.SAMPLES).count() == 40
+
+
+def test_compaction(spark, tmp_path):
+    """Several imports into one day become one folder with the same rows, the newest of equal windows; a crash before the old ones go changes nothing."""
+    hour, root = 1788220800000, str(tmp_path / "store")
+    for i in range(3):
+        ingest.import_files(spark, [add_readings(tmp_path / f"{i}.csv", [(hour + 1000 * i, float(i)), (hour + 600_000 + i, 5.0)])], SETTINGS, root, NOW + DAY + i)
+    day = tables.day_of(hour * 1000)
+    rows = lambda: {t: sorted(map(repr, f.collect())) for t, f in (("samples", tables.read_table(spark, f"{root}/samples", ingest.SAMPLES)), ("windows", ingest.read_aggregates(spark, root)))}
+    before = rows()
+    kept = tables.remove
+    try:
+        tables.remove = lambda spark, path: None if "number=" in path else kept(spark, path)
+        assert tables.compact(spark, root, "samples", ingest.SAMPLES, day)
+        assert rows() == before and len(tables.names_in(spark, f"{root}/samples/day={day}")) == 4  # the old ones are still there
+    finally:
+        tables.remove = kept
+    assert tables.compact(spark, root, "samples", ingest.SAMPLES, day) and tables.compact(spark, root, "aggregates", ingest.AGGREGATES, day, ["device_id", "metric_id", "window_type", "start_us", "version"])
+    assert rows() == before and [len(tables.names_in(spark, f"{root}/{t}/day={day}")) for t in ("samples", "aggregates")] == [1, 1]
+    assert not tables.compact(spark, root, "samples", ingest.SAMPLES, day)
+    assert ingest.import_files(spark, [add_readings(tmp_path / "4.csv", [(hour + 2000, 2.0), (hour + 3000, 9.0)])], SETTINGS, root, NOW + 2 * DAY)
+    assert len(rows()["samples"]) == len(before["samples"]) + 1
