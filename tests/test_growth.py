@@ -2,7 +2,10 @@
 
 import re
 
-from gaugeworks.plans import catalogue
+from pyspark.sql import functions as F
+
+from gaugeworks.operators import windows
+from gaugeworks.plans import catalogue, ingest, samples
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -12,6 +15,17 @@ def test_lines_behind_the_sort(spark):
     found = catalogue._fault_lines(spark, FOLDER)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     above, below = re.split(r"(?m)^.*\bSort \[.*$", plan)
-    assert "repeat(" in above and "repeat(" not in below
+    assert '# a "comment' in above and '# a "comment' not in below
     files = {f: [r.line for r in found.filter(f"f = {f}").collect()] for f in range(4)}
     assert all(x[-1] == 'd,m,"open' and x[0].startswith("device_id,") for x in files.values()) and max(map(len, files[1])) > 1_100_000
+
+
+def test_one_making_of_corrected_windows(spark):
+    """late_correction_versions: the touched windows are made once, and the task that makes them holds the buffers of that alone."""
+    rows = samples.dirty(spark, FOLDER)
+    first = spark.createDataFrame(windows.aggregate(rows.filter("arrival % 10 <> 0"), (86400,)).withColumns({"version": F.lit(1), "superseded": F.lit(False)}).collect(), ingest.AGGREGATES)
+    found = windows.correct(first, rows, rows.filter("arrival % 10 = 0"), (86400,))
+    assert len(re.findall(r"Aggregate \[.*percentile_?disc", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+    late = rows.filter("arrival % 10 = 0")
+    want = windows.apply(first, windows.changes(first, windows.recomputed(rows, windows.keys_of(late, (86400,)).join(first.select(*windows.KEY).distinct(), windows.KEY, "left_semi"), (86400,)), windows.keys_of(late, (86400,)))).select(*first.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
