@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import times
 from gaugeworks.operators import windows
 from gaugeworks.plans import catalogue, ingest, samples
 
@@ -29,3 +30,15 @@ def test_one_making_of_corrected_windows(spark):
     late = rows.filter("arrival % 10 = 0")
     want = windows.apply(first, windows.changes(first, windows.recomputed(rows, windows.keys_of(late, (86400,)).join(first.select(*windows.KEY).distinct(), windows.KEY, "left_semi"), (86400,)), windows.keys_of(late, (86400,)))).select(*first.columns)
     assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_only_numbers_are_cast(spark):
+    """dst_policy: times without an offset, or with Z, cost no failed cast, and the parts that guard the casts change no result."""
+    raw = ["2026-03-08T01:00:00", "2026-03-08T01:00:00Z", "2026-03-08T01:00:00+0130", "2026-03-08T01:00:00-24:00", "2026-03-08T02:20:00", "2026-13-01T00:00:00", "1700000000000", "-", "", None]
+    frame = spark.createDataFrame([(r,) for r in raw], "raw string")
+    found = [(r.us, r.error) for r in frame.select(times.parse_event_time(F.col("raw"), F.lit("America/New_York")).alias("t")).select("t.us", "t.error").collect()]
+    at = 1772928000_000_000  # 2026-03-08, UTC
+    assert found[:4] == [(at + 6 * 3600_000_000, None), (at + 3600_000_000, None), (at - 1800_000_000, None), (None, "UTC offset out of range")]
+    assert found[4:] == [(None, "local time does not exist (DST gap)"), (None, "time is not a supported format"), (1700000000000_000, None), (None, "time is not a supported format"), (None, "empty time"), (None, "empty time")]
+    tree = times._read(F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (("raw", "string"), ("zone", "string"), ("number", "boolean"), ("iso", "boolean"), ("seconds", "string"), ("offset", "string")))))
+    assert not re.findall(r"(?i)(?<!THEN )try_cast\(", str(tree)) and re.findall(r"(?i)THEN try_cast\(", str(tree))
