@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import times
 from gaugeworks.operators import windows
 from gaugeworks.plans import catalogue, ingest, samples
+from gaugeworks.sources import tlm
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -42,3 +43,13 @@ def test_only_numbers_are_cast(spark):
     assert found[4:] == [(None, "local time does not exist (DST gap)"), (None, "time is not a supported format"), (1700000000000_000, None), (None, "time is not a supported format"), (None, "empty time"), (None, "empty time")]
     tree = times._read(F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (("raw", "string"), ("zone", "string"), ("number", "boolean"), ("iso", "boolean"), ("seconds", "string"), ("offset", "string")))))
     assert not re.findall(r"(?i)(?<!THEN )try_cast\(", str(tree)) and re.findall(r"(?i)THEN try_cast\(", str(tree))
+
+
+def test_repeated_texts_are_checked_once():
+    """tlm_scan: the names and tags that all frames of a file repeat, and readings that share none of them."""
+    readings = [tlm.Reading("d", "m", n, float(n), "C", 1, n, {"line": "L"}) for n in range(1000)]
+    tlm._text.cache_clear()
+    found = [r for _, r in tlm.decode(tlm.encode(readings, compress=True))]
+    assert found == readings and tlm._text.cache_info().misses == 3
+    found[0].tags["x"] = "y"
+    assert found[1].tags == {"line": "L"} and next(tlm.decode(tlm.encode(readings[:1])))[1].tags == {"line": "L"}
