@@ -1,13 +1,17 @@
 """What keeps the memory of a task and the time of a query from growing with more than the rows."""
 
 import re
+from itertools import chain
+from pathlib import Path
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions import times
 from gaugeworks.operators import windows
 from gaugeworks.plans import catalogue, ingest, samples
-from gaugeworks.sources import tlm
+from gaugeworks.sources import tables, tlm
+from gaugeworks.streaming import devices
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,3 +57,49 @@ def test_repeated_texts_are_checked_once():
     assert found == readings and tlm._text.cache_info().misses == 3
     found[0].tags["x"] = "y"
     assert found[1].tags == {"line": "L"} and next(tlm.decode(tlm.encode(readings[:1])))[1].tags == {"line": "L"}
+
+
+def test_windows_of_one_micro_batch_stay_out_of_the_state(spark):
+    """stream_device_windows: the state is asked for what is left after a micro-batch, not for each window that passes."""
+    hour, calls = 3_600_000_000, []
+
+    class Kept(dict):
+        def updateValue(self, key, value):
+            calls.append(key)
+            self[key] = value
+
+        def removeKey(self, key):
+            calls.append(key)
+            del self[key]
+
+        def get(self):
+            return self[0] if 0 in self else None
+
+        def update(self, value):
+            self[0] = value
+
+        exists, containsKey, getValue = dict.__len__, dict.__contains__, dict.__getitem__
+
+    fields = T.StructType([*spark.createDataFrame([], ingest.SAMPLES).schema.fields, T.StructField("watermark_us", T.LongType())])
+    clock = devices.DeviceClock(fields, hour, (3600,), None)
+    clock.clock, clock.waiting, clock.open = Kept(), Kept(), Kept()
+    found, left = [], []
+    for batch in (range(3000), range(3000, 3100)):
+        rows = [("d", "m", n * hour, 1.0, 0, 0, None, n, None, None) for n in batch]  # one in each window
+        lists = list(clock.handleInputRows(("d",), rows, None))
+        found += chain.from_iterable(x.rows for x in lists)
+        left.append((len(calls), len(lists)))
+        assert max(len(x.rows) for x in lists) <= devices.CHUNK
+    times = [x[3] for x in found if x[0] == devices.SAMPLE]
+    assert times == [n * hour for n in range(3099)]  # the last one waits
+    assert [x[-2] for x in found if x[0] == devices.WINDOW] == times[:-1]
+    # two open windows and one waiting row are written; then they leave, and as many are written again
+    assert left[0] == (3 + 0, 6) and left[1][0] == 3 + 6
+
+
+def test_few_files_for_a_day(spark, tmp_path):
+    """What is stored by day has a file for a day, not one for each task and day."""
+    rows = spark.range(3000, numPartitions=16).selectExpr("id", "(id % 3) * 86400000000L AS at")
+    tables.write_batch(rows, str(tmp_path / "t"), 1, "at")
+    assert len(list(Path(tmp_path / "t").rglob("*.parquet"))) == 3
+    assert sorted(r.id for r in tables.read_batch(spark, str(tmp_path / "t"), "id long, at long", 1).collect()) == list(range(3000))
